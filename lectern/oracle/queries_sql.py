@@ -34,3 +34,7 @@ from (
   limit {P.EVENT_LIMIT}
 ) a
 order by 1, 2""")
+
+from .engagement_sql import standalone as _engagement  # noqa: E402
+
+ORACLE.update(_engagement())

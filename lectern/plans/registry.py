@@ -26,3 +26,199 @@ def query(key: str):
 def _event_catalog(t: Tables) -> DataFrame:
     from ..operators.events import event_catalog
     return event_catalog(t.tracking, P.EVENT_CUTOFF, P.EVENT_AS_OF, limit=P.EVENT_LIMIT)
+
+
+# -- engagement: cohort, tenure, anchor ---------------------------------------
+
+def _g1(t: Tables) -> DataFrame:
+    from ..operators.engagement import engagement_base
+    return engagement_base(t.users, t.country_regions, P.SINCE, P.COUNTRIES)
+
+
+def _g2(t: Tables) -> DataFrame:
+    from ..operators.engagement import kpi_base
+    return kpi_base(t.users, P.SINCE)
+
+
+@query("engagement_base")
+def _engagement_base(t: Tables) -> DataFrame:
+    return _g1(t)
+
+
+@query("kpi_base")
+def _kpi_base(t: Tables) -> DataFrame:
+    return _g2(t)
+
+
+@query("subscription_tenure")
+def _subscription_tenure(t: Tables) -> DataFrame:
+    from ..operators.engagement import tenure
+    return tenure(t.subscriptions, _g1(t), P.AS_OF)
+
+
+@query("anchor_start")
+def _anchor_start(t: Tables) -> DataFrame:
+    from ..operators.engagement import anchor, tenure
+    base = _g1(t)
+    return anchor(base, tenure(t.subscriptions, base, P.AS_OF))
+
+
+@query("tenure_expected")
+def _tenure_expected(t: Tables) -> DataFrame:
+    from ..operators.engagement import anchor, tenure, tenure_expected
+    base = _g2(t)
+    return tenure_expected(anchor(base, tenure(t.subscriptions, base, P.AS_OF, months_col="tenure_months")),
+                           P.AS_OF)
+
+
+@query("reading_for_cohort")
+def _reading_for_cohort(t: Tables) -> DataFrame:
+    from ..operators.engagement import restrict
+    return restrict(t.reading_activity, _g1(t), "read_date", P.SINCE)
+
+
+@query("events_for_cohort")
+def _events_for_cohort(t: Tables) -> DataFrame:
+    from ..operators.engagement import restrict_events
+    return restrict_events(t.event_facts, _g1(t), P.SINCE)
+
+
+# -- engagement: windows on the dense event-derived data -------------------------
+
+def _dense_reading(t: Tables, **windows) -> DataFrame:
+    from ..operators.windows import reading_windows
+    return reading_windows(t.event_users, t.event_reading, **windows)
+
+
+@query("reading_days_d1_d7")
+def _reading_days(t: Tables) -> DataFrame:
+    from ..config import day_windows
+    d = day_windows(7)
+    return _dense_reading(t, book_windows=d, minute_windows=d)
+
+
+@query("reading_weeks")
+def _reading_weeks(t: Tables) -> DataFrame:
+    from ..config import week_windows
+    w = week_windows(16)
+    return _dense_reading(t, book_windows=w, minute_windows=w)
+
+
+@query("reading_months")
+def _reading_months(t: Tables) -> DataFrame:
+    from ..config import month_windows
+    m = month_windows(4)
+    return _dense_reading(t, book_windows=m, minute_windows=m)
+
+
+@query("active_reading_days")
+def _active_reading_days(t: Tables) -> DataFrame:
+    from ..config import month_windows, week_windows
+    return _dense_reading(t, day_windows=week_windows(4) + month_windows(1),
+                          calendar_week_windows=month_windows(1))
+
+
+@query("cumulative_books")
+def _cumulative_books(t: Tables) -> DataFrame:
+    from ..config import cumulative_window
+    return _dense_reading(t, cumulative=[cumulative_window(4)])
+
+
+@query("active_week_flags")
+def _active_week_flags(t: Tables) -> DataFrame:
+    from ..config import week_windows
+    from ..operators.engagement import active_week_columns
+    w = week_windows(12)
+    return _dense_reading(t, book_windows=w, minute_windows=w).select("user_id", *active_week_columns(12))
+
+
+@query("active_month_flags")
+def _active_month_flags(t: Tables) -> DataFrame:
+    from ..config import week_windows
+    from ..operators.engagement import active_month_columns
+    w = week_windows(12)
+    counts, flags = active_month_columns(3)
+    return _dense_reading(t, book_windows=w, minute_windows=w).select("user_id", *counts, *flags)
+
+
+@query("power_months")
+def _power_months(t: Tables) -> DataFrame:
+    from ..config import week_windows
+    from ..operators.engagement import power_month_columns
+    w = week_windows(16)
+    win = _dense_reading(t, minute_windows=w)
+    return win.select("user_id", *power_month_columns(4)[:-1]).select("*", power_month_columns(4)[-1])
+
+
+@query("three_plus_readers")
+def _three_plus(t: Tables) -> DataFrame:
+    from ..config import cumulative_window
+    from ..operators.engagement import three_plus_column
+    return _dense_reading(t, cumulative=[cumulative_window(4)]).select("user_id", three_plus_column(4))
+
+
+def _dense_events(t: Tables, shape_windows=("d1", "w1", "w2", "w3", "w4", "m1")) -> DataFrame:
+    from .engagement import _window
+    from ..operators.windows import event_windows
+    ev = [_window(n) for n in shape_windows]
+    metrics = {"book_opened": ev, "reading_session": ev, "highlight": ev, "annotation": ev}
+    return event_windows(t.event_users, t.event_facts, metrics)
+
+
+@query("event_windows")
+def _event_windows(t: Tables) -> DataFrame:
+    return _dense_events(t)
+
+
+@query("session_months")
+def _session_months(t: Tables) -> DataFrame:
+    from ..config import month_windows
+    from ..operators.windows import event_windows
+    return event_windows(t.event_users, t.event_facts, {"reading_session": month_windows(3)})
+
+
+@query("ugc_flags")
+def _ugc_flags(t: Tables) -> DataFrame:
+    from ..operators.engagement import ugc_flag_columns
+    return _dense_events(t).select("user_id", *ugc_flag_columns())
+
+
+@query("minutes_per_session")
+def _minutes_per_session(t: Tables) -> DataFrame:
+    from ..config import month_windows
+    from ..operators.engagement import minutes_per_session_columns
+    from ..operators.windows import event_windows
+    m = month_windows(3)
+    mins = _dense_reading(t, minute_windows=m)
+    sess = event_windows(t.event_users, t.event_facts, {"reading_session": m})
+    return mins.join(sess, "user_id").select("user_id", *minutes_per_session_columns(3))
+
+
+# -- engagement: whole reports --------------------------------------------------
+
+def _report(t: Tables, level: int) -> DataFrame:
+    from .engagement import engagement_report
+    return engagement_report(t.users, t.country_regions, t.subscriptions, t.reading_activity, t.event_facts,
+                             as_of=P.AS_OF, since=P.SINCE, country_in=P.COUNTRIES, level=level)
+
+
+@query("engagement_report_v1")
+def _report_v1(t: Tables) -> DataFrame:
+    return _report(t, 1)
+
+
+@query("engagement_report_v2")
+def _report_v2(t: Tables) -> DataFrame:
+    return _report(t, 2)
+
+
+@query("engagement_report_v3")
+def _report_v3(t: Tables) -> DataFrame:
+    return _report(t, 3)
+
+
+@query("learning_kpi_report")
+def _learning_kpi(t: Tables) -> DataFrame:
+    from .engagement import learning_kpi_report
+    return learning_kpi_report(t.users, t.subscriptions, t.reading_activity, t.event_facts,
+                               as_of=P.AS_OF, since=P.SINCE)
