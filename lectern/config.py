@@ -83,12 +83,11 @@ class Market:
     countries: tuple[str, ...] = ()
     language: str | None = None
     mandate: bool = False
-    cast_referrer: bool = True
 
 
 # Market records of the reference.
 REFERENCE_MARKETS = (
-    Market("spanish", "es", language="Spanish - ES", cast_referrer=False),
+    Market("spanish", "es", language="Spanish - ES"),
     Market("spain", "es", countries=("spain",)),
     Market("mexico", "es", countries=("mexico",)),
     Market("france", "fr", countries=("france",)),

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 DIGITS = 6
 
 
-def round6(c: Column) -> Column:
+def round6(c: Column | str) -> Column:
     """Doubles leave an operator rounded to 6 places, so results do not
     depend on the order in which a distributed sum met its inputs."""
+    c = F.col(c) if isinstance(c, str) else c
     return F.round(c.cast("double"), DIGITS)
 
 

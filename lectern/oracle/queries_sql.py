@@ -38,3 +38,7 @@ order by 1, 2""")
 from .engagement_sql import standalone as _engagement  # noqa: E402
 
 ORACLE.update(_engagement())
+
+from .ranking_sql import ranking_oracles as _ranking  # noqa: E402
+
+ORACLE.update(_ranking())

@@ -29,7 +29,7 @@ READING_RANGE = (date(1995, 9, 1), date(1995, 11, 30))   # C6, D1-D3 period
 EVENT_RANGE = (date(2024, 1, 1), date(2024, 2, 29))      # C7, D4, D5 period
 
 MARKETS = (
-    Market("spanish", "es", language="EUROPE", cast_referrer=False),
+    Market("spanish", "es", language="EUROPE"),
     Market("spain", "es", countries=("nation_1",)),
     Market("mexico", "es", countries=("nation_2",)),
     Market("france", "fr", countries=("nation_3",)),

@@ -222,3 +222,94 @@ def _learning_kpi(t: Tables) -> DataFrame:
     from .engagement import learning_kpi_report
     return learning_kpi_report(t.users, t.subscriptions, t.reading_activity, t.event_facts,
                                as_of=P.AS_OF, since=P.SINCE)
+
+
+# -- book ranking ---------------------------------------------------------------
+
+def _rank_inputs(t: Tables) -> dict:
+    return dict(meta=t.book_meta, registrations=t.registrations, subs=t.subscriptions,
+                reading=t.reading_activity, clicks=t.landing_pages, matches=t.academic_matches)
+
+
+@query("active_books")
+def _active_books(t: Tables) -> DataFrame:
+    from ..operators.ranking import active_books
+    return active_books(t.book_meta)
+
+
+@query("market_users")
+def _market_users(t: Tables) -> DataFrame:
+    from ..operators.ranking import market_users
+    return market_users(t.registrations, P.MARKETS)
+
+
+@query("dtc_revenue")
+def _dtc_revenue(t: Tables) -> DataFrame:
+    from ..operators.ranking import dtc_revenue, market_users
+    return dtc_revenue(t.registrations, t.subscriptions, market_users(t.registrations, P.MARKETS), P.AS_OF)
+
+
+@query("minmax_score")
+def _minmax_score(t: Tables) -> DataFrame:
+    from ..functions.scoring import minmax_score
+    from ..operators.ranking import market_users, months_back
+    from pyspark.sql import functions as F
+    reading = t.reading_activity
+    recent = reading.filter(reading.read_date >= F.lit(str(months_back(P.AS_OF, 6))).cast("date"))
+    per_book = (recent.join(market_users(t.registrations, P.MARKETS), "user_id")
+                .groupBy("market", "book_id").agg(F.round(F.sum("reading_minutes"), 6).alias("reading_mins")))
+    return minmax_score(per_book, "reading_mins", "norm_reading_mins", ["market"])
+
+
+@query("readership_bayes")
+def _readership(t: Tables) -> DataFrame:
+    from ..operators.ranking import market_users, readership
+    return readership(t.reading_activity, market_users(t.registrations, P.MARKETS), P.AS_OF)
+
+
+@query("search_interest")
+def _interest(t: Tables) -> DataFrame:
+    from ..operators.ranking import market_table, search_interest
+    return search_interest(t.landing_pages, market_table(t.spark, P.MARKETS))
+
+
+@query("newness")
+def _newness(t: Tables) -> DataFrame:
+    from ..operators.ranking import active_books, newness
+    return newness(active_books(t.book_meta))
+
+
+@query("academic_mandate")
+def _mandate(t: Tables) -> DataFrame:
+    from ..operators.ranking import academic_mandate
+    return academic_mandate(t.academic_matches)
+
+
+@query("score_consolidate")
+def _consolidate(t: Tables) -> DataFrame:
+    from .ranking import scored_books
+    return scored_books(**_rank_inputs(t), markets=P.MARKETS, as_of=P.AS_OF)
+
+
+@query("overall_rank")
+def _overall(t: Tables) -> DataFrame:
+    from ..operators.ranking import overall_rank
+    from .ranking import scored_books
+    return overall_rank(scored_books(**_rank_inputs(t), markets=P.MARKETS, as_of=P.AS_OF))
+
+
+def _market_rank_key(name: str):
+    def run(t: Tables) -> DataFrame:
+        from .ranking import market_rank
+        return market_rank(**_rank_inputs(t), markets=[P.MARKET_BY_NAME[name]], as_of=P.AS_OF)
+    return run
+
+
+for _m in P.MARKETS:
+    query(f"market_rank_{_m.name}")(_market_rank_key(_m.name))
+
+
+@query("market_rank_all")
+def _market_rank_all(t: Tables) -> DataFrame:
+    from .ranking import market_rank
+    return market_rank(**_rank_inputs(t), markets=P.MARKETS, as_of=P.AS_OF)
