@@ -42,3 +42,7 @@ ORACLE.update(_engagement())
 from .ranking_sql import ranking_oracles as _ranking  # noqa: E402
 
 ORACLE.update(_ranking())
+
+from .cohorts_sql import cohort_oracles as _cohorts  # noqa: E402
+
+ORACLE.update(_cohorts())

@@ -313,3 +313,126 @@ for _m in P.MARKETS:
 def _market_rank_all(t: Tables) -> DataFrame:
     from .ranking import market_rank
     return market_rank(**_rank_inputs(t), markets=P.MARKETS, as_of=P.AS_OF)
+
+
+# -- sources and sinks ----------------------------------------------------------
+
+@query("source_scan")
+def _source_scan(t: Tables) -> DataFrame:
+    return t.book_meta
+
+
+@query("ctas_sink")
+def _ctas_sink(t: Tables) -> DataFrame:
+    from ..session import scratch_path
+    from ..sources.sinks import write_new
+    return write_new(_c3(t), scratch_path(t.spark, "cohort_refine"))
+
+
+@query("schema_append_sink")
+def _schema_append_sink(t: Tables) -> DataFrame:
+    from ..session import scratch_path
+    from ..sources.schemas import COHORT_TABLE_SCHEMA
+    from ..sources.sinks import append_positional
+    return append_positional(_c3(t), scratch_path(t.spark, "cohort_reference"), COHORT_TABLE_SCHEMA)
+
+
+# -- retention cohorts -------------------------------------------------------------
+
+def _c1(t: Tables) -> DataFrame:
+    from ..operators.cohorts import label_cohorts
+    return label_cohorts(t.registrations, P.COHORTS)
+
+
+def _c2(t: Tables) -> DataFrame:
+    from ..operators.cohorts import rollup_subscriptions
+    return rollup_subscriptions(t.subscriptions)
+
+
+def _c3(t: Tables) -> DataFrame:
+    from ..operators.cohorts import enrich_cohort
+    return enrich_cohort(_c1(t), t.disciplines, _c2(t))
+
+
+@query("cohort_label")
+def _cohort_label(t: Tables) -> DataFrame:
+    return _c1(t)
+
+
+@query("subscription_rollup")
+def _subscription_rollup(t: Tables) -> DataFrame:
+    return _c2(t)
+
+
+@query("cohort_enrich")
+def _cohort_enrich(t: Tables) -> DataFrame:
+    return _c3(t)
+
+
+COHORT_FILTERS = dict(cohort_month=["Jan"], user_persona=["BUILDING", "MACHINERY", "AUTOMOBILE"],
+                      academic_discipline=["BUILDING", "MACHINERY", "Unknown"], region=None,
+                      user_type=None, platform=None)
+
+
+@query("cohort_filter")
+def _cohort_filter(t: Tables) -> DataFrame:
+    from ..operators.cohorts import filter_cohort
+    return filter_cohort(_c3(t), **COHORT_FILTERS)
+
+
+@query("reading_list_extract")
+def _reading_list(t: Tables) -> DataFrame:
+    from ..operators.cohorts import reading_list
+    return reading_list(t.book_matches, t.cleanup)
+
+
+def _c6(t: Tables) -> DataFrame:
+    from ..operators.cohorts import extract_range
+    return extract_range(t.reading_activity, "read_date", *P.READING_RANGE)
+
+
+def _c7(t: Tables) -> DataFrame:
+    from ..operators.cohorts import extract_events
+    return extract_events(t.event_facts, *P.EVENT_RANGE)
+
+
+@query("reading_window_extract")
+def _reading_window(t: Tables) -> DataFrame:
+    return _c6(t)
+
+
+@query("session_event_extract")
+def _session_events(t: Tables) -> DataFrame:
+    return _c7(t)
+
+
+# -- retention dashboard -------------------------------------------------------------
+
+@query("ard_distribution")
+def _ard_distribution(t: Tables) -> DataFrame:
+    from ..operators.dashboard import ard_distribution
+    return ard_distribution(_c6(t))
+
+
+@query("ard_daily_segment")
+def _ard_daily(t: Tables) -> DataFrame:
+    from ..operators.dashboard import ard_daily
+    return ard_daily(_c6(t))
+
+
+@query("readers_by_sub_week")
+def _readers_by_week(t: Tables) -> DataFrame:
+    from ..operators.dashboard import readers_by_week
+    return readers_by_week(_c6(t), _c3(t))
+
+
+@query("ars_distribution")
+def _ars_distribution(t: Tables) -> DataFrame:
+    from ..operators.dashboard import ars_distribution
+    return ars_distribution(_c7(t))
+
+
+@query("sessions_by_sub_week")
+def _sessions_by_week(t: Tables) -> DataFrame:
+    from ..operators.dashboard import sessions_by_week
+    return sessions_by_week(_c7(t), _c3(t))
