@@ -39,8 +39,8 @@ def window_bits(window: Window, runs: Sequence[tuple[int, int]]) -> int:
     return bits
 
 
-def atom_bit(offset: Column, runs: Sequence[tuple[int, int]]) -> Column:
-    """``1 << atom`` for a day offset, NULL outside every run.
+def atom_bit_sql(offset: str, runs: Sequence[tuple[int, int]]) -> str:
+    """SQL for ``1 << atom`` of a day offset, NULL outside every run.
 
     A literal lookup array indexed by the offset keeps this a constant-time
     expression inside whole-stage codegen.
@@ -49,10 +49,13 @@ def atom_bit(offset: Column, runs: Sequence[tuple[int, int]]) -> Column:
     lookup = []
     for day in range(first, last + 1):
         idx = next(i for i, (lo, hi) in enumerate(runs) if lo <= day <= hi)
-        lookup.append(1 << idx)
-    table = F.array(*[F.lit(v).cast("long") for v in lookup])
-    inside = (offset >= first) & (offset <= last)
-    return F.when(inside, F.element_at(table, (offset - first + 1).cast("int")))
+        lookup.append(f"{1 << idx}L")
+    return (f"CASE WHEN {offset} BETWEEN {first} AND {last} "
+            f"THEN element_at(array({', '.join(lookup)}), {offset} - {first} + 1) END")
+
+
+def atom_bit(offset: str, runs: Sequence[tuple[int, int]]) -> Column:
+    return F.expr(atom_bit_sql(offset, runs))
 
 
 def meets(mask: Column, bits: int) -> Column:

@@ -29,17 +29,19 @@ def clean_publication_date(c: Column) -> Column:
             .when(s.isNull(), F.lit("0")).otherwise(s))
 
 
-def minmax_score(df: DataFrame, col: str, out: str, partition_cols: Sequence[str] = ()) -> DataFrame:
+def minmax_score(df: DataFrame, col: str, out: str, partition_cols: Sequence[str] = (),
+                 max_groups: int | None = None) -> DataFrame:
     """Scale ``col`` to 0..1000 within each partition, round to tens,
     lift 0 to 1. A partition whose values are all equal scores 1.
 
     The extremes come from a partial aggregate (one row per partition value,
     size checked) joined back by broadcast, not from a ``partition by 1``
-    window that would pull every row into one task.
+    window that would pull every row into one task. ``max_groups`` is a
+    bound on the distinct partition values the caller knows by construction.
     """
     stats = df.groupBy(*partition_cols).agg(F.min(col).alias("_mn"), F.max(col).alias("_mx"))
     if partition_cols:
-        joined = df.join(checked_broadcast(stats, MAX_SCORE_GROUPS), list(partition_cols))
+        joined = df.join(checked_broadcast(stats, MAX_SCORE_GROUPS, max_groups), list(partition_cols))
     else:
         joined = df.crossJoin(F.broadcast(stats))
     v, mn, mx = F.col(col).cast("double"), F.col("_mn").cast("double"), F.col("_mx").cast("double")

@@ -12,7 +12,6 @@ from ..config import (ACTIVE_MONTH_MIN_WEEKS, ACTIVE_WEEK_MIN_BOOKS, ACTIVE_WEEK
                       ENGAGEMENT_EVENTS, OPEN_END_DATE, POWER_MONTH_MIN_WEEKS,
                       POWER_WEEK_MIN_MINUTES, THREE_PLUS_MIN_BOOKS)
 from ..functions.dates import as_date, as_timestamp, month_start, on_or_after, whole_months
-from ..functions.numbers import round6
 from .joins import checked_broadcast
 
 
@@ -86,34 +85,37 @@ def restrict_events(events: DataFrame, base: DataFrame, since, names: Sequence[s
 
 
 # -- flags over window columns -------------------------------------------------
+# Generated as SQL expression text (one JVM call per output column).
 
-def _flag(cond: Column) -> Column:
-    return F.when(cond, F.lit(True)).otherwise(F.lit(False))
+def _active(k: int) -> str:
+    return f"(book_read_w{k} >= {ACTIVE_WEEK_MIN_BOOKS} AND reading_mins_w{k} >= {ACTIVE_WEEK_MIN_MINUTES})"
 
 
-def _one(cond: Column) -> Column:
-    return F.when(cond, F.lit(1)).otherwise(F.lit(0))
+def _one(cond: str) -> str:
+    return f"CASE WHEN {cond} THEN 1 ELSE 0 END"
 
 
-def _active(k: int) -> Column:
-    return (F.col(f"book_read_w{k}") >= ACTIVE_WEEK_MIN_BOOKS) & (F.col(f"reading_mins_w{k}") >= ACTIVE_WEEK_MIN_MINUTES)
+def _flag(cond: str) -> str:
+    return f"CASE WHEN {cond} THEN true ELSE false END"
 
 
 def active_week_columns(weeks: int) -> list[Column]:
     """1/0 and true/false per week: at least one book and 5 minutes."""
     cols = []
     for k in range(1, weeks + 1):
-        cols += [_one(_active(k)).alias(f"active_w{k}"), _flag(_active(k)).alias(f"active_flag_w{k}")]
+        cols += [F.expr(f"{_one(_active(k))} AS active_w{k}"), F.expr(f"{_flag(_active(k))} AS active_flag_w{k}")]
     return cols
 
 
+def _active_weeks_sql(j: int) -> str:
+    return "(" + " + ".join(_one(_active(k)) for k in range(4 * j - 3, 4 * j + 1)) + ")"
+
+
 def active_month_columns(months: int) -> tuple[list[Column], list[Column]]:
     """Active weeks per four-week month and the >= 2 flag."""
-    counts, flags = [], []
-    for j in range(1, months + 1):
-        total = sum((_one(_active(k)) for k in range(4 * j - 3, 4 * j + 1)), F.lit(0))
-        counts.append(total.alias(f"active_wk_m{j}"))
-        flags.append(_flag(total >= ACTIVE_MONTH_MIN_WEEKS).alias(f"active_wk_flag_m{j}"))
+    counts = [F.expr(f"{_active_weeks_sql(j)} AS active_wk_m{j}") for j in range(1, months + 1)]
+    flags = [F.expr(f"{_flag(_active_weeks_sql(j) + f' >= {ACTIVE_MONTH_MIN_WEEKS}')} AS active_wk_flag_m{j}")
+             for j in range(1, months + 1)]
     return counts, flags
 
 
@@ -123,20 +125,20 @@ def power_month_columns(months: int, as_written: bool = True) -> list[Column]:
     ``as_written`` keeps quirk Q1 of the reference: month 1 tests week 3
     twice and never week 4.
     """
-    cols = []
+    parts = []
     for j in range(1, months + 1):
         weeks = list(range(4 * j - 3, 4 * j + 1))
         if as_written and j == 1:
             weeks = [1, 2, 3, 3]
-        hits = sum((_one(F.col(f"reading_mins_w{k}") >= POWER_WEEK_MIN_MINUTES) for k in weeks), F.lit(0))
-        cols.append(_one(hits >= POWER_MONTH_MIN_WEEKS).alias(f"power_active_m{j}"))
-    total = sum((F.col(f"power_active_m{j}") for j in range(1, months + 1)), F.lit(0))
-    return cols + [total.alias(f"power_active_m1_to_m{months}")]
+        hits = " + ".join(_one(f"reading_mins_w{k} >= {POWER_WEEK_MIN_MINUTES}") for k in weeks)
+        parts.append(_one(f"({hits}) >= {POWER_MONTH_MIN_WEEKS}"))
+    cols = [F.expr(f"{p} AS power_active_m{j}") for j, p in enumerate(parts, start=1)]
+    return cols + [F.expr("(" + " + ".join(parts) + f") AS power_active_m1_to_m{months}")]
 
 
 def three_plus_column(months: int) -> Column:
     """At least three distinct books over the whole period."""
-    return _flag(F.col(f"book_read_m1_to_m{months}") >= THREE_PLUS_MIN_BOOKS).alias(f"flag_3plus_m1_m{months}")
+    return F.expr(f"{_flag(f'book_read_m1_to_m{months} >= {THREE_PLUS_MIN_BOOKS}')} AS flag_3plus_m1_m{months}")
 
 
 def ugc_flag_columns(windows: Sequence[str] = ("d1", "w1", "w2", "w3", "w4", "m1"),
@@ -149,14 +151,14 @@ def ugc_flag_columns(windows: Sequence[str] = ("d1", "w1", "w2", "w3", "w4", "m1
     partner = {"w4": "w3", "m1": "w1"} if as_written else {}
     cols = []
     for w in windows:
-        h, a = F.col(f"highlight_{w}") > 0, F.col(f"annotation_{w}") > 0
-        both = h & (F.col(f"annotation_{partner[w]}") > 0 if w in partner else a)
-        cols += [_flag(h).alias(f"highlight_{w}_flag"), _flag(a).alias(f"annotation_{w}_flag"),
-                 _flag(both).alias(f"ugc_{w}_flag")]
+        a2 = partner.get(w, w)
+        cols += [F.expr(f"{_flag(f'highlight_{w} > 0')} AS highlight_{w}_flag"),
+                 F.expr(f"{_flag(f'annotation_{w} > 0')} AS annotation_{w}_flag"),
+                 F.expr(f"{_flag(f'highlight_{w} > 0 AND annotation_{a2} > 0')} AS ugc_{w}_flag")]
     return cols
 
 
 def minutes_per_session_columns(months: int) -> list[Column]:
     """Month minutes per month reading session; NULL without sessions."""
-    return [round6(F.try_divide(F.col(f"reading_mins_m{j}"), F.col(f"reading_session_m{j}")))
-            .alias(f"reading_mins_per_session_m{j}") for j in range(1, months + 1)]
+    return [F.expr(f"round(CAST(try_divide(reading_mins_m{j}, reading_session_m{j}) AS DOUBLE), 6) "
+                   f"AS reading_mins_per_session_m{j}") for j in range(1, months + 1)]

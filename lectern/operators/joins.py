@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
+def checked_broadcast(df: DataFrame, max_rows: int, known_rows: int | None = None) -> DataFrame:
+    """Broadcast ``df`` only with a proof that it has at most ``max_rows`` rows.
 
-    The proof is a bounded count (``limit(max_rows + 1)``), so it never scans
-    more than that many rows. Above the bound the frame is returned as is and
-    the planner (with AQE's runtime statistics) chooses the join.
+    ``known_rows`` is a bound the caller has by construction (e.g. one row
+    per market of a fixed market list); otherwise the proof is a bounded
+    count (``limit(max_rows + 1)``), which never reads more than that many
+    rows. Above the bound the frame is returned as is and the planner (with
+    AQE's runtime statistics) chooses the join.
     """
+    if known_rows is not None:
+        return F.broadcast(df) if known_rows <= max_rows else df
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df

@@ -35,12 +35,21 @@ def _sort(order: Sequence[tuple[str, bool]], partition_cols: Sequence[str]) -> l
 
 
 def global_rank(df: DataFrame, order: Sequence[tuple[str, bool]], out: str = "rank",
-                partition_cols: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
+                partition_cols: Sequence[str] = (), num_partitions: int | None = None,
+                max_groups: int | None = None, materialize: bool = False) -> DataFrame:
     """``df`` plus ``out`` = rank() over (partition by ``partition_cols``
     order by ``order``), NULLs last in both directions. ``order`` is a list
-    of (column, ascending)."""
+    of (column, ascending).
+
+    ``df`` is read twice (key counts, then the join back); with
+    ``materialize`` it is first written once to the checkpoint folder, for
+    inputs that are expensive to recompute. ``max_groups`` bounds the
+    distinct ``partition_cols`` values when the caller knows it.
+    """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
+    if materialize:
+        df = df.checkpoint(eager=True)
     keys = list(partition_cols) + [c for c, _ in order]
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -59,7 +68,8 @@ def global_rank(df: DataFrame, order: Sequence[tuple[str, bool]], out: str = "ra
     offsets = totals.select("_pid", *partition_cols,
                             F.coalesce(F.sum("_tot").over(earlier), F.lit(0).cast("long")).alias("_off"))
 
-    ranks = (local.join(checked_broadcast(offsets, OFFSET_ROWS_LIMIT), ["_pid", *partition_cols])
+    known = None if partition_cols and max_groups is None else n * (max_groups or 1)
+    ranks = (local.join(checked_broadcast(offsets, OFFSET_ROWS_LIMIT, known), ["_pid", *partition_cols])
              .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
                      (F.col("_off") + F.col("_before") + 1).cast("long").alias(out)))
     cond = [df[k].eqNullSafe(ranks[f"_k{i}"]) for i, k in enumerate(keys)]

@@ -63,14 +63,15 @@ def market_users(registrations: DataFrame, markets: Sequence[Market]) -> DataFra
         else:
             cond = F.lower("acquisition_country").isin(*[c.lower() for c in m.countries])
         tags.append(F.when(cond, F.lit(m.name)))
-    return (registrations.select("user_id", F.explode(F.array_compact(F.array(*tags))).alias("market"))
-            .filter(F.col("user_id").isNotNull())
-            .dropDuplicates(["market", "user_id"])
-            .select("market", "user_id"))
+    users = (registrations.select("user_id", F.explode(F.array_compact(F.array(*tags))).alias("market"))
+             .filter(F.col("user_id").isNotNull())
+             .dropDuplicates(["market", "user_id"])
+             .select("market", "user_id"))
+    return users
 
 
 def dtc_revenue(registrations: DataFrame, subs: DataFrame, users_by_market: DataFrame,
-                as_of: dt.date) -> DataFrame:
+                as_of: dt.date, max_markets: int | None = None) -> DataFrame:
     """Per (market, referrer book): direct, converted users registered in
     the last 12 months who paid anything, and their lifetime paid total."""
     regs = registrations.filter(
@@ -84,10 +85,11 @@ def dtc_revenue(registrations: DataFrame, subs: DataFrame, users_by_market: Data
     revenue = (eligible.join(paid, "user_id").filter(F.col("total_paid_gbp") > 0)
                .groupBy("market", "referrer_book")
                .agg(F.count("user_id").alias("users"), round6(F.sum("total_paid_gbp")).alias("dtc_revenue")))
-    return minmax_score(revenue, "dtc_revenue", "norm_dtc_revenue", ["market"])
+    return minmax_score(revenue, "dtc_revenue", "norm_dtc_revenue", ["market"], max_markets)
 
 
-def readership(reading: DataFrame, users_by_market: DataFrame, as_of: dt.date) -> DataFrame:
+def readership(reading: DataFrame, users_by_market: DataFrame, as_of: dt.date,
+               max_markets: int | None = None) -> DataFrame:
     """Per (market, book): readers and minutes over 6 months, and the
     Bayesian average ``(C*m + minutes) / (C + readers)`` with C the mean
     readers per book and m the mean minutes per reader of a book."""
@@ -103,13 +105,13 @@ def readership(reading: DataFrame, users_by_market: DataFrame, as_of: dt.date) -
                                               round6(F.avg("avg_read_mins")).alias("all_avg_read_mins"))
     bay = ((F.col("all_user") * F.col("all_avg_read_mins")) + F.col("total_reading_mins")) \
         / (F.col("all_user") + F.col("users"))
-    scored = (per_book.join(checked_broadcast(averages, MAX_MARKETS), "market")
+    scored = (per_book.join(checked_broadcast(averages, MAX_MARKETS, max_markets), "market")
               .select("market", "book_id", "users", "total_reading_mins", round6("avg_read_mins").alias("avg_read_mins"),
                       round6(bay).alias("bay_read_mins")))
-    return minmax_score(scored, "bay_read_mins", "norm_bay_read_mins", ["market"])
+    return minmax_score(scored, "bay_read_mins", "norm_bay_read_mins", ["market"], max_markets)
 
 
-def search_interest(clicks: DataFrame, markets: DataFrame) -> DataFrame:
+def search_interest(clicks: DataFrame, markets: DataFrame, max_markets: int | None = None) -> DataFrame:
     """Per (market, book): clicks in the market's locale from the first
     of the month three months before the latest date in the table.
 
@@ -130,7 +132,7 @@ def search_interest(clicks: DataFrame, markets: DataFrame) -> DataFrame:
     by_market = (per_locale.join(F.broadcast(markets.select("market", "locale")), "locale")
                  .filter(F.col("clicks") > 0)
                  .select("market", "book_id", "impressions", "clicks"))
-    return minmax_score(by_market, "clicks", "norm_clicks", ["market"])
+    return minmax_score(by_market, "clicks", "norm_clicks", ["market"], max_markets)
 
 
 def newness(books: DataFrame, with_rank: bool = True) -> DataFrame:
@@ -161,7 +163,7 @@ NEWNESS_ORDER = [("publication_date", False), ("date_activated", False), ("date_
 
 
 def consolidate(books: DataFrame, markets: DataFrame, revenue: DataFrame, readers: DataFrame,
-                interest: DataFrame, mandate: DataFrame | None) -> DataFrame:
+                interest: DataFrame, mandate: DataFrame | None, max_markets: int | None = None) -> DataFrame:
     """One row per (market, active book) with every signal (missing -> 0)
     and the newness rank (market-independent, so ranked once)."""
     fresh = books.select("book_id", "book_title", "subject_name", "topic_name", "language_name",
@@ -169,7 +171,7 @@ def consolidate(books: DataFrame, markets: DataFrame, revenue: DataFrame, reader
                          F.coalesce(clean_publication_date(F.col("publication_date")), F.lit("0"))
                          .alias("publication_date"))
     fresh = global_rank(fresh, NEWNESS_ORDER, out="newness")
-    grid = fresh.crossJoin(checked_broadcast(markets.select("market", "mandate"), MAX_MARKETS))
+    grid = fresh.crossJoin(checked_broadcast(markets.select("market", "mandate"), MAX_MARKETS, max_markets))
     rev = revenue.select("market", F.col("referrer_book").alias("book_id"), "norm_dtc_revenue")
     rd = readers.select("market", "book_id", "norm_bay_read_mins")
     cl = interest.select("market", "book_id", "norm_clicks")
@@ -194,8 +196,12 @@ OVERALL_ORDER = [("norm_dtc_revenue", False), ("norm_enrollment", False), ("norm
                  ("norm_clicks", False), ("newness", True)]
 
 
-def overall_rank(scored: DataFrame) -> DataFrame:
+def overall_rank(scored: DataFrame, max_markets: int | None = None) -> DataFrame:
     """Rank per market by revenue, mandate (0 outside mandate markets,
     so it never reorders them), readership and clicks descending, then
-    newness rank ascending."""
-    return global_rank(scored, OVERALL_ORDER, out="overall_rank", partition_cols=["market"])
+    newness rank ascending. The scored rows are materialised once (reliable
+    checkpoint), so the signal joins are not recomputed by the rank's
+    second read."""
+    return global_rank(scored, OVERALL_ORDER, out="overall_rank", partition_cols=["market"],
+                       max_groups=max_markets,
+                       materialize=True)

@@ -12,23 +12,25 @@ Both operators follow the same plan:
    partial step, so even a user with a third of all rows is cheap here);
 4. left-join back to every anchored user so users without activity get
    zero counts and NULL sums, exactly like the reference's left join.
+
+The many per-window expressions are generated as SQL expression text: one
+JVM call each, instead of one per column / literal / operator.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import (ANNOTATION_EVENT, BOOK_OPEN_EVENT, HIGHLIGHT_EVENT,
                       READING_SESSION_EVENTS, Window)
-from ..functions.dates import week_start
-from ..functions.masks import MAX_BITS, atom_bit, atoms, bit, meets, popcount, span_bits, window_bits
-from ..functions.numbers import as_count, round6
+from ..functions.masks import MAX_BITS, atom_bit_sql, atoms, span_bits, window_bits
 
 _ANCHOR_DAY = "_anchor_day"
 _OFFSET = "_offset"
+E = F.expr
 
 
 def _anchors(anchored: DataFrame, user_col: str, anchor_col: str) -> DataFrame:
@@ -37,17 +39,19 @@ def _anchors(anchored: DataFrame, user_col: str, anchor_col: str) -> DataFrame:
 
 def _with_offsets(facts: DataFrame, anchors: DataFrame, user_col: str, date_col: str,
                   lo: int, hi: int) -> DataFrame:
-    off = F.datediff(F.col(date_col), F.col(_ANCHOR_DAY))
     return (facts.join(anchors, user_col)
-            .withColumn(_OFFSET, off)
-            .filter((F.col(_OFFSET) >= lo) & (F.col(_OFFSET) <= hi)))
+            .withColumn(_OFFSET, F.datediff(F.col(date_col), F.col(_ANCHOR_DAY)))
+            .filter(E(f"{_OFFSET} BETWEEN {lo} AND {hi}")))
+
+
+def _in(w: Window) -> str:
+    return f"{_OFFSET} BETWEEN {w.lo} AND {w.hi}"
 
 
-def _attach(anchored: DataFrame, user_col: str, per_user: DataFrame, counts: list[str],
-            sums: list[str]) -> DataFrame:
+def _attach(anchored: DataFrame, user_col: str, per_user: DataFrame, counts: list[str]) -> DataFrame:
     out = anchored.select(user_col).join(per_user, user_col, "left")
-    return out.select(user_col, *[as_count(F.col(c)).alias(c) if c in counts else F.col(c)
-                                  for c in per_user.columns if c != user_col])
+    return out.selectExpr(user_col, *[f"coalesce(CAST({c} AS BIGINT), 0L) AS {c}" if c in counts else c
+                                      for c in per_user.columns if c != user_col])
 
 
 def reading_windows(anchored: DataFrame, reading: DataFrame, *,
@@ -75,56 +79,49 @@ def reading_windows(anchored: DataFrame, reading: DataFrame, *,
 
     facts = reading.select(user_col, book_col, date_col, minutes_col)
     rows = _with_offsets(facts, _anchors(anchored, user_col, anchor_col), user_col, date_col, lo, hi)
-    off = F.col(_OFFSET)
 
     # 1) one row per (user, book): atom mask, day mask, calendar-week masks, window sums
-    inner: list[Column] = []
+    inner: list[str] = []
     runs = atoms(book_ws) if book_ws else []
     if book_ws:
-        inner.append(F.bit_or(atom_bit(off, runs)).alias("_books"))
+        inner.append(f"bit_or({atom_bit_sql(_OFFSET, runs)}) AS _books")
     if day_windows:
         dlo, dhi = min(w.lo for w in day_windows), max(w.hi for w in day_windows)
-        inner.append(F.bit_or(F.when((off >= dlo) & (off <= dhi), bit(off))).alias("_days"))
+        inner.append(f"bit_or(CASE WHEN {_OFFSET} BETWEEN {dlo} AND {dhi} THEN shiftleft(1L, {_OFFSET}) END) AS _days")
     for w in calendar_week_windows:
         if (w.hi - w.lo) // 7 + 2 > MAX_BITS:
             raise ValueError(f"window {w.name} spans too many calendar weeks")
         # calendar weeks counted from the Monday on or before the window's first day
-        first_monday = week_start(F.date_add(F.col(_ANCHOR_DAY), w.lo))
-        cw = F.floor(F.datediff(week_start(F.col(date_col)), first_monday) / 7)
-        inner.append(F.bit_or(F.when((off >= w.lo) & (off <= w.hi), bit(cw))).alias(f"_cw_{w.name}"))
+        cw = (f"CAST(floor(datediff(CAST(date_trunc('week', {date_col}) AS DATE), "
+              f"CAST(date_trunc('week', date_add({_ANCHOR_DAY}, {w.lo})) AS DATE)) / 7) AS INT)")
+        inner.append(f"bit_or(CASE WHEN {_in(w)} THEN shiftleft(1L, {cw}) END) AS _cw_{w.name}")
     for w in minute_windows:
-        inner.append(F.sum(F.when((off >= w.lo) & (off <= w.hi), F.col(minutes_col)))
-                     .alias(f"_m_{w.name}"))
-    per_book = rows.groupBy(user_col, book_col).agg(*inner)
+        inner.append(f"sum(CASE WHEN {_in(w)} THEN {minutes_col} END) AS _m_{w.name}")
+    per_book = rows.groupBy(user_col, book_col).agg(*[E(x) for x in inner])
 
     # 2) one row per user
-    outer: list[Column] = []
+    outer: list[str] = []
     counts: list[str] = []
-    has_book = F.col(book_col).isNotNull()
     for w in book_ws:
-        name = f"book_read_{w.name}"
-        outer.append(F.count(F.when(has_book & meets(F.col("_books"), window_bits(w, runs)), 1)).alias(name))
-        counts.append(name)
+        outer.append(f"count(CASE WHEN {book_col} IS NOT NULL AND (_books & {window_bits(w, runs)}L) != 0 THEN 1 END)"
+                     f" AS book_read_{w.name}")
+        counts.append(f"book_read_{w.name}")
     for w in minute_windows:
-        outer.append(round6(F.sum(f"_m_{w.name}")).alias(f"reading_mins_{w.name}"))
+        outer.append(f"round(CAST(sum(_m_{w.name}) AS DOUBLE), 6) AS reading_mins_{w.name}")
     if day_windows:
-        outer.append(F.bit_or("_days").alias("_days"))
+        outer.append("bit_or(_days) AS _days")
     for w in calendar_week_windows:
-        outer.append(F.bit_or(f"_cw_{w.name}").alias(f"_cw_{w.name}"))
-    per_user = per_book.groupBy(user_col).agg(*outer)
+        outer.append(f"bit_or(_cw_{w.name}) AS _cw_{w.name}")
+    per_user = per_book.groupBy(user_col).agg(*[E(x) for x in outer])
 
-    cols = [F.col(user_col)]
-    cols += [F.col(f"book_read_{w.name}") for w in book_ws]
-    cols += [F.col(f"reading_mins_{w.name}") for w in minute_windows]
+    cols = [user_col] + [f"book_read_{w.name}" for w in book_ws] + [f"reading_mins_{w.name}" for w in minute_windows]
     for w in day_windows:
-        name = f"reading_days_{w.name}"
-        cols.append(popcount(F.col("_days").bitwiseAND(F.lit(span_bits(w.lo, w.hi)).cast("long"))).alias(name))
-        counts.append(name)
+        cols.append(f"bit_count(_days & {span_bits(w.lo, w.hi)}L) AS reading_days_{w.name}")
+        counts.append(f"reading_days_{w.name}")
     for w in calendar_week_windows:
-        name = f"reading_weeks_{w.name}"
-        cols.append(popcount(F.col(f"_cw_{w.name}")).alias(name))
-        counts.append(name)
-    return _attach(anchored, user_col, per_user.select(*cols), counts, [])
+        cols.append(f"bit_count(_cw_{w.name}) AS reading_weeks_{w.name}")
+        counts.append(f"reading_weeks_{w.name}")
+    return _attach(anchored, user_col, per_user.selectExpr(*cols), counts)
 
 
 # metric name -> (entity column, event names)
@@ -136,6 +133,10 @@ EVENT_METRICS = {
 }
 
 
+def _quoted(values: Sequence[str]) -> str:
+    return ", ".join("'" + v.replace("'", "\\'") + "'" for v in values)
+
+
 def event_windows(anchored: DataFrame, events: DataFrame,
                   metrics: dict[str, Sequence[Window]], *,
                   user_col: str = "user_id", anchor_col: str = "reg_sub_start_time",
@@ -156,28 +157,26 @@ def event_windows(anchored: DataFrame, events: DataFrame,
 
     used = {entity_cols.get(m, EVENT_METRICS[m][0]) for m in names}
     facts = events.select(user_col, date_col, name_col, *sorted(used))
+    types = dict(facts.dtypes)
     rows = _with_offsets(facts, _anchors(anchored, user_col, anchor_col), user_col, date_col, lo, hi)
 
     entries = []
     for k, m in enumerate(names):
         col_name, event_names = EVENT_METRICS[m]
-        key = F.col(entity_cols.get(m, col_name))
-        is_str = dict(facts.dtypes)[entity_cols.get(m, col_name)] == "string"
-        entry = F.struct(F.lit(k).alias("kind"),
-                         (F.lit(None).cast("long") if is_str else key.cast("long")).alias("num"),
-                         (key if is_str else F.lit(None).cast("string")).alias("txt"))
-        entries.append(F.when(F.col(name_col).isin(*event_names) & key.isNotNull(), entry))
-    exploded = (rows.select(user_col, atom_bit(F.col(_OFFSET), runs).alias("_bit"),
-                            F.explode(F.array_compact(F.array(*entries))).alias("_e"))
-                .select(user_col, "_bit", "_e.kind", "_e.num", "_e.txt"))
+        key = entity_cols.get(m, col_name)
+        num, txt = ("CAST(NULL AS BIGINT)", key) if types[key] == "string" else (f"CAST({key} AS BIGINT)", "CAST(NULL AS STRING)")
+        entries.append(f"CASE WHEN {name_col} IN ({_quoted(event_names)}) AND {key} IS NOT NULL "
+                       f"THEN named_struct('kind', {k}, 'num', {num}, 'txt', {txt}) END")
+    exploded = (rows.selectExpr(user_col, f"{atom_bit_sql(_OFFSET, runs)} AS _bit",
+                                f"explode(array_compact(array({', '.join(entries)}))) AS _e")
+                .selectExpr(user_col, "_bit", "_e.kind", "_e.num", "_e.txt"))
     per_entity = exploded.groupBy(user_col, "kind", "num", "txt").agg(F.bit_or("_bit").alias("_mask"))
 
     outer, counts = [], []
     for k, m in enumerate(names):
         for w in metrics[m]:
             name = f"{m}_{w.name}"
-            outer.append(F.count(F.when((F.col("kind") == k) & meets(F.col("_mask"), window_bits(w, runs)), 1))
-                         .alias(name))
+            outer.append(f"count(CASE WHEN kind = {k} AND (_mask & {window_bits(w, runs)}L) != 0 THEN 1 END) AS {name}")
             counts.append(name)
-    per_user = per_entity.groupBy(user_col).agg(*outer)
-    return _attach(anchored, user_col, per_user, counts, [])
+    per_user = per_entity.groupBy(user_col).agg(*[E(x) for x in outer])
+    return _attach(anchored, user_col, per_user, counts)

@@ -23,17 +23,20 @@ def signals(meta: DataFrame, registrations: DataFrame, subs: DataFrame, reading:
     table = R.market_table(spark, markets)
     users = R.market_users(registrations, markets)
     books = R.active_books(meta)
-    revenue = R.dtc_revenue(registrations, subs, users, as_of)
-    readers = R.readership(reading, users, as_of)
-    interest = R.search_interest(clicks, table)
+    n = len(markets)
+    revenue = R.dtc_revenue(registrations, subs, users, as_of, max_markets=n)
+    readers = R.readership(reading, users, as_of, max_markets=n)
+    interest = R.search_interest(clicks, table, max_markets=n)
     mandate = R.academic_mandate(matches) if any(m.mandate for m in markets) else None
     return table, books, revenue, readers, interest, mandate
 
 
-def scored_books(*args, **kwargs) -> DataFrame:
+def scored_books(meta: DataFrame, registrations: DataFrame, subs: DataFrame, reading: DataFrame,
+                 clicks: DataFrame, matches: DataFrame, markets: Sequence[Market], as_of: dt.date) -> DataFrame:
     """R9 for all given markets."""
-    table, books, revenue, readers, interest, mandate = signals(*args, **kwargs)
-    return R.consolidate(books, table, revenue, readers, interest, mandate)
+    table, books, revenue, readers, interest, mandate = signals(meta, registrations, subs, reading, clicks,
+                                                                matches, markets, as_of)
+    return R.consolidate(books, table, revenue, readers, interest, mandate, max_markets=len(markets))
 
 
 def market_rank(meta: DataFrame, registrations: DataFrame, subs: DataFrame, reading: DataFrame,
@@ -41,7 +44,7 @@ def market_rank(meta: DataFrame, registrations: DataFrame, subs: DataFrame, read
     """R11 (one market record) / R12 (several): 17 columns, ordered by
     market and overall rank."""
     scored = scored_books(meta, registrations, subs, reading, clicks, matches, markets=markets, as_of=as_of)
-    ranked = R.overall_rank(scored)
+    ranked = R.overall_rank(scored, max_markets=len(markets))
     return (ranked.select(*[c for c in OUTPUT[:15]], F.col("market").alias("local_index"),
                           as_timestamp(f"{as_of} 00:00:00").alias("ranked_at"))
             .orderBy("local_index", "overall_rank", "book_id"))

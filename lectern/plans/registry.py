@@ -147,7 +147,7 @@ def _power_months(t: Tables) -> DataFrame:
     from ..operators.engagement import power_month_columns
     w = week_windows(16)
     win = _dense_reading(t, minute_windows=w)
-    return win.select("user_id", *power_month_columns(4)[:-1]).select("*", power_month_columns(4)[-1])
+    return win.select("user_id", *power_month_columns(4))
 
 
 @query("three_plus_readers")
@@ -246,7 +246,8 @@ def _market_users(t: Tables) -> DataFrame:
 @query("dtc_revenue")
 def _dtc_revenue(t: Tables) -> DataFrame:
     from ..operators.ranking import dtc_revenue, market_users
-    return dtc_revenue(t.registrations, t.subscriptions, market_users(t.registrations, P.MARKETS), P.AS_OF)
+    return dtc_revenue(t.registrations, t.subscriptions, market_users(t.registrations, P.MARKETS), P.AS_OF,
+                       max_markets=len(P.MARKETS))
 
 
 @query("minmax_score")
@@ -258,19 +259,20 @@ def _minmax_score(t: Tables) -> DataFrame:
     recent = reading.filter(reading.read_date >= F.lit(str(months_back(P.AS_OF, 6))).cast("date"))
     per_book = (recent.join(market_users(t.registrations, P.MARKETS), "user_id")
                 .groupBy("market", "book_id").agg(F.round(F.sum("reading_minutes"), 6).alias("reading_mins")))
-    return minmax_score(per_book, "reading_mins", "norm_reading_mins", ["market"])
+    return minmax_score(per_book, "reading_mins", "norm_reading_mins", ["market"], max_groups=len(P.MARKETS))
 
 
 @query("readership_bayes")
 def _readership(t: Tables) -> DataFrame:
     from ..operators.ranking import market_users, readership
-    return readership(t.reading_activity, market_users(t.registrations, P.MARKETS), P.AS_OF)
+    return readership(t.reading_activity, market_users(t.registrations, P.MARKETS), P.AS_OF,
+                      max_markets=len(P.MARKETS))
 
 
 @query("search_interest")
 def _interest(t: Tables) -> DataFrame:
     from ..operators.ranking import market_table, search_interest
-    return search_interest(t.landing_pages, market_table(t.spark, P.MARKETS))
+    return search_interest(t.landing_pages, market_table(t.spark, P.MARKETS), max_markets=len(P.MARKETS))
 
 
 @query("newness")
@@ -295,7 +297,8 @@ def _consolidate(t: Tables) -> DataFrame:
 def _overall(t: Tables) -> DataFrame:
     from ..operators.ranking import overall_rank
     from .ranking import scored_books
-    return overall_rank(scored_books(**_rank_inputs(t), markets=P.MARKETS, as_of=P.AS_OF))
+    return overall_rank(scored_books(**_rank_inputs(t), markets=P.MARKETS, as_of=P.AS_OF),
+                        max_markets=len(P.MARKETS))
 
 
 def _market_rank_key(name: str):

@@ -9,7 +9,18 @@ from .adapters import ADAPTERS
 from .schemas import LOGICAL_SCHEMAS
 
 
+_READS: dict[tuple[int, str], DataFrame] = {}
+_EXISTS: dict[tuple[int, str], bool] = {}
+
+
 def _path_exists(spark: SparkSession, path: str) -> bool:
+    key = (id(spark), path)
+    if key not in _EXISTS:
+        _EXISTS[key] = _probe(spark, path)
+    return _EXISTS[key]
+
+
+def _probe(spark: SparkSession, path: str) -> bool:
     try:
         jvm = spark.sparkContext._jvm
         jpath = jvm.org.apache.hadoop.fs.Path(path)
@@ -20,7 +31,13 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table; the scan relation (file listing, footer schema) is
+    resolved once per session and path, later plans reuse it."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    if key not in _READS:
+        _READS[key] = spark.read.parquet(path)
+    return _READS[key]
 
 
 def enforce(df: DataFrame, name: str) -> DataFrame:
