@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import SCORE_FLOOR, SCORE_ROUND_DIGITS, SCORE_SCALE
 from ..operators.joins import checked_broadcast
+from ..session import reliable_checkpoint
 from .numbers import round6
 
 MAX_SCORE_GROUPS = 100_000
@@ -30,7 +31,7 @@ def clean_publication_date(c: Column) -> Column:
 
 
 def minmax_score(df: DataFrame, col: str, out: str, partition_cols: Sequence[str] = (),
-                 max_groups: int | None = None) -> DataFrame:
+                 max_groups: int | None = None, materialize: bool = False) -> DataFrame:
     """Scale ``col`` to 0..1000 within each partition, round to tens,
     lift 0 to 1. A partition whose values are all equal scores 1.
 
@@ -38,7 +39,11 @@ def minmax_score(df: DataFrame, col: str, out: str, partition_cols: Sequence[str
     size checked) joined back by broadcast, not from a ``partition by 1``
     window that would pull every row into one task. ``max_groups`` is a
     bound on the distinct partition values the caller knows by construction.
+    ``df`` is read twice (extremes, then scores); ``materialize`` writes it
+    once to the checkpoint folder first, for an aggregate over large facts.
     """
+    if materialize:
+        df = reliable_checkpoint(df)
     stats = df.groupBy(*partition_cols).agg(F.min(col).alias("_mn"), F.max(col).alias("_mx"))
     if partition_cols:
         joined = df.join(checked_broadcast(stats, MAX_SCORE_GROUPS, max_groups), list(partition_cols))

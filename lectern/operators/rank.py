@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, reliable_checkpoint
 from .joins import checked_broadcast
 
 OFFSET_ROWS_LIMIT = 1_000_000
@@ -49,14 +49,13 @@ def global_rank(df: DataFrame, order: Sequence[tuple[str, bool]], out: str = "ra
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     if materialize:
-        df = df.checkpoint(eager=True)
+        df = reliable_checkpoint(df)
     keys = list(partition_cols) + [c for c, _ in order]
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    ranged = (counts.repartitionByRange(n, *_sort(order, partition_cols))
-              .withColumn("_pid", F.spark_partition_id())
-              .checkpoint(eager=True))
+    ranged = reliable_checkpoint(counts.repartitionByRange(n, *_sort(order, partition_cols))
+                                 .withColumn("_pid", F.spark_partition_id()))
 
     before = Window.partitionBy("_pid", *partition_cols).orderBy(*_sort(order, partition_cols)) \
         .rowsBetween(Window.unboundedPreceding, -1)

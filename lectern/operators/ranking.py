@@ -21,6 +21,7 @@ from ..config import (CLICKS_LOOKBACK_MONTHS, READING_LOOKBACK_MONTHS, REVENUE_L
 from ..functions.dates import on_or_after
 from ..functions.numbers import round6
 from ..functions.scoring import clean_publication_date, first_non_blank, minmax_score, nullif_blank
+from ..session import reliable_checkpoint
 from .joins import checked_broadcast
 from .rank import global_rank
 
@@ -85,7 +86,7 @@ def dtc_revenue(registrations: DataFrame, subs: DataFrame, users_by_market: Data
     revenue = (eligible.join(paid, "user_id").filter(F.col("total_paid_gbp") > 0)
                .groupBy("market", "referrer_book")
                .agg(F.count("user_id").alias("users"), round6(F.sum("total_paid_gbp")).alias("dtc_revenue")))
-    return minmax_score(revenue, "dtc_revenue", "norm_dtc_revenue", ["market"], max_markets)
+    return minmax_score(revenue, "dtc_revenue", "norm_dtc_revenue", ["market"], max_markets, materialize=True)
 
 
 def readership(reading: DataFrame, users_by_market: DataFrame, as_of: dt.date,
@@ -100,7 +101,9 @@ def readership(reading: DataFrame, users_by_market: DataFrame, as_of: dt.date,
     per_book = (per_pair.join(users_by_market, "user_id")
                 .groupBy("market", "book_id")
                 .agg(F.count(F.lit(1)).alias("users"), round6(F.sum("_mins")).alias("total_reading_mins")))
-    per_book = per_book.withColumn("avg_read_mins", F.col("total_reading_mins") / F.col("users"))
+    # read three times below (averages, scores, extremes): written once
+    per_book = reliable_checkpoint(
+        per_book.withColumn("avg_read_mins", F.col("total_reading_mins") / F.col("users")))
     averages = per_book.groupBy("market").agg(round6(F.avg("users")).alias("all_user"),
                                               round6(F.avg("avg_read_mins")).alias("all_avg_read_mins"))
     bay = ((F.col("all_user") * F.col("all_avg_read_mins")) + F.col("total_reading_mins")) \
@@ -132,7 +135,7 @@ def search_interest(clicks: DataFrame, markets: DataFrame, max_markets: int | No
     by_market = (per_locale.join(F.broadcast(markets.select("market", "locale")), "locale")
                  .filter(F.col("clicks") > 0)
                  .select("market", "book_id", "impressions", "clicks"))
-    return minmax_score(by_market, "clicks", "norm_clicks", ["market"], max_markets)
+    return minmax_score(by_market, "clicks", "norm_clicks", ["market"], max_markets, materialize=True)
 
 
 def newness(books: DataFrame, with_rank: bool = True) -> DataFrame:
@@ -155,7 +158,7 @@ def academic_mandate(matches: DataFrame) -> DataFrame:
                 .dropDuplicates()
                 .groupBy("book_id").agg(round6(F.sum("enrollment")).alias("enrollment"))
                 .filter(F.col("enrollment") > 0))
-    return minmax_score(per_book, "enrollment", "norm_enrollment")
+    return minmax_score(per_book, "enrollment", "norm_enrollment", materialize=True)
 
 
 NEWNESS_ORDER = [("publication_date", False), ("date_activated", False), ("date_added", False),

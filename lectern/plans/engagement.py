@@ -16,6 +16,7 @@ from ..config import (ENGAGEMENT_EVENTS, SHAPE_KPI, SHAPE_V1, SHAPE_V2, SHAPE_V3
                       cumulative_window, day_windows, month_windows, week_windows)
 from ..operators import engagement as G
 from ..operators.windows import event_windows, reading_windows
+from ..session import reliable_checkpoint
 
 SHAPES = {1: SHAPE_V1, 2: SHAPE_V2, 3: SHAPE_V3}
 
@@ -70,10 +71,10 @@ def engagement_report(users: DataFrame, countries: DataFrame, subs: DataFrame, r
     """G21 (level 1), G22 (level 2), G23 (level 3)."""
     shape = SHAPES[level]
     base = G.engagement_base(users, countries, since, country_in)
-    ten = G.tenure(subs, base, as_of)
-    anchored = G.anchor(base, ten)
-    read = G.restrict(reading, base, "read_date", since)
-    evts = G.restrict_events(events, base, since, ENGAGEMENT_EVENTS)
+    # one row per cohort user, read by both fact branches and the final join
+    anchored = reliable_checkpoint(G.anchor(base, G.tenure(subs, base, as_of)))
+    read = G.restrict(reading, anchored, "read_date", since)
+    evts = G.restrict_events(events, anchored, since, ENGAGEMENT_EVENTS)
 
     block = reading_block(anchored, read, shape)
     weeks_cols = G.active_week_columns(shape.weeks)
@@ -93,9 +94,9 @@ def learning_kpi_report(users: DataFrame, subs: DataFrame, reading: DataFrame, e
     shape = SHAPE_KPI
     base = G.kpi_base(users, since)
     ten = G.tenure(subs, base, as_of, months_col="tenure_months")
-    anchored = G.tenure_expected(G.anchor(base, ten), as_of)
-    read = G.restrict(reading, base, "read_date", since)
-    evts = G.restrict_events(events, base, since, ENGAGEMENT_EVENTS)
+    anchored = reliable_checkpoint(G.tenure_expected(G.anchor(base, ten), as_of))
+    read = G.restrict(reading, anchored, "read_date", since)
+    evts = G.restrict_events(events, anchored, since, ENGAGEMENT_EVENTS)
 
     block = reading_block(anchored, read, shape)
     head = ["registration_month", "user_id", "registration_date", "subscription_start_time",

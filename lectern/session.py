@@ -69,3 +69,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh table folder under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}-{uuid.uuid4().hex}"
+
+
+def reliable_checkpoint(df, name: str = "stage"):
+    """Write ``df`` once as a Parquet table in the shared checkpoint folder
+    and continue from that table: its lineage is cut, so a lost executor
+    costs a re-read of the table, never a recomputation of the plan behind
+    it (and values fixed at write time, such as range-partition ids, stay
+    fixed). One write job; the read back is a columnar scan with pruning.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)
