@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+Every workload of this engine is a batch job over tables (cohorts, windows
+after an anchor date, rankings as of a date); none keeps state across
+micro-batches, so nothing here is built.
+"""
