@@ -36,13 +36,29 @@ def build_session(master: str = "local[8]", app: str = "lectern",
     return spark
 
 
+_LOCAL_DIRS: dict[int, str] = {}
+
+
+def _context(spark: SparkSession):
+    try:
+        return spark.sparkContext
+    except Exception:  # a session without a JVM context (Spark Connect)
+        return None
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared checkpoint folder named by the cluster, if any."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    return sc.getConf().get("spark.checkpoint.dir", None)
+    sc = _context(spark)
+    if sc is not None:
+        if sc.getCheckpointDir():
+            return sc.getCheckpointDir()
+        configured = sc.getConf().get("spark.checkpoint.dir", None)
+        if configured:
+            return configured
+    try:
+        return spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_DIRS.get(id(spark))
+    except Exception:
+        return _LOCAL_DIRS.get(id(spark))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -52,17 +68,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     temporary folder; a cluster session without a shared folder is an error,
     because a machine-local folder does not survive executor loss.
     """
-    sc = spark.sparkContext
+    sc = _context(spark)
     configured = checkpoint_dir(spark)
     if configured:
-        if not sc.getCheckpointDir():
+        if sc is not None and not sc.getCheckpointDir():
             sc.setCheckpointDir(configured)
-        return sc.getCheckpointDir() or configured
-    if not sc.master.startswith("local"):
+        return (sc.getCheckpointDir() if sc is not None else None) or configured
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    if not str(master).startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     folder = tempfile.mkdtemp(prefix="lectern-ckpt-")
-    sc.setCheckpointDir(folder)
-    return sc.getCheckpointDir() or folder
+    _LOCAL_DIRS[id(spark)] = folder
+    if sc is not None:
+        sc.setCheckpointDir(folder)
+        return sc.getCheckpointDir() or folder
+    return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
