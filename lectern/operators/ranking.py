@@ -165,15 +165,23 @@ NEWNESS_ORDER = [("publication_date", False), ("date_activated", False), ("date_
                  ("book_title", True)]
 
 
-def consolidate(books: DataFrame, markets: DataFrame, revenue: DataFrame, readers: DataFrame,
-                interest: DataFrame, mandate: DataFrame | None, max_markets: int | None = None) -> DataFrame:
-    """One row per (market, active book) with every signal (missing -> 0)
-    and the newness rank (market-independent, so ranked once)."""
+def ranked_books(books: DataFrame) -> DataFrame:
+    """Active books with the cleaned publication date and the newness rank
+    (market-independent, so ranked once for all markets)."""
     fresh = books.select("book_id", "book_title", "subject_name", "topic_name", "language_name",
                          "publisher_name", "publisher_imprint", "author", "date_activated", "date_added",
                          F.coalesce(clean_publication_date(F.col("publication_date")), F.lit("0"))
                          .alias("publication_date"))
-    fresh = global_rank(fresh, NEWNESS_ORDER, out="newness")
+    return global_rank(fresh, NEWNESS_ORDER, out="newness")
+
+
+def consolidate(books: DataFrame, markets: DataFrame, revenue: DataFrame, readers: DataFrame,
+                interest: DataFrame, mandate: DataFrame | None, max_markets: int | None = None,
+                ranked: DataFrame | None = None) -> DataFrame:
+    """One row per (market, active book) with every signal (missing -> 0)
+    and the newness rank. ``ranked`` is ``ranked_books(books)`` if already
+    computed."""
+    fresh = ranked if ranked is not None else ranked_books(books)
     grid = fresh.crossJoin(checked_broadcast(markets.select("market", "mandate"), MAX_MARKETS, max_markets))
     rev = revenue.select("market", F.col("referrer_book").alias("book_id"), "norm_dtc_revenue")
     rd = readers.select("market", "book_id", "norm_bay_read_mins")

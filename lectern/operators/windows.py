@@ -27,10 +27,16 @@ from pyspark.sql import functions as F
 from ..config import (ANNOTATION_EVENT, BOOK_OPEN_EVENT, HIGHLIGHT_EVENT,
                       READING_SESSION_EVENTS, Window)
 from ..functions.masks import MAX_BITS, atom_bit_sql, atoms, span_bits, window_bits
+from .joins import checked_broadcast
 
 _ANCHOR_DAY = "_anchor_day"
 _OFFSET = "_offset"
 E = F.expr
+# Anchors (user id + day, ~16 bytes a row) up to this many rows are
+# broadcast, so the facts are never shuffled by user and a hot user cannot
+# load one task; larger anchor tables go through a shuffle join whose skewed
+# partitions AQE splits.
+MAX_BROADCAST_ANCHORS = 2_000_000
 
 
 def _anchors(anchored: DataFrame, user_col: str, anchor_col: str) -> DataFrame:
@@ -39,7 +45,7 @@ def _anchors(anchored: DataFrame, user_col: str, anchor_col: str) -> DataFrame:
 
 def _with_offsets(facts: DataFrame, anchors: DataFrame, user_col: str, date_col: str,
                   lo: int, hi: int) -> DataFrame:
-    return (facts.join(anchors, user_col)
+    return (facts.join(checked_broadcast(anchors, MAX_BROADCAST_ANCHORS), user_col)
             .withColumn(_OFFSET, F.datediff(F.col(date_col), F.col(_ANCHOR_DAY)))
             .filter(E(f"{_OFFSET} BETWEEN {lo} AND {hi}")))
 
