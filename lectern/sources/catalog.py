@@ -10,6 +10,7 @@ from .schemas import LOGICAL_SCHEMAS
 
 
 _READS: dict[tuple[int, str], DataFrame] = {}
+_TABLES: dict[tuple[int, str, str], DataFrame] = {}
 _EXISTS: dict[tuple[int, str], bool] = {}
 
 
@@ -61,11 +62,14 @@ def load(spark: SparkSession, name: str, sf_dir: str, columns: list[str] | None
     """
     if name not in LOGICAL_SCHEMAS:
         raise KeyError(f"unknown logical table {name!r}")
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    if _path_exists(spark, path):
-        df = spark.read.schema(LOGICAL_SCHEMAS[name]).parquet(path)
-    else:
-        df = enforce(ADAPTERS[name](lambda t: driver_table(spark, sf_dir, t)), name)
+    key = (id(spark), sf_dir, name)
+    if key not in _TABLES:
+        path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+        if _path_exists(spark, path):
+            _TABLES[key] = spark.read.schema(LOGICAL_SCHEMAS[name]).parquet(path)
+        else:
+            _TABLES[key] = enforce(ADAPTERS[name](lambda t: driver_table(spark, sf_dir, t)), name)
+    df = _TABLES[key]  # a lazy, immutable plan: safe to share between queries
     return df.select(*columns) if columns else df
 
 
