@@ -14,9 +14,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from ..config import Window
 
 MAX_BITS = 63
@@ -54,20 +51,8 @@ def atom_bit_sql(offset: str, runs: Sequence[tuple[int, int]]) -> str:
             f"THEN element_at(array({', '.join(lookup)}), {offset} - {first} + 1) END")
 
 
-def atom_bit(offset: str, runs: Sequence[tuple[int, int]]) -> Column:
-    return F.expr(atom_bit_sql(offset, runs))
-
-
-def meets(mask: Column, bits: int) -> Column:
-    return (mask.bitwiseAND(F.lit(bits).cast("long"))) != 0
-
-
-def bit(offset: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), offset.cast("int"))
 
 
-def popcount(mask: Column) -> Column:
-    return F.coalesce(F.bit_count(mask).cast("long"), F.lit(0).cast("long"))
 
 
 def span_bits(lo: int, hi: int) -> int:

@@ -14,6 +14,3 @@ def round6(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.round(c.cast("double"), DIGITS)
 
-
-def as_count(c: Column) -> Column:
-    return F.coalesce(c.cast("long"), F.lit(0).cast("long"))
