@@ -48,7 +48,7 @@ def minmax_score(df: DataFrame, col: str, out: str, partition_cols: Sequence[str
     if partition_cols:
         joined = df.join(checked_broadcast(stats, MAX_SCORE_GROUPS, max_groups), list(partition_cols))
     else:
-        joined = df.crossJoin(F.broadcast(stats))
+        joined = df.crossJoin(checked_broadcast(stats, 1, known_rows=1))  # a global aggregate: one row
     v, mn, mx = F.col(col).cast("double"), F.col("_mn").cast("double"), F.col("_mx").cast("double")
     scaled = F.round(F.try_divide(v - mn, mx - mn) * SCORE_SCALE, SCORE_ROUND_DIGITS)
     score = (F.when(mx == mn, F.lit(SCORE_FLOOR)).when(scaled == 0, F.lit(SCORE_FLOOR))

@@ -34,7 +34,7 @@ def ard_distribution(reading: DataFrame, user_col: str = "user_id", date_col: st
     per_user = _ard_per_user(_active_days(reading, user_col, date_col))
     hist = per_user.groupBy("active_reading_days").agg(F.count(F.lit(1)).alias("users"))
     med = per_user.agg(F.median("active_reading_days").cast("double").alias("median_ard"))
-    return hist.crossJoin(F.broadcast(med))
+    return hist.crossJoin(checked_broadcast(med, 1, known_rows=1))  # a global aggregate: one row
 
 
 def ard_daily(reading: DataFrame, user_col: str = "user_id", date_col: str = "read_date") -> DataFrame:
@@ -42,7 +42,7 @@ def ard_daily(reading: DataFrame, user_col: str = "user_id", date_col: str = "re
     days = _active_days(reading, user_col, date_col)
     per_user = _ard_per_user(days)
     med = per_user.agg(F.median("active_reading_days").alias("_median"))
-    segment = (per_user.crossJoin(F.broadcast(med))
+    segment = (per_user.crossJoin(checked_broadcast(med, 1, known_rows=1))
                .select("user_id", F.when(F.col("active_reading_days") > F.col("_median"), "above")
                        .otherwise("below").alias("segment")))
     return (days.join(segment, "user_id").groupBy("read_date", "segment")

@@ -125,14 +125,15 @@ def search_interest(clicks: DataFrame, markets: DataFrame, max_markets: int | No
     locales = markets.select("locale").distinct()
     book = F.col("book_id").try_cast("int")
     per_locale = (clicks.filter((F.col("dates") >= cut) & F.col("book_id").isNotNull())
-                  .join(F.broadcast(locales), "locale", "left_semi")
+                  .join(checked_broadcast(locales, MAX_MARKETS, max_markets), "locale", "left_semi")
                   .select("locale", book.alias("book_id"),
                           F.col("impressions").try_cast("double").alias("impressions"),
                           F.col("clicks").try_cast("double").alias("clicks"))
                   .filter(F.col("book_id").isNotNull())
                   .groupBy("locale", "book_id")
                   .agg(round6(F.sum("impressions")).alias("impressions"), round6(F.sum("clicks")).alias("clicks")))
-    by_market = (per_locale.join(F.broadcast(markets.select("market", "locale")), "locale")
+    by_market = (per_locale.join(checked_broadcast(markets.select("market", "locale"), MAX_MARKETS, max_markets),
+                                 "locale")
                  .filter(F.col("clicks") > 0)
                  .select("market", "book_id", "impressions", "clicks"))
     return minmax_score(by_market, "clicks", "norm_clicks", ["market"], max_markets, materialize=True)
