@@ -1,4 +1,8 @@
-"""Table sinks."""
+"""Table sinks.
+
+A target is a folder path (anything with '/' or a URI scheme) or a table
+name in the session catalog.
+"""
 
 from __future__ import annotations
 
@@ -7,22 +11,45 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def write_new(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
-    """S2 (CREATE TABLE AS): write ``df`` as a new Parquet table; fail if the
-    table exists. Returns the table read back."""
-    writer = df.write.mode("errorifexists")
+def _is_path(target: str) -> bool:
+    return "/" in target or ":" in target
+
+
+def write_new(df: DataFrame, target: str, partition_by: list[str] | None = None) -> DataFrame:
+    """S2 (CREATE TABLE AS): write ``df`` as a new Parquet table; fail if it
+    exists. Returns the table read back."""
+    writer = df.write.mode("errorifexists").format("parquet")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    spark = df.sparkSession
+    if _is_path(target):
+        writer.save(target)
+        return spark.read.parquet(target)
+    writer.saveAsTable(target)
+    return spark.table(target)
 
 
-def append_positional(df: DataFrame, path: str, schema: T.StructType) -> DataFrame:
+def append_positional(df: DataFrame, target: str, schema: T.StructType) -> DataFrame:
     """S3 (INSERT INTO t SELECT *): append ``df`` into a table with a
     declared schema, matching columns by position and casting to the
-    declared types. Returns the table read back with that schema."""
+    declared types. Returns the table read back with that schema.
+
+    For a catalog table the declared schema is the table's own and the
+    write is ``insertInto`` (positional by definition); a folder target
+    gets the schema given here.
+    """
+    spark = df.sparkSession
+    if not _is_path(target) and spark.catalog.tableExists(target):
+        schema = spark.table(target).schema
     if len(df.columns) != len(schema.fields):
         raise ValueError(f"{len(df.columns)} columns for a {len(schema.fields)}-column table")
     cols = [F.col(f"`{src}`").cast(field.dataType).alias(field.name) for src, field in zip(df.columns, schema.fields)]
-    df.select(*cols).write.mode("append").parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    out = df.select(*cols)
+    if _is_path(target):
+        out.write.mode("append").parquet(target)
+        return spark.read.schema(schema).parquet(target)
+    if spark.catalog.tableExists(target):
+        out.write.insertInto(target)
+    else:
+        out.write.format("parquet").saveAsTable(target)
+    return spark.table(target)

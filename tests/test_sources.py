@@ -38,3 +38,19 @@ def test_append_positional_checks_arity(spark):
     from lectern.sources.sinks import append_positional
     with pytest.raises(ValueError):
         append_positional(spark.range(1), tempfile.mkdtemp() + "/t", COHORT_TABLE_SCHEMA)
+
+
+def test_write_new_fails_if_exists_and_append_is_positional(spark):
+    from pyspark.sql import types as T
+    from lectern.sources.sinks import append_positional, write_new
+    folder = tempfile.mkdtemp(prefix="lectern-test-") + "/t"
+    back = write_new(spark.createDataFrame([(1, "a")], "k long, v string"), folder)
+    assert back.count() == 1
+    with pytest.raises(Exception):
+        write_new(spark.createDataFrame([(2, "b")], "k long, v string"), folder)
+    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("label", T.StringType())])
+    target = tempfile.mkdtemp(prefix="lectern-test-") + "/p"
+    append_positional(spark.createDataFrame([(7, "x")], "whatever long, other string"), target, schema)
+    out = append_positional(spark.createDataFrame([(8, "y")], "a long, b string"), target, schema)
+    assert out.schema == schema
+    assert sorted(tuple(r) for r in out.collect()) == [(7, "x"), (8, "y")]
