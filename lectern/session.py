@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import SparkSession
 
@@ -36,7 +37,8 @@ def build_session(master: str = "local[8]", app: str = "lectern",
     return spark
 
 
-_LOCAL_DIRS: dict[int, str] = {}
+# Local-mode fallback folders, keyed weakly by session object.
+_LOCAL_DIRS: "weakref.WeakKeyDictionary[SparkSession, str]" = weakref.WeakKeyDictionary()
 
 
 def _context(spark: SparkSession):
@@ -56,9 +58,9 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
         if configured:
             return configured
     try:
-        return spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_DIRS.get(id(spark))
+        return spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_DIRS.get(spark)
     except Exception:
-        return _LOCAL_DIRS.get(id(spark))
+        return _LOCAL_DIRS.get(spark)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -78,7 +80,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not str(master).startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     folder = tempfile.mkdtemp(prefix="lectern-ckpt-")
-    _LOCAL_DIRS[id(spark)] = folder
+    _LOCAL_DIRS[spark] = folder
     if sc is not None:
         sc.setCheckpointDir(folder)
         return sc.getCheckpointDir() or folder

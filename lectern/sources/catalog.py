@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,16 +11,24 @@ from .adapters import ADAPTERS
 from .schemas import LOGICAL_SCHEMAS
 
 
-_READS: dict[tuple[int, str], DataFrame] = {}
-_TABLES: dict[tuple[int, str, str], DataFrame] = {}
-_EXISTS: dict[tuple[int, str], bool] = {}
+# Per-session memo of resolved scans and logical-table plans. Keyed weakly
+# by the session object, so a stopped and garbage-collected session never
+# hands its frames to a new one.
+_MEMO: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
+
+
+def _memo(spark: SparkSession) -> dict:
+    if spark not in _MEMO:
+        _MEMO[spark] = {}
+    return _MEMO[spark]
 
 
 def _path_exists(spark: SparkSession, path: str) -> bool:
-    key = (id(spark), path)
-    if key not in _EXISTS:
-        _EXISTS[key] = _probe(spark, path)
-    return _EXISTS[key]
+    memo = _memo(spark)
+    key = ("exists", path)
+    if key not in memo:
+        memo[key] = _probe(spark, path)
+    return memo[key]
 
 
 def _probe(spark: SparkSession, path: str) -> bool:
@@ -35,10 +45,10 @@ def driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; the scan relation (file listing, footer schema) is
     resolved once per session and path, later plans reuse it."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    if key not in _READS:
-        _READS[key] = spark.read.parquet(path)
-    return _READS[key]
+    memo = _memo(spark)
+    if ("scan", path) not in memo:
+        memo[("scan", path)] = spark.read.parquet(path)
+    return memo[("scan", path)]
 
 
 def enforce(df: DataFrame, name: str) -> DataFrame:
@@ -62,14 +72,15 @@ def load(spark: SparkSession, name: str, sf_dir: str, columns: list[str] | None
     """
     if name not in LOGICAL_SCHEMAS:
         raise KeyError(f"unknown logical table {name!r}")
-    key = (id(spark), sf_dir, name)
-    if key not in _TABLES:
+    memo = _memo(spark)
+    key = ("table", sf_dir, name)
+    if key not in memo:
         path = f"{sf_dir.rstrip('/')}/{name}.parquet"
         if _path_exists(spark, path):
-            _TABLES[key] = spark.read.schema(LOGICAL_SCHEMAS[name]).parquet(path)
+            memo[key] = spark.read.schema(LOGICAL_SCHEMAS[name]).parquet(path)
         else:
-            _TABLES[key] = enforce(ADAPTERS[name](lambda t: driver_table(spark, sf_dir, t)), name)
-    df = _TABLES[key]  # a lazy, immutable plan: safe to share between queries
+            memo[key] = enforce(ADAPTERS[name](lambda t: driver_table(spark, sf_dir, t)), name)
+    df = memo[key]  # a lazy, immutable plan: safe to share between queries
     return df.select(*columns) if columns else df
 
 
