@@ -68,18 +68,23 @@ def tenure_expected(anchored: DataFrame, as_of) -> DataFrame:
                                whole_months(as_timestamp(as_of), F.col("reg_sub_start_time")))
 
 
-def restrict(facts: DataFrame, base: DataFrame, date_col: str, since,
+def restrict(facts: DataFrame, base: DataFrame | None, date_col: str, since,
              names: Sequence[str] | None = None, name_col: str = "event_name",
              user_col: str = "user_id") -> DataFrame:
     """Facts since ``since`` (optionally of the given names) for the
-    users of ``base`` (a left-semi join: each fact row kept at most once)."""
+    users of ``base`` (a left-semi join: each fact row kept at most once).
+
+    ``base=None`` keeps only the date / name filter, for callers whose next
+    step is an inner join with the same users anyway (the report windows).
+    """
     cond = on_or_after(facts, date_col, since)
     if names is not None:
         cond = cond & F.col(name_col).isin(*names)
-    return facts.filter(cond).join(base.select(user_col), user_col, "left_semi")
+    out = facts.filter(cond)
+    return out if base is None else out.join(base.select(user_col), user_col, "left_semi")
 
 
-def restrict_events(events: DataFrame, base: DataFrame, since, names: Sequence[str] = ENGAGEMENT_EVENTS,
+def restrict_events(events: DataFrame, base: DataFrame | None, since, names: Sequence[str] = ENGAGEMENT_EVENTS,
                     date_col: str = "event_date") -> DataFrame:
     return restrict(events, base, date_col, since, names)
 

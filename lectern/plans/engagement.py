@@ -73,8 +73,10 @@ def engagement_report(users: DataFrame, countries: DataFrame, subs: DataFrame, r
     base = G.engagement_base(users, countries, since, country_in)
     # one row per cohort user, read by both fact branches and the final join
     anchored = reliable_checkpoint(G.anchor(base, G.tenure(subs, base, as_of)))
-    read = G.restrict(reading, anchored, "read_date", since)
-    evts = G.restrict_events(events, anchored, since, ENGAGEMENT_EVENTS)
+    # the windows inner-join the facts to ``anchored``: that join restricts
+    # them to the cohort, so only the date / name filters are applied here
+    read = G.restrict(reading, None, "read_date", since)
+    evts = G.restrict_events(events, None, since, ENGAGEMENT_EVENTS)
 
     block = reading_block(anchored, read, shape)
     weeks_cols = G.active_week_columns(shape.weeks)
@@ -95,8 +97,10 @@ def learning_kpi_report(users: DataFrame, subs: DataFrame, reading: DataFrame, e
     base = G.kpi_base(users, since)
     ten = G.tenure(subs, base, as_of, months_col="tenure_months")
     anchored = reliable_checkpoint(G.tenure_expected(G.anchor(base, ten), as_of))
-    read = G.restrict(reading, anchored, "read_date", since)
-    evts = G.restrict_events(events, anchored, since, ENGAGEMENT_EVENTS)
+    # the windows inner-join the facts to ``anchored``: that join restricts
+    # them to the cohort, so only the date / name filters are applied here
+    read = G.restrict(reading, None, "read_date", since)
+    evts = G.restrict_events(events, None, since, ENGAGEMENT_EVENTS)
 
     block = reading_block(anchored, read, shape)
     head = ["registration_month", "user_id", "registration_date", "subscription_start_time",
