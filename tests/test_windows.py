@@ -183,3 +183,26 @@ def test_bitmask_equals_literal_distinct(spark):
     literal = joined.groupBy("user_id").agg(*exprs)
     cols = literal.columns
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, literal.select(*cols).collect()))
+
+
+def test_bitmask_exact_for_random_window_sets(spark):
+    """Atoms make any set of windows exact, not only aligned weeks and months."""
+    import random
+    from lectern.config import Window
+    rnd = random.Random(11)
+    rows = [(rnd.randint(1, 12), rnd.choice([None] + list(range(10))), day(rnd.randint(-3, 70)), 1.0)
+            for _ in range(1500)]
+    r = reads(spark, rows)
+    a = anchors(spark, range(1, 14))
+    for trial in range(2):
+        wins = []
+        for k in range(6):
+            lo = rnd.randint(0, 50)
+            wins.append(Window(f"x{trial}_{k}", lo, lo + rnd.randint(0, 20)))
+        got = reading_windows(a, r, book_windows=wins)
+        anchor_day = F.to_date("reg_sub_start_time")
+        literal = a.join(r, "user_id", "left").groupBy("user_id").agg(*[
+            F.countDistinct(F.when(F.col("read_date").between(F.date_add(anchor_day, w.lo), F.date_add(anchor_day, w.hi)),
+                                   F.col("book_id"))).alias(f"book_read_{w.name}") for w in wins])
+        cols = literal.columns
+        assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, literal.select(*cols).collect()))
