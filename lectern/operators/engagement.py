@@ -92,8 +92,8 @@ def restrict_events(events: DataFrame, base: DataFrame | None, since, names: Seq
 # -- flags over window columns -------------------------------------------------
 # Generated as SQL expression text (one JVM call per output column).
 
-def _active(k: int) -> str:
-    return f"(book_read_w{k} >= {ACTIVE_WEEK_MIN_BOOKS} AND reading_mins_w{k} >= {ACTIVE_WEEK_MIN_MINUTES})"
+def _active(k: int, min_books: float = ACTIVE_WEEK_MIN_BOOKS, min_minutes: float = ACTIVE_WEEK_MIN_MINUTES) -> str:
+    return f"(book_read_w{k} >= {min_books} AND reading_mins_w{k} >= {min_minutes})"
 
 
 def _one(cond: str) -> str:
@@ -104,27 +104,32 @@ def _flag(cond: str) -> str:
     return f"CASE WHEN {cond} THEN true ELSE false END"
 
 
-def active_week_columns(weeks: int) -> list[Column]:
+def active_week_columns(weeks: int, min_books: float = ACTIVE_WEEK_MIN_BOOKS,
+                        min_minutes: float = ACTIVE_WEEK_MIN_MINUTES) -> list[Column]:
     """1/0 and true/false per week: at least one book and 5 minutes."""
     cols = []
     for k in range(1, weeks + 1):
-        cols += [F.expr(f"{_one(_active(k))} AS active_w{k}"), F.expr(f"{_flag(_active(k))} AS active_flag_w{k}")]
+        cond = _active(k, min_books, min_minutes)
+        cols += [F.expr(f"{_one(cond)} AS active_w{k}"), F.expr(f"{_flag(cond)} AS active_flag_w{k}")]
     return cols
 
 
-def _active_weeks_sql(j: int) -> str:
-    return "(" + " + ".join(_one(_active(k)) for k in range(4 * j - 3, 4 * j + 1)) + ")"
+def _active_weeks_sql(j: int, min_books: float, min_minutes: float) -> str:
+    return "(" + " + ".join(_one(_active(k, min_books, min_minutes)) for k in range(4 * j - 3, 4 * j + 1)) + ")"
 
 
-def active_month_columns(months: int) -> tuple[list[Column], list[Column]]:
+def active_month_columns(months: int, min_weeks: int = ACTIVE_MONTH_MIN_WEEKS,
+                         min_books: float = ACTIVE_WEEK_MIN_BOOKS,
+                         min_minutes: float = ACTIVE_WEEK_MIN_MINUTES) -> tuple[list[Column], list[Column]]:
     """Active weeks per four-week month and the >= 2 flag."""
-    counts = [F.expr(f"{_active_weeks_sql(j)} AS active_wk_m{j}") for j in range(1, months + 1)]
-    flags = [F.expr(f"{_flag(_active_weeks_sql(j) + f' >= {ACTIVE_MONTH_MIN_WEEKS}')} AS active_wk_flag_m{j}")
-             for j in range(1, months + 1)]
+    weeks = [_active_weeks_sql(j, min_books, min_minutes) for j in range(1, months + 1)]
+    counts = [F.expr(f"{w} AS active_wk_m{j}") for j, w in enumerate(weeks, start=1)]
+    flags = [F.expr(f"{_flag(f'{w} >= {min_weeks}')} AS active_wk_flag_m{j}") for j, w in enumerate(weeks, start=1)]
     return counts, flags
 
 
-def power_month_columns(months: int, as_written: bool = True) -> list[Column]:
+def power_month_columns(months: int, as_written: bool = True, min_minutes: float = POWER_WEEK_MIN_MINUTES,
+                        min_weeks: int = POWER_MONTH_MIN_WEEKS) -> list[Column]:
     """A month is a power month when 2 of its weeks reach 72 minutes.
 
     ``as_written`` keeps quirk Q1 of the reference: month 1 tests week 3
@@ -135,15 +140,15 @@ def power_month_columns(months: int, as_written: bool = True) -> list[Column]:
         weeks = list(range(4 * j - 3, 4 * j + 1))
         if as_written and j == 1:
             weeks = [1, 2, 3, 3]
-        hits = " + ".join(_one(f"reading_mins_w{k} >= {POWER_WEEK_MIN_MINUTES}") for k in weeks)
-        parts.append(_one(f"({hits}) >= {POWER_MONTH_MIN_WEEKS}"))
+        hits = " + ".join(_one(f"reading_mins_w{k} >= {min_minutes}") for k in weeks)
+        parts.append(_one(f"({hits}) >= {min_weeks}"))
     cols = [F.expr(f"{p} AS power_active_m{j}") for j, p in enumerate(parts, start=1)]
     return cols + [F.expr("(" + " + ".join(parts) + f") AS power_active_m1_to_m{months}")]
 
 
-def three_plus_column(months: int) -> Column:
+def three_plus_column(months: int, min_books: int = THREE_PLUS_MIN_BOOKS) -> Column:
     """At least three distinct books over the whole period."""
-    return F.expr(f"{_flag(f'book_read_m1_to_m{months} >= {THREE_PLUS_MIN_BOOKS}')} AS flag_3plus_m1_m{months}")
+    return F.expr(f"{_flag(f'book_read_m1_to_m{months} >= {min_books}')} AS flag_3plus_m1_m{months}")
 
 
 def ugc_flag_columns(windows: Sequence[str] = ("d1", "w1", "w2", "w3", "w4", "m1"),
