@@ -284,7 +284,7 @@ group by a.user_id"""
     return with_tables(["event_users", "event_reading"], body)
 
 
-def dense_events(metrics: list[str], outer: str | None = None, extra_reading: bool = False) -> str:
+def dense_events(metrics: list[str], outer: str | None = None) -> str:
     inner = f"""
 select a.user_id,
   {(','+chr(10)+'  ').join(metrics)}
@@ -325,11 +325,7 @@ from anchored_users a""", [("cohort_users", kpi_base_sql()), ("tenure_rollup", s
                                            ", ".join(active_cols(shape12)[:24]))
     counts = active_cols(shape12)[24:]
     flags = [f"case when active_wk_m{j} >= 2 then true else false end as active_wk_flag_m{j}" for j in (1, 2, 3)]
-    o["active_month_flags"] = dense_reading([f(w, a) for w in w12 for f in (books, mins)],
-                                            "*" if False else ", ".join(c.rsplit(" as ", 1)[1] for c in counts)
-                                            + ", " + ", ".join(flags)).replace(
-        "select user_id, active_wk_m1", "select user_id, active_wk_m1", 1)
-    # the flags need the counts: compute counts one level down
+    # the flags read the counts: counts one level down
     o["active_month_flags"] = with_tables(["event_users", "event_reading"], f"""
 select user_id, active_wk_m1, active_wk_m2, active_wk_m3, {", ".join(flags)}
 from (
