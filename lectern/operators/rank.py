@@ -26,6 +26,10 @@ from ..session import ensure_checkpoint_dir, reliable_checkpoint
 from .joins import checked_broadcast
 
 OFFSET_ROWS_LIMIT = 1_000_000
+# Up to this many distinct sort keys, the keys (aggregated rows, one per
+# key with its row count) are ranked by an ordinary window: a bounded input,
+# no sampling job, no written stage. Above it, the range-partitioned path.
+SMALL_KEYS = 200_000
 
 
 def _sort(order: Sequence[tuple[str, bool]], partition_cols: Sequence[str]) -> list[Column]:
@@ -36,7 +40,8 @@ def _sort(order: Sequence[tuple[str, bool]], partition_cols: Sequence[str]) -> l
 
 def global_rank(df: DataFrame, order: Sequence[tuple[str, bool]], out: str = "rank",
                 partition_cols: Sequence[str] = (), num_partitions: int | None = None,
-                max_groups: int | None = None, materialize: bool = False) -> DataFrame:
+                max_groups: int | None = None, materialize: bool = False,
+                small_keys: int = SMALL_KEYS) -> DataFrame:
     """``df`` plus ``out`` = rank() over (partition by ``partition_cols``
     order by ``order``), NULLs last in both directions. ``order`` is a list
     of (column, ascending).
@@ -44,7 +49,9 @@ def global_rank(df: DataFrame, order: Sequence[tuple[str, bool]], out: str = "ra
     ``df`` is read twice (key counts, then the join back); with
     ``materialize`` it is first written once to the checkpoint folder, for
     inputs that are expensive to recompute. ``max_groups`` bounds the
-    distinct ``partition_cols`` values when the caller knows it.
+    distinct ``partition_cols`` values when the caller knows it. When a
+    bounded count proves at most ``small_keys`` distinct keys, the counted
+    keys are ranked by a plain window instead of the range-partitioned path.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -54,6 +61,14 @@ def global_rank(df: DataFrame, order: Sequence[tuple[str, bool]], out: str = "ra
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if small_keys > 0 and counts.limit(small_keys + 1).count() <= small_keys:
+        earlier = Window.partitionBy(*partition_cols).orderBy(*_sort(order, ())) \
+            .rowsBetween(Window.unboundedPreceding, -1)
+        ranks = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                              (F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("long")) + 1)
+                              .cast("long").alias(out))
+        cond = [df[k].eqNullSafe(ranks[f"_k{i}"]) for i, k in enumerate(keys)]
+        return df.join(ranks, cond, "inner").select(*[df[c] for c in df.columns], ranks[out])
     ranged = reliable_checkpoint(counts.repartitionByRange(n, *_sort(order, partition_cols))
                                  .withColumn("_pid", F.spark_partition_id()))
 

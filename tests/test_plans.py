@@ -15,13 +15,35 @@ def test_windows_have_no_expand(spark):
         assert "Expand" not in plan(entry.queries()[key](spark, SMALL)), key
 
 
+def _marker(line: str) -> int:
+    hits = [i for i in (line.find("+- "), line.find(":- ")) if i >= 0]
+    return min(hits) if hits else -1
+
+
+def _child(lines: list[str], i: int) -> str:
+    """The operator line directly below line ``i`` in Spark's tree string."""
+    depth = _marker(lines[i])
+    for line in lines[i + 1:]:
+        m = _marker(line)
+        if m == depth + 3:
+            return line
+        if 0 <= m <= depth:
+            break
+    return ""
+
+
 def test_single_partition_only_over_aggregates(spark):
+    """Single-partition exchanges may only feed on aggregated rows (one-row
+    extremes, per-key counts of the rank, per-partition totals)."""
     text = plan(entry.queries()["market_rank_all"](spark, SMALL))
     lines = text.splitlines()
+    seen = 0
     for i, line in enumerate(lines):
-        if "Exchange SinglePartition" in line:
-            below = "\n".join(lines[i + 1:i + 4])
-            assert "HashAggregate" in below or "ShuffleQueryStage" in below, below
+        if "Exchange SinglePartition" in line and "ReusedExchange" not in line:
+            seen += 1
+            child = _child(lines, i)
+            assert "HashAggregate" in child or "ShuffleQueryStage" in child, child
+    assert seen > 0
 
 
 def test_extract_range_pushed_to_scan(spark):
