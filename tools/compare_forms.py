@@ -77,24 +77,28 @@ def main(argv):
 
     inputs = dict(meta=t.book_meta, registrations=t.registrations, subs=t.subscriptions,
                   reading=t.reading_activity, clicks=t.landing_pages, matches=t.academic_matches)
-    out["rank_distributed_sec"] = timed(lambda: market_rank(**inputs, markets=P.MARKETS, as_of=P.AS_OF))
-    dist = market_rank(**inputs, markets=P.MARKETS, as_of=P.AS_OF).collect()
-
     import lectern.operators.rank as rank_mod
     original = R.global_rank
 
     def plain(df, order, out="rank", partition_cols=(), **_):
         return plain_rank(df, order, out=out, partition_cols=partition_cols)
 
-    R.global_rank = plain
-    rank_mod_global = rank_mod.global_rank
+    def ranged(df, order, **kw):
+        kw["small_keys"] = 0
+        return original(df, order, **kw)
+
+    def run_rank():
+        return market_rank(**inputs, markets=P.MARKETS, as_of=P.AS_OF)
+
+    results = {}
     try:
-        out["rank_plain_sec"] = timed(lambda: market_rank(**inputs, markets=P.MARKETS, as_of=P.AS_OF))
-        plain_rows = market_rank(**inputs, markets=P.MARKETS, as_of=P.AS_OF).collect()
+        for label, fn in (("adaptive", original), ("range_partitioned", ranged), ("plain", plain)):
+            R.global_rank = fn
+            out[f"rank_{label}_sec"] = timed(run_rank)
+            results[label] = sorted(map(tuple, run_rank().collect()))
     finally:
         R.global_rank = original
-        rank_mod.global_rank = rank_mod_global
-    out["rank_equal"] = sorted(map(tuple, dist)) == sorted(map(tuple, plain_rows))
+    out["rank_equal"] = results["adaptive"] == results["plain"] == results["range_partitioned"]
     print(json.dumps(out))
     spark.stop()
 
