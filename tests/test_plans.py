@@ -64,3 +64,12 @@ def test_market_rank_slice_equals_single_market(spark):
     all_markets = entry.queries()["market_rank_all"](spark, SMALL).filter("local_index = 'italy'")
     italy = entry.queries()["market_rank_italy"](spark, SMALL)
     assert sorted(map(tuple, all_markets.collect())) == sorted(map(tuple, italy.collect()))
+
+
+def test_projection_prunes_the_scan(spark):
+    from lectern.sources.catalog import load
+    df = load(spark, "book_meta", SMALL, columns=["id", "title_text"])
+    text = df._jdf.queryExecution().executedPlan().toString()
+    schema = text[text.index("ReadSchema: "):].split("\n")[0]
+    assert "p_partkey" in schema and "p_name" in schema
+    assert "p_brand" not in schema and "p_type" not in schema and "p_retailprice" not in schema
