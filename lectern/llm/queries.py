@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .op2_byte_bpe import op2_byte_bpe
+from .op3_binary import op3_binary
+from .op8_packing import op8_packing
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe,)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_binary, op8_packing)}
 
 ORACLE: dict[str, str] = {}
