@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..session import scratch_path
 
@@ -39,17 +41,14 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def per_row(df: DataFrame, schema: str, make: Callable[[], Callable[..., Iterator[tuple]]], out_rows: int = 4096) -> DataFrame:
+def per_row(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[..., Iterator[tuple]]], out_rows: int = 4096) -> DataFrame:
     """Arrow-batched flat map: ``make()`` is called once per task and gives a
     function of the row's values that yields output tuples.
 
     Output leaves in batches of at most ``out_rows`` rows, so memory stays
     bounded by the input batch and one output batch.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    arrow = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, rows = make(), []

@@ -5,9 +5,10 @@ from __future__ import annotations
 from .op2_byte_bpe import op2_byte_bpe
 from .op3_binary import op3_binary
 from .op5_quality import op5_quality
+from .op6_suffix import op6_suffix
 from .op7_minhash import op7_minhash
 from .op8_packing import op8_packing
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_binary, op5_quality, op7_minhash, op8_packing)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_binary, op5_quality, op6_suffix, op7_minhash, op8_packing)}
 
 ORACLE: dict[str, str] = {}
