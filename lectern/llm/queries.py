@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from .op1_secrets import op1_secrets
 from .op2_byte_bpe import op2_byte_bpe
 from .op3_binary import op3_binary
+from .op4_chat import OP4_SQL, op4_chat
 from .op5_quality import op5_quality
 from .op6_suffix import op6_suffix
 from .op7_minhash import op7_minhash
 from .op8_packing import op8_packing
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_binary, op5_quality, op6_suffix, op7_minhash, op8_packing)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_byte_bpe, op3_binary, op4_chat, op5_quality, op6_suffix, op7_minhash, op8_packing)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_chat": OP4_SQL}
