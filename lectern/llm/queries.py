@@ -10,7 +10,9 @@ from .op5_quality import op5_quality
 from .op6_suffix import op6_suffix
 from .op7_minhash import op7_minhash
 from .op8_packing import op8_packing
+from .op9_simhash import op9_simhash
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_byte_bpe, op3_binary, op4_chat, op5_quality, op6_suffix, op7_minhash, op8_packing)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_byte_bpe, op3_binary, op4_chat, op5_quality, op6_suffix, op7_minhash,
+                                    op8_packing, op9_simhash)}
 
 ORACLE: dict[str, str] = {"op4_chat": OP4_SQL}
