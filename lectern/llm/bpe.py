@@ -8,17 +8,19 @@ and reading a byte only ever needs the last settled token and the bytes since.
 Of that token only the parts of its right edge matter that some token joins with
 the next byte; they and the bytes are the state. Transitions are made on first use: all chains of
 tokens that a longer token could still replace are kept, and what they have
-in common is emitted; a state is dropped and made again when the cache fills.
+in common is emitted; once there is no room for more, states are made as needed
+and not kept.
 """
 
 from __future__ import annotations
 
 import base64
 
-#: States kept per worker before the cache is emptied.
-MAX_STATES = 150_000
+#: States kept per worker.
+MAX_STATES = 300_000
 
-_FLUSH, _KEY = -1, -2
+_FLUSH, _KEY, _KEPT = -1, -2, -3
+_BYTES = [bytes([b]) for b in range(256)]
 _NEVER = 1 << 60
 
 
@@ -35,9 +37,6 @@ class MergeTransducer:
         self.ranks, self.max_states = ranks, max_states
         self.longer = {t[:k] for t in ranks for k in range(1, len(t))}  # proper prefixes: a token may go on
         self.spines: dict[bytes, tuple[list, list] | None] = {}
-        self.reset()
-
-    def reset(self) -> None:
         self.states: dict[tuple, dict] = {}
         self.edges: dict[tuple, tuple] = {}
         self.start = self._state(None, b"", [(0, ())], ())
@@ -100,40 +99,51 @@ class MergeTransducer:
         key = (edge, pending) if pending else (last, pending)
         state = self.states.get(key)
         if state is None:
-            state = self.states[key] = {_FLUSH: tuple([self.ranks[t] for t in live[-1][1]]), _KEY: (last, pending, live, edge)}
+            state = {_FLUSH: [self.ranks[t] for t in live[-1][1]], _KEY: (last, pending, live, edge)}
+            if len(self.states) < self.max_states:
+                self.states[key] = state
+                state[_KEPT] = True
         return state
 
-    def _step(self, state: dict, byte: int) -> tuple[dict, tuple]:
-        """The missing transition of ``state`` on ``byte``."""
+    def _step(self, state: dict, byte: int) -> tuple[dict, list]:
+        """The transition of ``state`` on ``byte``, kept while there is room."""
         last, pending, live, edge = state[_KEY]
         if not pending:
             edge = self._edge(last, byte)
-        pending += bytes([byte])
-        longer, on, end = self.longer, [], None
-        for j, c in live:
-            t = pending[j:]
-            if end is None and self._token(t) and self._fits(self._edge(c[-1], t[0]) if c else edge, t):
-                end = c + (t,)
+        pending += _BYTES[byte]
+        longer, ranks, on, end = self.longer, self.ranks, [], None
+        for at in live:
+            j, c = at
+            t = pending[j:] if j else pending
+            if end is None and t in ranks and self._token(t):
+                e = self._edge(c[-1], t[0]) if c else edge
+                if not e or self._fits(e, t):
+                    end = c + (t,)
             if t in longer:
-                on.append((j, c))
+                on.append(at)
         on.append((len(pending), end))
-        common = 0
-        first = on[0][1]
-        while common < len(first) and all(len(c) > common and c[common] == first[common] for _, c in on):
-            common += 1
-        settled = end[:common]
+        settled = ()
+        if len(on) == 1:
+            settled = end
+        elif on[0][1]:
+            first, common = on[0][1], 0
+            while common < len(first) and all([c[common:common + 1] == first[common:common + 1] for _, c in on]):
+                common += 1
+            settled = first[:common]
+        out = ()
         if settled:
-            cut = sum(map(len, settled))
+            common, cut = len(settled), sum(map(len, settled))
             last, pending, on = settled[-1], pending[cut:], [(j - cut, c[common:]) for j, c in on]
             edge = self._edge(last, pending[0]) if pending else ()
-        state[byte] = (self._state(last, pending, on, edge), tuple([self.ranks[t] for t in settled]))
-        return state[byte]
+            out = [ranks[t] for t in settled]
+        to = self._state(last, pending, on, edge)
+        if _KEPT in state and _KEPT in to:
+            state[byte] = to, out
+        return to, out
 
     def encode(self, piece: bytes) -> list[int]:
         if piece in self.ranks:  # a pre-token that is itself a token is not split
             return [self.ranks[piece]]
-        if len(self.states) > self.max_states:
-            self.reset()
         out: list[int] = []
         state = self.start
         for byte in piece:

@@ -45,14 +45,14 @@ class ByteBpe:
 
     def _many(self, texts) -> list[bytes]:
         find, encode, known, out = self.pieces.findall, self.transducer.encode, self.known, []
-        if len(known) > MEMO_PIECES:
-            known.clear()
         for text in texts:
             ids: list[int] = []
             for p in find(text):
                 got = known.get(p)
                 if got is None:
-                    got = known[p] = encode(p.encode())
+                    got = encode(p.encode())
+                    if len(known) < MEMO_PIECES:
+                        known[p] = got
                 ids += got
             out.append(array("I", ids).tobytes())
         return out
@@ -69,7 +69,7 @@ def codec(file: str = RANKS_FILE) -> ByteBpe:
     if file not in _WORKER:
         import public_tokenizers
 
-        gc.set_threshold(100_000, 50, 100)  # the caches are long-lived; scanning them often costs more than the work
+        gc.set_threshold(200_000, 100, 1000)  # the caches are long-lived; scanning them often costs more than the work
         _WORKER[file] = ByteBpe(tokenizer_path(file), public_tokenizers.PATTERN)
     return _WORKER[file]
 

@@ -14,8 +14,10 @@ import numpy as np
 
 from .common import tokenizer_path
 
-#: Chunks kept per worker; the memo is emptied when it is full.
-MEMO_CHUNKS = 400_000
+#: Chunks kept per worker. Common ones come early, so a full memo is kept as it
+#: is; only after ``STALE`` times as many chunks not found it starts anew.
+MEMO_CHUNKS = 500_000
+STALE = 20
 
 _WORKER: dict = {}
 
@@ -36,22 +38,29 @@ class SpacedMemo:
         self.encode_many, self.limit = encode_many, limit
         self.heads: dict[bytes, bytes | None] = {}
         self.tails: dict[bytes, bytes | None] = {}
+        self.missed = 0
         self.newline = encode_many(["\n"])[0]
 
-    def _learn(self, memo: dict, chunks: list[bytes], prefix: str) -> None:
+    def _learn(self, kept: dict, chunks: list[bytes], prefix: str) -> dict:
+        """``kept`` with the new chunks, or beside it if it is full."""
         texts = [c.decode() for c in chunks]
         good = [_plain(t) for t in texts]
         packed = iter(self.encode_many([prefix + t for t, g in zip(texts, good) if g]))
-        memo.update((c, next(packed) if g else None) for c, g in zip(chunks, good))
-
-    def _cut(self, data: bytes) -> list[bytes]:
+        new = {c: next(packed) if g else None for c, g in zip(chunks, good)}
+        if len(kept) < self.limit:
+            kept.update(new)
+            return kept
+        self.missed += len(new)
+        return _Both(kept, new)
+
+    def _cut(self, data: bytes, heads: dict, tails: dict) -> list[bytes]:
         out: list = []
         for k, line in enumerate(data.split(b"\n")):
             words = line.split(b" ")
             if k:
                 out.append(self.newline)
-            out.append(self.heads[words[0]])
-            out.extend(map(self.tails.__getitem__, words[1:]))
+            out.append(heads[words[0]])
+            out.extend(map(tails.__getitem__, words[1:]))
         return out
 
     def __call__(self, text: str) -> bytes:
@@ -59,15 +68,14 @@ class SpacedMemo:
             return b""
         data = text.encode()
         try:
-            out = self._cut(data)
+            out = self._cut(data, self.heads, self.tails)
         except KeyError:
-            if len(self.heads) + len(self.tails) > self.limit:
-                self.heads.clear()
-                self.tails.clear()
+            if self.missed > STALE * self.limit:
+                self.heads, self.tails, self.missed = {}, {}, 0
             lines = [line.split(b" ") for line in data.split(b"\n")]
-            self._learn(self.heads, [w for w in {x[0] for x in lines} if w not in self.heads], "")
-            self._learn(self.tails, [w for w in {w for x in lines for w in x[1:]} if w not in self.tails], " ")
-            out = self._cut(data)
+            heads = self._learn(self.heads, [w for w in {x[0] for x in lines} if w not in self.heads], "")
+            tails = self._learn(self.tails, [w for w in {w for x in lines for w in x[1:]} if w not in self.tails], " ")
+            out = self._cut(data, heads, tails)
         try:
             return b"".join(out)
         except TypeError:  # a chunk that is empty or holds other white space
@@ -78,7 +86,7 @@ class WordMemo:
     """For tokenizers that drop white space: words are independent."""
 
     def __init__(self, encode_many: Callable[[Sequence[str]], list[bytes]], limit: int = MEMO_CHUNKS):
-        self.encode_many, self.limit, self.memo = encode_many, limit, {}
+        self.encode_many, self.limit, self.memo, self.missed = encode_many, limit, {}, 0
 
     def __call__(self, text: str) -> bytes:
         words = text.encode().split()
@@ -86,13 +94,29 @@ class WordMemo:
         try:
             return b"".join(map(memo.__getitem__, words))
         except KeyError:
-            if len(memo) > self.limit:
-                memo.clear()
             new = [w for w in set(words) if w not in memo]
-            memo.update(zip(new, self.encode_many([w.decode() for w in new])))
+            found = dict(zip(new, self.encode_many([w.decode() for w in new])))
+            if len(memo) < self.limit:
+                memo.update(found)
+            else:
+                self.missed += len(found)
+                if self.missed > STALE * self.limit:
+                    self.memo, self.missed = {}, 0
+                memo = _Both(memo, found)
             return b"".join(map(memo.__getitem__, words))
 
 
+class _Both(dict):
+    """A dict that looks further in a full memo."""
+
+    def __init__(self, kept: dict, new: dict):
+        super().__init__(new)
+        self.kept = kept
+
+    def __missing__(self, key):
+        return self.kept[key]
+
+
 def library_encoder(file: str, spaced: bool, dtype: str = "<u4") -> Callable[[str], bytes]:
     """Text -> packed ids by the tokenizers library, without special tokens
     (their strings in a text are ordinary text); one per worker process.
