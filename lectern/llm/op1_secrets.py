@@ -45,6 +45,8 @@ MIN_RUN = 16
 #: Nats a character by which a run must look more random than ordinary.
 MIN_RATIO = 0.8
 TRAIN_DOCS = 4000
+#: Random strings drawn from each training document's id.
+DRAWN = 4
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_"
 RUN = r"[A-Za-z0-9+/_]{%d,}" % MIN_RUN
 
@@ -91,9 +93,13 @@ def found_in(docs: DataFrame) -> DataFrame:
 
 
 def bigrams(strings: DataFrame) -> DataFrame:
-    """(pair, n) over the strings of column ``s``."""
-    pairs = strings.filter(F.length("s") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substr("s", i, F.lit(2)))).alias("pair"))
-    return pairs.groupBy("pair").agg(F.count("*").alias("n"))
+    """(pair, n): in how many of the strings of column ``s`` each character pair
+    is, so that no single long one decides."""
+    def pairs(chars: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(chars) - 1), lambda i: F.concat(F.element_at(chars, i), F.element_at(chars, i + 1)))
+
+    found = strings.filter(F.length("s") > 1).select(F.explode(F.array_distinct(let(F.split("s", ""), pairs))).alias("pair"))
+    return found.groupBy("pair").agg(F.count("*").alias("n"))
 
 
 def train(docs: DataFrame) -> list[float]:
@@ -101,10 +107,10 @@ def train(docs: DataFrame) -> list[float]:
     keys = docs.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
     sample = docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id")  # TRAIN_DOCS ids
     held = found_in(sample)
-    digest = F.sha2(F.col("doc_id").cast("string").cast("binary"), 256)
+    digests = F.transform(F.sequence(F.lit(1), F.lit(DRAWN)), lambda k: F.sha2(F.concat_ws("-", F.col("doc_id"), k).cast("binary"), 256))
+    drawn = F.flatten(F.transform(digests, lambda d: F.array(F.base64(F.unhex(d)), d)))
     value = F.transform("assign", lambda m: F.regexp_extract(m["match"], ASSIGN, 1))
     rest = F.transform(F.concat("access", "hex"), lambda m: m["match"])
-    drawn = F.array(digest, F.base64(F.unhex(digest)), F.base64(F.unhex(F.sha2(digest.cast("binary"), 256))))
     random = held.select(F.explode(F.concat(value, rest, drawn)).alias("s")).select(F.regexp_replace("s", "[^A-Za-z0-9+/_]", "").alias("s"))
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("clean", ASSIGN, " "), ACCESS, " "), HEX, " ")
     words = F.regexp_extract_all(plain, F.lit(r"\b[A-Za-z]{3,}\b"), F.lit(0))
@@ -125,9 +131,13 @@ def train(docs: DataFrame) -> list[float]:
 def ratio(run: Column, model: list[float]) -> Column:
     """Log-likelihood ratio of a run, a character pair on average."""
     table_ = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")  # folded to a constant
-    at = lambda i: F.instr(F.lit(ALPHABET), F.substr(run, i, F.lit(1))) - 1
-    total = F.aggregate(F.sequence(F.lit(1), F.length(run) - 1), F.lit(0.0), lambda acc, i: acc + F.element_at(table_, at(i) * len(ALPHABET) + at(i + 1) + 1))
-    return total / (F.length(run) - 1)
+    places = F.transform(F.split(run, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+
+    def total(at: Column) -> Column:
+        steps = F.sequence(F.lit(1), F.size(at) - 1)
+        return F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.element_at(table_, F.element_at(at, i) * len(ALPHABET) + F.element_at(at, i + 1) + 1))
+
+    return let(places, total) / (F.length(run) - 1)
 
 
 def scan(docs: DataFrame, model: list[float] | None = None, least: float = MIN_RATIO) -> DataFrame:
