@@ -37,20 +37,38 @@ class MergeTransducer:
         self.ranks, self.max_states = ranks, max_states
         self.longer = {t[:k] for t in ranks for k in range(1, len(t))}  # proper prefixes: a token may go on
         self.spines: dict[bytes, tuple[list, list] | None] = {}
+        #: Merges inside every token are made in order of rank, as in any trained
+        #: vocabulary; otherwise pairs of tokens are tried by the merge loop.
+        self.regular = True
+        for token in ranks:
+            self._spines(token)
         self.states: dict[tuple, dict] = {}
         self.edges: dict[tuple, tuple] = {}
         self.start = self._state(None, b"", [(0, ())], ())
 
     def _halves(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two tokens that the merge loop joins last on the bytes of ``token``; None if it never gets there."""
-        parts, ranks = [token[i:i + 1] for i in range(len(token))], self.ranks
+        parts, ranks, last = [token[i:i + 1] for i in range(len(token))], self.ranks, -1
         while len(parts) > 2:
             rank, at = min((ranks.get(parts[i] + parts[i + 1], _NEVER), i) for i in range(len(parts) - 1))
             if rank == _NEVER:
                 return None
+            self.regular &= rank >= last
+            last = rank
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        self.regular &= ranks[token] >= last
         return parts[0], parts[1]
 
+    def merge(self, piece: bytes) -> list[bytes]:
+        """The defining merge loop; only for vocabularies that aren't regular."""
+        parts, ranks = [piece[i:i + 1] for i in range(len(piece))], self.ranks
+        while len(parts) > 1:
+            rank, at = min((ranks.get(parts[i] + parts[i + 1], _NEVER), i) for i in range(len(parts) - 1))
+            if rank == _NEVER:
+                break
+            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
     def _spines(self, token: bytes) -> tuple[list, list] | None:
         """Right and left edge of ``token`` back in time: (part, rank of the merge
         that made it, rank of the merge that uses it up). None: not a BPE result."""
@@ -73,6 +91,8 @@ class MergeTransducer:
         all that a following token can depend on."""
         if a is None:
             return ()
+        if not self.regular:
+            return (a,)
         key = (a, byte)
         if key not in self.edges:
             b = bytes([byte])
@@ -82,6 +102,8 @@ class MergeTransducer:
     def _fits(self, edge: tuple, b: bytes) -> bool:
         """Whether no merge ever joins a part of ``edge`` with the start of ``b``:
         of two parts there at the same time, another merge uses up one before."""
+        if edge and not self.regular:
+            return self.merge(edge[0] + b) == [edge[0], b]
         if edge:
             ranks = self.ranks
             for y, y_made, y_used in self.spines[b][1]:
