@@ -74,10 +74,8 @@ def parts_of(docs: DataFrame, rows: int = PART_ROWS) -> Column:
     n = max(1, count // rows)
     shares = [k / n for k in range(1, n)]
     bounds = sorted(set(docs.select(F.percentile_approx("doc_id", shares, 10 * n)).head()[0] or [])) if shares else []
-    if not bounds:
-        return F.when(F.col("doc_id").isNull(), -1).otherwise(0)
-    listed = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
-    return F.coalesce(F.size(F.filter(listed, lambda b: b < F.col("doc_id"))), F.lit(-1))
+    listed = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>") if bounds else F.array().cast("array<bigint>")
+    return F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(listed, lambda b: b < F.col("doc_id"))))
 
 
 def with_next(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
