@@ -51,9 +51,5 @@ def atom_bit_sql(offset: str, runs: Sequence[tuple[int, int]]) -> str:
             f"THEN element_at(array({', '.join(lookup)}), {offset} - {first} + 1) END")
 
 
-
-
-
-
 def span_bits(lo: int, hi: int) -> int:
     return sum(1 << k for k in range(lo, hi + 1))

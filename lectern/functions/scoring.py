@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SCORE_FLOOR, SCORE_ROUND_DIGITS, SCORE_SCALE
-from ..operators.joins import checked_broadcast
+from ..operators.joins import bounded_broadcast
 from ..session import reliable_checkpoint
 from .numbers import round6
 
@@ -46,9 +46,9 @@ def minmax_score(df: DataFrame, col: str, out: str, partition_cols: Sequence[str
         df = reliable_checkpoint(df)
     stats = df.groupBy(*partition_cols).agg(F.min(col).alias("_mn"), F.max(col).alias("_mx"))
     if partition_cols:
-        joined = df.join(checked_broadcast(stats, MAX_SCORE_GROUPS, max_groups), list(partition_cols))
+        joined = df.join(bounded_broadcast(stats, max_groups, MAX_SCORE_GROUPS), list(partition_cols))
     else:
-        joined = df.crossJoin(checked_broadcast(stats, 1, known_rows=1))  # a global aggregate: one row
+        joined = df.crossJoin(bounded_broadcast(stats, 1, 1))  # a global aggregate: one row
     v, mn, mx = F.col(col).cast("double"), F.col("_mn").cast("double"), F.col("_mx").cast("double")
     scaled = F.round(F.try_divide(v - mn, mx - mn) * SCORE_SCALE, SCORE_ROUND_DIGITS)
     score = (F.when(mx == mn, F.lit(SCORE_FLOOR)).when(scaled == 0, F.lit(SCORE_FLOOR))

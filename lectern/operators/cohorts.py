@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..config import REFERENCE_COHORTS, RETENTION_SESSION_EVENTS
 from ..functions.dates import day_range
-from .joins import checked_broadcast
+from .joins import bounded_broadcast
 
 MAX_COHORTS = 10_000
 
@@ -48,7 +48,7 @@ def label_cohorts(registrations: DataFrame, cohorts=REFERENCE_COHORTS) -> DataFr
                        _next_month(max(firsts)) - dt.timedelta(days=1))
     reg = (registrations.filter(bounds & (F.col("converted_subscribed") == "Y"))
            .withColumn("registration_month", F.date_trunc("month", "registration_time").cast("timestamp_ntz")))
-    table = checked_broadcast(cohort_table(spark, cohorts), MAX_COHORTS, known_rows=len(cohorts))
+    table = bounded_broadcast(cohort_table(spark, cohorts), len(cohorts), MAX_COHORTS)
     labelled = reg.join(table, "registration_month")
     return labelled.select("cohort_month", "cohort_year", "cohort_period", "registration_month",
                            *REGISTRATION_COLUMNS)

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import round6
-from .joins import checked_broadcast
+from .joins import bounded_broadcast
 
-MAX_CATEGORIES = 100
+#: What ``_book_category`` can give.
+BOOK_CATEGORIES = ("0", "1", "2", "3+")
 
 
 def _active_days(reading: DataFrame, user_col: str, date_col: str) -> DataFrame:
@@ -34,7 +35,7 @@ def ard_distribution(reading: DataFrame, user_col: str = "user_id", date_col: st
     per_user = _ard_per_user(_active_days(reading, user_col, date_col))
     hist = per_user.groupBy("active_reading_days").agg(F.count(F.lit(1)).alias("users"))
     med = per_user.agg(F.median("active_reading_days").cast("double").alias("median_ard"))
-    return hist.crossJoin(checked_broadcast(med, 1, known_rows=1))  # a global aggregate: one row
+    return hist.crossJoin(bounded_broadcast(med, 1, 1))  # a global aggregate: one row
 
 
 def ard_daily(reading: DataFrame, user_col: str = "user_id", date_col: str = "read_date") -> DataFrame:
@@ -42,7 +43,7 @@ def ard_daily(reading: DataFrame, user_col: str = "user_id", date_col: str = "re
     days = _active_days(reading, user_col, date_col)
     per_user = _ard_per_user(days)
     med = per_user.agg(F.median("active_reading_days").alias("_median"))
-    segment = (per_user.crossJoin(checked_broadcast(med, 1, known_rows=1))
+    segment = (per_user.crossJoin(bounded_broadcast(med, 1, 1))
                .select("user_id", F.when(F.col("active_reading_days") > F.col("_median"), "above")
                        .otherwise("below").alias("segment")))
     return (days.join(segment, "user_id").groupBy("read_date", "segment")
@@ -87,7 +88,7 @@ def ars_distribution(events: DataFrame, user_col: str = "user_id", session_col:
     hist = per_user.groupBy("book_category", "active_reading_sessions").agg(F.count(F.lit(1)).alias("users"))
     med = per_user.groupBy("book_category").agg(
         F.median("active_reading_sessions").cast("double").alias("median_ars"))
-    return hist.join(checked_broadcast(med, MAX_CATEGORIES), "book_category")
+    return hist.join(bounded_broadcast(med, len(BOOK_CATEGORIES), len(BOOK_CATEGORIES)), "book_category")
 
 
 def sessions_by_week(events: DataFrame, cohort: DataFrame, user_col: str = "user_id",

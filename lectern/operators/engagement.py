@@ -12,7 +12,6 @@ from ..config import (ACTIVE_MONTH_MIN_WEEKS, ACTIVE_WEEK_MIN_BOOKS, ACTIVE_WEEK
                       ENGAGEMENT_EVENTS, OPEN_END_DATE, POWER_MONTH_MIN_WEEKS,
                       POWER_WEEK_MIN_MINUTES, THREE_PLUS_MIN_BOOKS)
 from ..functions.dates import as_date, as_timestamp, month_start, on_or_after, whole_months
-from .joins import checked_broadcast
 
 
 def engagement_base(users: DataFrame, countries: DataFrame, since, country_in: Sequence[str]) -> DataFrame:
@@ -20,7 +19,7 @@ def engagement_base(users: DataFrame, countries: DataFrame, since, country_in: S
     given countries (matched case-insensitively)."""
     u = users.filter(on_or_after(users, "registration_date", since) & F.col("is_converted_subscribed"))
     c = countries.filter(F.lower("country").isin(*[x.lower() for x in country_in]))
-    joined = u.join(checked_broadcast(c, max_rows=100_000), "country_id")
+    joined = u.join(c, "country_id")
     return joined.select(
         month_start(F.col("registration_date")).alias("registration_month"),
         F.when(F.col("payment_model") == "direct", "d2c").otherwise("b2b").alias("user_type"),

@@ -1,4 +1,4 @@
-"""Join helpers with explicit size guarantees."""
+"""Broadcasts of sides whose size is bounded by construction."""
 
 from __future__ import annotations
 
@@ -6,17 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def checked_broadcast(df: DataFrame, max_rows: int, known_rows: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only with a proof that it has at most ``max_rows`` rows.
+def bounded_broadcast(df: DataFrame, known_rows: int | None, max_rows: int) -> DataFrame:
+    """``df`` to be broadcast if the caller knows, by construction, that it has
+    at most ``known_rows`` rows and these are no more than ``max_rows``.
 
-    ``known_rows`` is a bound the caller has by construction (e.g. one row
-    per market of a fixed market list); otherwise the proof is a bounded
-    count (``limit(max_rows + 1)``), which never reads more than that many
-    rows. Above the bound the frame is returned as is and the planner (with
-    AQE's runtime statistics) chooses the join.
+    Nothing is counted here. Without a bound the frame is returned as it is,
+    and the planner chooses the join from the sizes it finds at run time.
     """
-    if known_rows is not None:
-        return F.broadcast(df) if known_rows <= max_rows else df
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if known_rows is not None and known_rows <= max_rows else df

@@ -9,10 +9,12 @@
    checkpoint folder, because the range bounds come from a sample and a
    recomputation after executor loss could otherwise assign different ids;
 3. inside each range partition, a running count gives the rows before a key;
-4. per (range partition, partition value) totals - at most P x M rows, size
-   checked before broadcasting - give the rows in earlier range partitions;
+4. per (range partition, partition value) totals give the rows in earlier
+   range partitions;
 5. rank = earlier partitions + earlier keys in this partition + 1, joined
-   back to the rows null-safely on the key.
+   back to the rows null-safely on the key. A key with more rows than a range
+   partition has on average (fewer such keys than partitions) is sent to the
+   rows; only rows of other keys are shuffled by key.
 """
 
 from __future__ import annotations
@@ -23,13 +25,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, reliable_checkpoint
-from .joins import checked_broadcast
+from .joins import bounded_broadcast
 
+#: Totals (one per range partition and group) and hot keys that are broadcast.
 OFFSET_ROWS_LIMIT = 1_000_000
-# Up to this many distinct sort keys, the keys (aggregated rows, one per
-# key with its row count) are ranked by an ordinary window: a bounded input,
-# no sampling job, no written stage. Above it, the range-partitioned path.
-SMALL_KEYS = 200_000
 
 
 def _sort(order: Sequence[tuple[str, bool]], partition_cols: Sequence[str]) -> list[Column]:
@@ -40,18 +39,15 @@ def _sort(order: Sequence[tuple[str, bool]], partition_cols: Sequence[str]) -> l
 
 def global_rank(df: DataFrame, order: Sequence[tuple[str, bool]], out: str = "rank",
                 partition_cols: Sequence[str] = (), num_partitions: int | None = None,
-                max_groups: int | None = None, materialize: bool = False,
-                small_keys: int = SMALL_KEYS) -> DataFrame:
+                max_groups: int | None = None, materialize: bool = False) -> DataFrame:
     """``df`` plus ``out`` = rank() over (partition by ``partition_cols``
     order by ``order``), NULLs last in both directions. ``order`` is a list
     of (column, ascending).
 
-    ``df`` is read twice (key counts, then the join back); with
+    ``df`` is read for the key counts and for the join back; with
     ``materialize`` it is first written once to the checkpoint folder, for
     inputs that are expensive to recompute. ``max_groups`` bounds the
-    distinct ``partition_cols`` values when the caller knows it. When a
-    bounded count proves at most ``small_keys`` distinct keys, the counted
-    keys are ranked by a plain window instead of the range-partitioned path.
+    distinct ``partition_cols`` values when the caller knows it.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -61,14 +57,6 @@ def global_rank(df: DataFrame, order: Sequence[tuple[str, bool]], out: str = "ra
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    if small_keys > 0 and counts.limit(small_keys + 1).count() <= small_keys:
-        earlier = Window.partitionBy(*partition_cols).orderBy(*_sort(order, ())) \
-            .rowsBetween(Window.unboundedPreceding, -1)
-        ranks = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-                              (F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("long")) + 1)
-                              .cast("long").alias(out))
-        cond = [df[k].eqNullSafe(ranks[f"_k{i}"]) for i, k in enumerate(keys)]
-        return df.join(ranks, cond, "inner").select(*[df[c] for c in df.columns], ranks[out])
     ranged = reliable_checkpoint(counts.repartitionByRange(n, *_sort(order, partition_cols))
                                  .withColumn("_pid", F.spark_partition_id()))
 
@@ -83,12 +71,17 @@ def global_rank(df: DataFrame, order: Sequence[tuple[str, bool]], out: str = "ra
                             F.coalesce(F.sum("_tot").over(earlier), F.lit(0).cast("long")).alias("_off"))
 
     known = None if partition_cols and max_groups is None else n * (max_groups or 1)
-    ranks = (local.join(checked_broadcast(offsets, OFFSET_ROWS_LIMIT, known), ["_pid", *partition_cols])
-             .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+    ranks = (local.join(bounded_broadcast(offsets, known, OFFSET_ROWS_LIMIT), ["_pid", *partition_cols])
+             .select("_n", *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
                      (F.col("_off") + F.col("_before") + 1).cast("long").alias(out)))
-    cond = [df[k].eqNullSafe(ranks[f"_k{i}"]) for i, k in enumerate(keys)]
-    joined = df.join(ranks, cond, "inner")
-    return joined.select(*[df[c] for c in df.columns], ranks[out])
+    rows = ranged.agg(F.sum("_n")).head()[0] or 0
+    is_hot = F.col("_n") * n > rows
+    on = [df[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    hot = bounded_broadcast(ranks.filter(is_hot), n, OFFSET_ROWS_LIMIT)  # fewer than n keys have more than rows / n
+    columns = [*[df[c] for c in df.columns], F.col(out)]
+    hot_rows = df.join(hot, on, "inner").select(*columns)
+    others = df.join(hot, on, "left_anti").join(ranks.filter(~is_hot), on, "inner").select(*columns)
+    return hot_rows.unionByName(others)
 
 
 def plain_rank(df: DataFrame, order: Sequence[tuple[str, bool]], out: str = "rank",

@@ -22,7 +22,7 @@ from ..functions.dates import on_or_after
 from ..functions.numbers import round6
 from ..functions.scoring import clean_publication_date, first_non_blank, minmax_score, nullif_blank
 from ..session import reliable_checkpoint
-from .joins import checked_broadcast
+from .joins import bounded_broadcast
 from .rank import global_rank
 
 MAX_MARKETS = 10_000
@@ -108,7 +108,7 @@ def readership(reading: DataFrame, users_by_market: DataFrame, as_of: dt.date,
                                               round6(F.avg("avg_read_mins")).alias("all_avg_read_mins"))
     bay = ((F.col("all_user") * F.col("all_avg_read_mins")) + F.col("total_reading_mins")) \
         / (F.col("all_user") + F.col("users"))
-    scored = (per_book.join(checked_broadcast(averages, MAX_MARKETS, max_markets), "market")
+    scored = (per_book.join(bounded_broadcast(averages, max_markets, MAX_MARKETS), "market")
               .select("market", "book_id", "users", "total_reading_mins", round6("avg_read_mins").alias("avg_read_mins"),
                       round6(bay).alias("bay_read_mins")))
     return minmax_score(scored, "bay_read_mins", "norm_bay_read_mins", ["market"], max_markets)
@@ -125,14 +125,14 @@ def search_interest(clicks: DataFrame, markets: DataFrame, max_markets: int | No
     locales = markets.select("locale").distinct()
     book = F.col("book_id").try_cast("int")
     per_locale = (clicks.filter((F.col("dates") >= cut) & F.col("book_id").isNotNull())
-                  .join(checked_broadcast(locales, MAX_MARKETS, max_markets), "locale", "left_semi")
+                  .join(bounded_broadcast(locales, max_markets, MAX_MARKETS), "locale", "left_semi")
                   .select("locale", book.alias("book_id"),
                           F.col("impressions").try_cast("double").alias("impressions"),
                           F.col("clicks").try_cast("double").alias("clicks"))
                   .filter(F.col("book_id").isNotNull())
                   .groupBy("locale", "book_id")
                   .agg(round6(F.sum("impressions")).alias("impressions"), round6(F.sum("clicks")).alias("clicks")))
-    by_market = (per_locale.join(checked_broadcast(markets.select("market", "locale"), MAX_MARKETS, max_markets),
+    by_market = (per_locale.join(bounded_broadcast(markets.select("market", "locale"), max_markets, MAX_MARKETS),
                                  "locale")
                  .filter(F.col("clicks") > 0)
                  .select("market", "book_id", "impressions", "clicks"))
@@ -183,7 +183,7 @@ def consolidate(books: DataFrame, markets: DataFrame, revenue: DataFrame, reader
     and the newness rank. ``ranked`` is ``ranked_books(books)`` if already
     computed."""
     fresh = ranked if ranked is not None else ranked_books(books)
-    grid = fresh.crossJoin(checked_broadcast(markets.select("market", "mandate"), MAX_MARKETS, max_markets))
+    grid = fresh.crossJoin(bounded_broadcast(markets.select("market", "mandate"), max_markets, MAX_MARKETS))
     rev = revenue.select("market", F.col("referrer_book").alias("book_id"), "norm_dtc_revenue")
     rd = readers.select("market", "book_id", "norm_bay_read_mins")
     cl = interest.select("market", "book_id", "norm_clicks")

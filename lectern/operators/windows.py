@@ -2,9 +2,10 @@
 
 Both operators follow the same plan:
 
-1. join the facts to the anchors on ``user_id`` (AQE broadcasts the anchors
-   when their runtime size allows, else a shuffle join whose hot users AQE
-   splits) and keep offsets inside the windows;
+1. reduce the facts to a row per (user, entity, day), map-side first, which
+   bounds a hot user by its entities and days; join the anchors on
+   ``user_id`` (the planner chooses by their size) and keep offsets inside
+   the windows;
 2. aggregate once per (user, entity) into an atom bitmask plus plain
    conditional sums (partial aggregation map-side; a hot user is spread over
    tasks by its entities);
@@ -27,16 +28,12 @@ from pyspark.sql import functions as F
 from ..config import (ANNOTATION_EVENT, BOOK_OPEN_EVENT, HIGHLIGHT_EVENT,
                       READING_SESSION_EVENTS, Window)
 from ..functions.masks import MAX_BITS, atom_bit_sql, atoms, span_bits, window_bits
-from .joins import checked_broadcast
 
 _ANCHOR_DAY = "_anchor_day"
 _OFFSET = "_offset"
 E = F.expr
-# Anchors (user id + day, ~16 bytes a row) up to this many rows are
-# broadcast, so the facts are never shuffled by user and a hot user cannot
-# load one task; larger anchor tables go through a shuffle join whose skewed
-# partitions AQE splits.
-MAX_BROADCAST_ANCHORS = 2_000_000
+#: Minutes are summed as decimals of so many places.
+MINUTES_TYPE = "decimal(28,10)"
 
 
 def _anchors(anchored: DataFrame, user_col: str, anchor_col: str) -> DataFrame:
@@ -45,7 +42,7 @@ def _anchors(anchored: DataFrame, user_col: str, anchor_col: str) -> DataFrame:
 
 def _with_offsets(facts: DataFrame, anchors: DataFrame, user_col: str, date_col: str,
                   lo: int, hi: int) -> DataFrame:
-    return (facts.join(checked_broadcast(anchors, MAX_BROADCAST_ANCHORS), user_col)
+    return (facts.join(anchors, user_col)
             .withColumn(_OFFSET, F.datediff(F.col(date_col), F.col(_ANCHOR_DAY)))
             .filter(E(f"{_OFFSET} BETWEEN {lo} AND {hi}")))
 
@@ -83,7 +80,9 @@ def reading_windows(anchored: DataFrame, reading: DataFrame, *,
     if day_windows and (min(w.lo for w in day_windows) < 0 or max(w.hi for w in day_windows) >= MAX_BITS):
         raise ValueError("day-count windows must lie within days 0..62")
 
-    facts = reading.select(user_col, book_col, date_col, minutes_col)
+    # exact sums, so that neither order nor rounding decides a threshold
+    exact = F.sum(F.col(minutes_col).cast(MINUTES_TYPE)).alias(minutes_col)
+    facts = reading.groupBy(user_col, book_col, date_col).agg(exact)
     rows = _with_offsets(facts, _anchors(anchored, user_col, anchor_col), user_col, date_col, lo, hi)
 
     # 1) one row per (user, book): atom mask, day mask, calendar-week masks, window sums
@@ -113,7 +112,7 @@ def reading_windows(anchored: DataFrame, reading: DataFrame, *,
                      f" AS book_read_{w.name}")
         counts.append(f"book_read_{w.name}")
     for w in minute_windows:
-        outer.append(f"round(CAST(sum(_m_{w.name}) AS DOUBLE), 6) AS reading_mins_{w.name}")
+        outer.append(f"CAST(sum(_m_{w.name}) AS DOUBLE) AS reading_mins_{w.name}")
     if day_windows:
         outer.append("bit_or(_days) AS _days")
     for w in calendar_week_windows:
@@ -162,7 +161,7 @@ def event_windows(anchored: DataFrame, events: DataFrame,
     runs = atoms(every)
 
     used = {entity_cols.get(m, EVENT_METRICS[m][0]) for m in names}
-    facts = events.select(user_col, date_col, name_col, *sorted(used))
+    facts = events.select(user_col, date_col, name_col, *sorted(used)).distinct()
     types = dict(facts.dtypes)
     rows = _with_offsets(facts, _anchors(anchored, user_col, anchor_col), user_col, date_col, lo, hi)
 

@@ -62,7 +62,7 @@ def market_rank(meta: DataFrame, registrations: DataFrame, subs: DataFrame, read
     """R11 (one market record) / R12 (several): 17 columns, ordered by
     market and overall rank."""
     scored = scored_books(meta, registrations, subs, reading, clicks, matches, markets=markets, as_of=as_of)
-    ranked = R.overall_rank(scored, max_markets=len(markets))
+    ranked = R.overall_rank(scored, max_markets=len(markets), materialize=True)
     return (ranked.select(*[c for c in OUTPUT[:15]], F.col("market").alias("local_index"),
                           as_timestamp(f"{as_of} 00:00:00").alias("ranked_at"))
             .orderBy("local_index", "overall_rank", "book_id"))

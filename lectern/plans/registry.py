@@ -22,7 +22,7 @@ QUERIES: dict[str, QueryFn] = {}
 
 def query(key: str):
     def register(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        QUERIES[key] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        QUERIES[key] = lambda spark, sf_dir: fn(Tables(spark, sf_dir, derive=True))
         return fn
     return register
 

@@ -1,9 +1,7 @@
-"""S1 source_scan: read a logical table by name with its declared schema."""
+"""S1 source_scan: read a logical table by name with its declared columns."""
 
 from __future__ import annotations
 
-import weakref
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,44 +9,9 @@ from .adapters import ADAPTERS
 from .schemas import LOGICAL_SCHEMAS
 
 
-# Per-session memo of resolved scans and logical-table plans. Keyed weakly
-# by the session object, so a stopped and garbage-collected session never
-# hands its frames to a new one.
-_MEMO: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
-
-
-def _memo(spark: SparkSession) -> dict:
-    if spark not in _MEMO:
-        _MEMO[spark] = {}
-    return _MEMO[spark]
-
-
-def _path_exists(spark: SparkSession, path: str) -> bool:
-    memo = _memo(spark)
-    key = ("exists", path)
-    if key not in memo:
-        memo[key] = _probe(spark, path)
-    return memo[key]
-
-
-def _probe(spark: SparkSession, path: str) -> bool:
-    try:
-        jvm = spark.sparkContext._jvm
-        jpath = jvm.org.apache.hadoop.fs.Path(path)
-        fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        return bool(fs.exists(jpath))
-    except Exception:  # Spark Connect or no JVM access: assume absent
-        return False
-
-
 def driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; the scan relation (file listing, footer schema) is
-    resolved once per session and path, later plans reuse it."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    memo = _memo(spark)
-    if ("scan", path) not in memo:
-        memo[("scan", path)] = spark.read.parquet(path)
-    return memo[("scan", path)]
+    """A driver table as it is now."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def enforce(df: DataFrame, name: str) -> DataFrame:
@@ -63,35 +26,46 @@ def enforce(df: DataFrame, name: str) -> DataFrame:
     return df.select(*cols)
 
 
-def load(spark: SparkSession, name: str, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
-    """Read logical table ``name`` under ``sf_dir``.
+def load(spark: SparkSession, name: str, sf_dir: str, columns: list[str] | None = None,
+         derive: bool = False) -> DataFrame:
+    """Logical table ``name`` under ``sf_dir``, as it is now.
 
-    A stored table ``{sf_dir}/{name}.parquet`` is read with the declared
-    schema (no inference); otherwise the table is derived from the driver
-    tables by its adapter. ``columns`` prunes the result.
+    The stored table ``{sf_dir}/{name}.parquet`` is read with the types it
+    has (timestamps, decimals, ...) and cast to the declared ones; a missing
+    table is an error. With ``derive`` the table is made from the driver's
+    tables by its adapter instead. ``columns`` prunes the result.
     """
     if name not in LOGICAL_SCHEMAS:
         raise KeyError(f"unknown logical table {name!r}")
-    memo = _memo(spark)
-    key = ("table", sf_dir, name)
-    if key not in memo:
-        path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-        if _path_exists(spark, path):
-            memo[key] = spark.read.schema(LOGICAL_SCHEMAS[name]).parquet(path)
-        else:
-            memo[key] = enforce(ADAPTERS[name](lambda t: driver_table(spark, sf_dir, t)), name)
-    df = memo[key]  # a lazy, immutable plan: safe to share between queries
+    if derive:
+        df = ADAPTERS[name](lambda t: driver_table(spark, sf_dir, t))
+    else:
+        df = driver_table(spark, sf_dir, name)
+    df = enforce(df, name)
     return df.select(*columns) if columns else df
 
 
 class Tables:
-    """Lazy accessor: ``Tables(spark, sf_dir).users`` etc."""
+    """Lazy accessor: ``Tables(spark, sf_dir).users`` etc. A table is looked up
+    once per accessor, so a query that uses it twice reads the same files.
+    ``derive``: from the driver's tables (see ``load``)."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, derive: bool = False):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.derive = derive
+        self._loaded: dict[str, DataFrame] = {}
+        self._driver: dict[str, DataFrame] = {}
+
+    def _base(self, name: str) -> DataFrame:
+        if name not in self._driver:
+            self._driver[name] = driver_table(self.spark, self.sf_dir, name)
+        return self._driver[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in LOGICAL_SCHEMAS:
             raise AttributeError(name)
-        return load(self.spark, name, self.sf_dir)
+        if name not in self._loaded:
+            self._loaded[name] = (enforce(ADAPTERS[name](self._base), name) if self.derive
+                                  else load(self.spark, name, self.sf_dir))
+        return self._loaded[name]

@@ -9,7 +9,7 @@ def test_month_minutes_are_week_sums_and_books_bounded(spark):
     from lectern.config import month_windows, week_windows
     from lectern.operators.windows import reading_windows
     from lectern.sources.catalog import Tables
-    t = Tables(spark, SMALL)
+    t = Tables(spark, SMALL, derive=True)
     w, m = week_windows(4), month_windows(1)
     rows = reading_windows(t.event_users, t.event_reading, book_windows=w + m, minute_windows=w + m).collect()
     assert rows

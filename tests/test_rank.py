@@ -16,20 +16,22 @@ def test_global_rank_equals_window_rank(spark, seed):
     order = [("score", False), ("title", True), ("n", False)]
     for parts in ([], ["market"]):
         b = sorted(plain_rank(df, order, out="r", partition_cols=parts).select("id", "r").collect())
-        for small in (0, 10_000):   # 0 forces the range-partitioned path
-            a = global_rank(df, order, out="r", partition_cols=parts, num_partitions=5, small_keys=small)
-            assert sorted(a.select("id", "r").collect()) == b
+        a = global_rank(df, order, out="r", partition_cols=parts, num_partitions=5)
+        assert sorted(a.select("id", "r").collect()) == b
 
 
 def test_ties_share_rank_and_next_skips(spark):
     df = spark.createDataFrame([(1, 5.0), (2, 5.0), (3, 4.0), (4, None)], "id long, v double")
-    for small in (0, 10):
-        got = dict(global_rank(df, [("v", False)], out="r", small_keys=small).select("id", "r").collect())
-        assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+    got = dict(global_rank(df, [("v", False)], out="r").select("id", "r").collect())
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
 def test_rank_is_independent_of_partition_count(spark):
     df = spark.range(0, 500).selectExpr("id", "id % 17 as k")
-    one = global_rank(df, [("k", True)], out="r", num_partitions=1, small_keys=0).collect()
-    many = global_rank(df, [("k", True)], out="r", num_partitions=7, small_keys=0).collect()
+    one = global_rank(df, [("k", True)], out="r", num_partitions=1).collect()
+    many = global_rank(df, [("k", True)], out="r", num_partitions=7).collect()
     assert sorted(one) == sorted(many)
+
+
+def test_no_rows(spark):
+    assert global_rank(spark.createDataFrame([], "id long, v double"), [("v", False)]).collect() == []

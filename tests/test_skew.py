@@ -10,8 +10,7 @@ from lectern.operators import windows as W
 from lectern.operators.rank import global_rank, plain_rank
 
 
-def test_hot_user_on_shuffle_join_path(spark, monkeypatch):
-    monkeypatch.setattr(W, "MAX_BROADCAST_ANCHORS", 0)
+def test_hot_user_on_shuffle_join_path(spark):
     rnd = random.Random(3)
     d0 = dt.date(2024, 1, 1)
     rows = []
@@ -56,6 +55,6 @@ def test_hot_user_on_shuffle_join_path(spark, monkeypatch):
 def test_rank_with_a_hot_key(spark):
     rows = [(i, 7.0 if i % 3 == 0 else float(i % 50)) for i in range(3000)]
     df = spark.createDataFrame(rows, "id long, v double")
-    a = global_rank(df, [("v", False)], out="r", num_partitions=6, small_keys=0)
+    a = global_rank(df, [("v", False)], out="r", num_partitions=6)
     b = plain_rank(df, [("v", False)], out="r")
     assert sorted(a.select("id", "r").collect()) == sorted(b.select("id", "r").collect())

@@ -206,3 +206,17 @@ def test_bitmask_exact_for_random_window_sets(spark):
                                    F.col("book_id"))).alias(f"book_read_{w.name}") for w in wins])
         cols = literal.columns
         assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, literal.select(*cols).collect()))
+
+
+def test_minutes_just_below_the_threshold_are_not_active(spark):
+    from lectern.operators.engagement import active_week_columns
+    reads = spark.createDataFrame([(1, 5, dt.date(2024, 1, 2), 4.9999996), (2, 5, dt.date(2024, 1, 2), 5.0)],
+                                  "user_id long, book_id long, read_date date, reading_minutes double")
+    anchors = spark.createDataFrame([(1, dt.datetime(2024, 1, 1)), (2, dt.datetime(2024, 1, 1))],
+                                    "user_id long, reg_sub_start_time timestamp_ntz")
+    from lectern.config import week_windows
+    from lectern.operators.windows import reading_windows
+    w = week_windows(1)
+    got = {r.user_id: r.active_w1 for r in reading_windows(anchors, reads, book_windows=w, minute_windows=w)
+           .select("user_id", *active_week_columns(1)).collect()}
+    assert got == {1: 0, 2: 1}
