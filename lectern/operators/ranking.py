@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..config import (CLICKS_LOOKBACK_MONTHS, READING_LOOKBACK_MONTHS, REVENUE_LOOKBACK_MONTHS,
                       Market)
 from ..functions.dates import on_or_after
-from ..functions.numbers import round6
+from ..functions.numbers import EXACT, exact_sum, round6
 from ..functions.scoring import clean_publication_date, first_non_blank, minmax_score, nullif_blank
 from ..session import reliable_checkpoint
 from .joins import bounded_broadcast
@@ -81,11 +81,10 @@ def dtc_revenue(registrations: DataFrame, subs: DataFrame, users_by_market: Data
         & F.col("referrer_book").isNotNull())
     eligible = regs.select("user_id", "referrer_book").join(users_by_market, "user_id")
     paid = (subs.join(eligible.select("user_id"), "user_id", "left_semi")
-            .groupBy("user_id").agg(round6(F.sum(F.coalesce(F.col("total_paid_gbp"), F.lit(0.0))))
-                                    .alias("total_paid_gbp")))
+            .groupBy("user_id").agg(exact_sum("total_paid_gbp").alias("total_paid_gbp")))
     revenue = (eligible.join(paid, "user_id").filter(F.col("total_paid_gbp") > 0)
                .groupBy("market", "referrer_book")
-               .agg(F.count("user_id").alias("users"), round6(F.sum("total_paid_gbp")).alias("dtc_revenue")))
+               .agg(F.count("user_id").alias("users"), exact_sum("total_paid_gbp").alias("dtc_revenue")))
     return minmax_score(revenue, "dtc_revenue", "norm_dtc_revenue", ["market"], max_markets, materialize=True)
 
 
@@ -97,21 +96,21 @@ def readership(reading: DataFrame, users_by_market: DataFrame, as_of: dt.date,
     recent = reading.filter(on_or_after(reading, "read_date", months_back(as_of, READING_LOOKBACK_MONTHS)))
     # (user, book) first: bounds a hot user to one row per book it read
     per_pair = (recent.filter(F.col("user_id").isNotNull())
-                .groupBy("user_id", "book_id").agg(F.sum("reading_minutes").alias("_mins")))
+                .groupBy("user_id", "book_id").agg(F.sum(F.col("reading_minutes").cast(EXACT)).alias("_mins")))
     per_book = (per_pair.join(users_by_market, "user_id")
                 .groupBy("market", "book_id")
-                .agg(F.count(F.lit(1)).alias("users"), round6(F.sum("_mins")).alias("total_reading_mins")))
+                .agg(F.count(F.lit(1)).alias("users"), exact_sum("_mins").alias("total_reading_mins")))
     # read three times below (averages, scores, extremes): written once
     per_book = reliable_checkpoint(
         per_book.withColumn("avg_read_mins", F.col("total_reading_mins") / F.col("users")))
-    averages = per_book.groupBy("market").agg(round6(F.avg("users")).alias("all_user"),
-                                              round6(F.avg("avg_read_mins")).alias("all_avg_read_mins"))
+    averages = per_book.groupBy("market").agg(
+        F.avg("users").alias("all_user"), (exact_sum("avg_read_mins") / F.count("avg_read_mins")).alias("all_avg_read_mins"))
     bay = ((F.col("all_user") * F.col("all_avg_read_mins")) + F.col("total_reading_mins")) \
         / (F.col("all_user") + F.col("users"))
-    scored = (per_book.join(bounded_broadcast(averages, max_markets, MAX_MARKETS), "market")
-              .select("market", "book_id", "users", "total_reading_mins", round6("avg_read_mins").alias("avg_read_mins"),
-                      round6(bay).alias("bay_read_mins")))
-    return minmax_score(scored, "bay_read_mins", "norm_bay_read_mins", ["market"], max_markets)
+    weighed = (per_book.join(bounded_broadcast(averages, max_markets, MAX_MARKETS), "market")
+               .select("market", "book_id", "users", "total_reading_mins", "avg_read_mins", bay.alias("bay_read_mins")))
+    scored = minmax_score(weighed, "bay_read_mins", "norm_bay_read_mins", ["market"], max_markets)
+    return scored.withColumns({c: round6(c) for c in ("avg_read_mins", "bay_read_mins")})
 
 
 def search_interest(clicks: DataFrame, markets: DataFrame, max_markets: int | None = None) -> DataFrame:
@@ -131,7 +130,7 @@ def search_interest(clicks: DataFrame, markets: DataFrame, max_markets: int | No
                           F.col("clicks").try_cast("double").alias("clicks"))
                   .filter(F.col("book_id").isNotNull())
                   .groupBy("locale", "book_id")
-                  .agg(round6(F.sum("impressions")).alias("impressions"), round6(F.sum("clicks")).alias("clicks")))
+                  .agg(exact_sum("impressions").alias("impressions"), exact_sum("clicks").alias("clicks")))
     by_market = (per_locale.join(bounded_broadcast(markets.select("market", "locale"), max_markets, MAX_MARKETS),
                                  "locale")
                  .filter(F.col("clicks") > 0)
@@ -157,7 +156,7 @@ def academic_mandate(matches: DataFrame) -> DataFrame:
     per_book = (matches.filter(F.col("available_status") == "Yes")
                 .select("book_id", "isbn", "degree_name", "uni_code", enrol.alias("enrollment"))
                 .dropDuplicates()
-                .groupBy("book_id").agg(round6(F.sum("enrollment")).alias("enrollment"))
+                .groupBy("book_id").agg(exact_sum("enrollment").alias("enrollment"))
                 .filter(F.col("enrollment") > 0))
     return minmax_score(per_book, "enrollment", "norm_enrollment", materialize=True)
 

@@ -1,118 +1,90 @@
-"""Reference-shaped DuckDB text for sources, sinks, cohorts and dashboard."""
+"""Expected results of the cohort, extract, sink and dashboard keys, in DuckDB.
+
+Cohorts are a table of months; days of a period are half-open ranges; a book
+category is looked up by the number of books; values given here are literals.
+"""
 
 from __future__ import annotations
 
-from ..config import RETENTION_SESSION_EVENTS
 from ..plans import params as P
 from .adapters_sql import with_tables
-from .engagement_sql import q
-
-REG_COLS = ("registration_time, user_id, payment_channel_crude, internal_user, converted_trial, converted_subscribed, "
-            "converted_paid, acquisition_country, acquisition_region, user_persona, academic_institution, "
-            "organisation_id, organisation_name, utm_source, utm_medium, referrer_book, internal_persona, "
-            "platform_status, country_language, user_language")
 
+MONTH_ROWS = "select * from (values " + ", ".join(
+    f"(timestamp '{first}', '{month}', '{year}', '{period}')" for first, month, year, period in P.COHORTS) + ") m(registration_month, cohort_month, cohort_year, cohort_period)"
+JOINED = """
+select m.cohort_month, m.cohort_year, m.cohort_period, m.registration_month, r.*
+from registrations r join months m on r.registration_time >= m.registration_month and r.registration_time < m.registration_month + to_months(1)
+where r.converted_subscribed = 'Y'"""
+SUBSCRIBED = """
+select user_id, min(subscription_start_time) as sub_start_timestamp, max(ifnull(end_timestamp, paid_end_timestamp)) as sub_end_timestamp,
+       ifnull(sum(subscribed_months), 0)::bigint as subscribed_months
+from subscriptions where subscription_type = 'subscribed' group by user_id"""
+COHORT = """
+select l.*, ifnull(d.academic_discipline, 'Unknown') as academic_discipline, s.* exclude (user_id)
+from labelled l left join disciplines d using (user_id) left join subscribed s using (user_id)"""
+COHORT_SOURCES = ["registrations", "disciplines", "subscriptions"]
+COHORT_STEPS = [("months", MONTH_ROWS), ("labelled", JOINED), ("subscribed", SUBSCRIBED), ("cohort", COHORT)]
 
-def _ladder(index: int) -> str:
-    arms = " ".join(f"when a.registration_month = timestamp '{c[0]} 00:00:00' then '{c[index]}'" for c in P.COHORTS)
-    return f"case {arms} end"
 
+def during(column: str, period: tuple) -> str:
+    return f"{column} >= date '{period[0]}' and {column} < date '{period[1]}' + 1"
 
-MONTHS = " or ".join(f"registration_month = timestamp '{c[0]} 00:00:00'" for c in P.COHORTS)
-USER_REG = f"select date_trunc('month', registration_time) as registration_month, {REG_COLS} from registrations"
-SUBSCRIPTION = """
-select user_id, min(coalesce(subscription_start_time, subscription_start_time)) as sub_start_timestamp,
-       max(coalesce(end_timestamp, paid_end_timestamp)) as sub_end_timestamp,
-       cast(sum(coalesce(subscribed_months, 0)) as bigint) as subscribed_months
-from subscriptions where subscription_type = 'subscribed' group by 1"""
-LABELS = f"{_ladder(1)} as cohort_month, {_ladder(2)} as cohort_year, {_ladder(3)} as cohort_period"
-C1_BODY = f"select {LABELS}, a.* from registered a where ({MONTHS}) and converted_subscribed = 'Y'"
-C3_BODY = f"""
-select {LABELS}, a.*, coalesce(b.academic_discipline, 'Unknown') as academic_discipline,
-       c.sub_start_timestamp, c.sub_end_timestamp, c.subscribed_months
-from registered a
-left join fields b on (a.user_id = b.user_id)
-left join sub_rollup c on (a.user_id = c.user_id)
-where ({MONTHS}) and converted_subscribed = 'Y'"""
-C3_CTES = [("registered", USER_REG), ("fields", "select user_id, academic_discipline from disciplines"),
-           ("sub_rollup", SUBSCRIPTION)]
-C3_TABLES = ["registrations", "disciplines", "subscriptions"]
 
+READS = f"from reading_activity where {during('read_date', P.READING_RANGE)}"
+#: Event names of a reading session in the retention study.
+SESSION_EVENTS = """('open book', 'annotation creation', 'blur reader', 'focus reader', 'book reference copied', 'bookmark creation',
+  'chapter click from within book', 'copy text', 'eye saver mode change', 'font family change', 'font size change',
+  'highlight creation', 'highlight removal', 'open chapter tab', 'page or chapter load')"""
+EVENTS = f"from event_facts where event_name in {SESSION_EVENTS} and {during('event_date', P.EVENT_RANGE)}"
 
-def _yyyymmdd(d) -> str:
-    return d.strftime("%Y%m%d")
+READ_STEPS = [("reads", READS), ("reader_days", "select distinct user_id, read_date from reads where user_id + 0 is not null and read_date is not null"),
+              ("readers", "select user_id, count(*) as active_reading_days from reader_days group by user_id"),
+              ("middle", "select quantile_cont(active_reading_days, 0.5)::double as m from readers")]
+EVENT_STEPS = [("events_read", EVENTS), ("visitors", """
+select user_id, count(distinct session_id) as active_reading_sessions, ['0', '1', '2', '3+'][1 + least(count(distinct book_id), 3)] as book_category
+from events_read where user_id is not null group by user_id""")]
 
 
-C6_BODY = (f"select * from reading_activity where cast(strftime(read_date, '%Y%m%d') as int) "
-           f"between {_yyyymmdd(P.READING_RANGE[0])} and {_yyyymmdd(P.READING_RANGE[1])}")
-C7_BODY = (f"select * from event_facts where cast(strftime(event_date, '%Y%m%d') as int) "
-           f"between {_yyyymmdd(P.EVENT_RANGE[0])} and {_yyyymmdd(P.EVENT_RANGE[1])} "
-           f"and event_name in ({q(RETENTION_SESSION_EVENTS)})")
-
-S3_CASTS = {"registration_month": "timestamp", "registration_time": "timestamp", "user_id": "int",
-            "organisation_id": "int", "referrer_book": "int", "sub_start_timestamp": "timestamp",
-            "sub_end_timestamp": "timestamp", "subscribed_months": "bigint"}
+def week(day: str) -> str:
+    """Week of the subscription, from 1, that a day falls in."""
+    return f"(floor(({day} - c.sub_start_timestamp::date) / 7.0) + 1)::bigint"
 
 
 def cohort_oracles() -> dict[str, str]:
-    from ..operators.cohorts import COHORT_COLUMNS
-    from ..plans.registry import COHORT_FILTERS
-    from ..operators.cohorts import FILTER_COLUMNS
-    o: dict[str, str] = {}
-    o["source_scan"] = with_tables(["book_meta"], "select * from book_meta")
-    o["cohort_label"] = with_tables(["registrations"], C1_BODY, [("registered", USER_REG)])
-    o["subscription_rollup"] = with_tables(["subscriptions"], SUBSCRIPTION)
-    o["cohort_enrich"] = with_tables(C3_TABLES, C3_BODY, C3_CTES)
-    o["ctas_sink"] = o["cohort_enrich"]
-    casts = ", ".join(f"cast({c} as {S3_CASTS[c]}) as {c}" if c in S3_CASTS else c for c in COHORT_COLUMNS)
-    o["schema_append_sink"] = with_tables(C3_TABLES, f"select {casts} from cohort", C3_CTES + [("cohort", C3_BODY)])
-    conds = " and ".join(f"{FILTER_COLUMNS[k]} in ({q(v)})" for k, v in COHORT_FILTERS.items() if v)
-    o["cohort_filter"] = with_tables(C3_TABLES, f"select * from cohort where {conds}", C3_CTES + [("cohort", C3_BODY)])
-    o["reading_list_extract"] = with_tables(["book_matches", "cleanup"], """
-select book_id from book_matches
-where (available_status = 'Yes' or list_isbn in (select list_isbn from cleanup))""")
-    o["reading_window_extract"] = with_tables(["reading_activity"], C6_BODY)
-    o["session_event_extract"] = with_tables(["event_facts"], C7_BODY)
-
-    days = [("r", C6_BODY), ("days", "select distinct user_id, read_date from r where user_id is not null and read_date is not null"),
-            ("per_user", "select user_id, count(*) as active_reading_days from days group by 1")]
-    o["ard_distribution"] = with_tables(["reading_activity"], """
-select active_reading_days, count(*) as users,
-       (select cast(median(active_reading_days) as double) from per_user) as median_ard
-from per_user group by 1""", days)
-    o["ard_daily_segment"] = with_tables(["reading_activity"], """
-select d.read_date,
-       case when p.active_reading_days > (select median(active_reading_days) from per_user) then 'above' else 'below' end as segment,
-       count(distinct d.user_id) as active_readers
-from days d join per_user p on d.user_id = p.user_id
-group by 1, 2""", days)
-    cohort = C3_CTES + [("cohort", C3_BODY)]
-    week = "cast(floor(datediff('day', cast(c.sub_start_timestamp as date), {d}) / 7.0) + 1 as bigint)"
-    o["readers_by_sub_week"] = with_tables(["reading_activity"] + C3_TABLES, f"""
-select cohort_period, sub_week, count(distinct user_id) as active_readers
-from (
-  select c.cohort_period, r.user_id, {week.format(d='r.read_date')} as sub_week
-  from r join cohort c on r.user_id = c.user_id
-  where c.sub_start_timestamp is not null and r.read_date is not null
-) x where sub_week >= 1
-group by 1, 2""", [("r", C6_BODY)] + cohort)
-    per_user_ev = ("per_user", """
-select user_id, count(distinct session_id) as active_reading_sessions,
-       case when count(distinct book_id) >= 3 then '3+' else cast(count(distinct book_id) as varchar) end as book_category
-from e where user_id is not null group by 1""")
-    o["ars_distribution"] = with_tables(["event_facts"], """
-select h.book_category, h.active_reading_sessions, h.users, m.median_ars
-from (select book_category, active_reading_sessions, count(*) as users from per_user group by 1, 2) h
-join (select book_category, cast(median(active_reading_sessions) as double) as median_ars from per_user group by 1) m
-  on h.book_category = m.book_category""", [("e", C7_BODY), per_user_ev])
-    o["sessions_by_sub_week"] = with_tables(["event_facts"] + C3_TABLES, f"""
-select cohort_period, sub_week, book_category, count(distinct session_id) as reading_sessions,
-       count(distinct user_id) as users,
-       round(count(distinct session_id) / nullif(count(distinct user_id), 0), 6) as sessions_per_user
-from (
-  select c.cohort_period, e.user_id, e.session_id, p.book_category, {week.format(d='e.event_date')} as sub_week
-  from e join cohort c on e.user_id = c.user_id join per_user p on e.user_id = p.user_id
-  where c.sub_start_timestamp is not null
-) x where sub_week >= 1
-group by 1, 2, 3""", [("e", C7_BODY), per_user_ev] + cohort)
-    return o
+    cohort = lambda select, more=(), sources=(): with_tables([*sources, *COHORT_SOURCES], select, [*COHORT_STEPS, *more])
+    return {
+        "source_scan": with_tables(["book_meta"], "from book_meta"),
+        "cohort_label": with_tables(["registrations"], "from labelled", COHORT_STEPS[:2]),
+        "subscription_rollup": with_tables(["subscriptions"], "from subscribed", [("subscribed", SUBSCRIBED)]),
+        "cohort_enrich": cohort("from cohort"),
+        "ctas_sink": cohort("from cohort"),
+        "schema_append_sink": cohort("""
+select * replace (registration_month::timestamp as registration_month, registration_time::timestamp as registration_time,
+                  user_id::int as user_id, organisation_id::int as organisation_id, referrer_book::int as referrer_book,
+                  sub_start_timestamp::timestamp as sub_start_timestamp, sub_end_timestamp::timestamp as sub_end_timestamp) from cohort"""),
+        "cohort_filter": cohort("""
+from cohort where cohort_month = 'Jan' and user_persona in ('BUILDING', 'MACHINERY', 'AUTOMOBILE')
+  and academic_discipline in ('BUILDING', 'MACHINERY', 'Unknown')"""),
+        "reading_list_extract": with_tables(["book_matches", "cleanup"], """
+select b.book_id from book_matches b
+where b.available_status = 'Yes' or exists (from cleanup c where c.list_isbn = b.list_isbn)"""),
+        "reading_window_extract": with_tables(["reading_activity"], READS),
+        "session_event_extract": with_tables(["event_facts"], EVENTS),
+        "ard_distribution": with_tables(["reading_activity"], """
+select active_reading_days, count(*) as users, any_value(m) as median_ard from readers, middle group by active_reading_days""", READ_STEPS),
+        "ard_daily_segment": with_tables(["reading_activity"], """
+select read_date, if(active_reading_days > m, 'above', 'below') as segment, count(*) as active_readers
+from reader_days join readers using (user_id), middle group by all""", READ_STEPS),
+        "readers_by_sub_week": cohort(f"""
+select c.cohort_period, {week('d.read_date')} as sub_week, count(distinct d.user_id) as active_readers
+from reader_days d join cohort c using (user_id) where d.read_date >= c.sub_start_timestamp::date group by all""", READ_STEPS[:2], ["reading_activity"]),
+        "ars_distribution": with_tables(["event_facts"], """
+select distinct book_category, active_reading_sessions, count(*) over (partition by book_category, active_reading_sessions) as users,
+       quantile_cont(active_reading_sessions, 0.5) over (partition by book_category)::double as median_ars
+from visitors""", EVENT_STEPS),
+        "sessions_by_sub_week": cohort(f"""
+select c.cohort_period, {week('e.event_date')} as sub_week, v.book_category, count(distinct e.session_id) as reading_sessions,
+       count(distinct e.user_id) as users, round(reading_sessions / users, 6) as sessions_per_user
+from events_read e join cohort c using (user_id) join visitors v using (user_id)
+where e.event_date >= c.sub_start_timestamp::date group by all""", EVENT_STEPS, ["event_facts"]),
+    }

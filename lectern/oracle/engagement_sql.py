@@ -1,384 +1,234 @@
-"""Literal-shape DuckDB text for the engagement keys."""
+"""Expected results of the engagement keys (G1-G24), in DuckDB.
+
+Activity is kept long: one row per person and span of days, from a table of
+spans and the day each fact falls on; the columns are picked out of it last.
+Spans, thresholds and months are spelled out here, apart from the engine.
+"""
 
 from __future__ import annotations
 
-from ..config import (ENGAGEMENT_EVENTS, READING_SESSION_EVENTS, SHAPE_KPI, SHAPE_V1, SHAPE_V2,
-                      SHAPE_V3, ReportShape, Window, cumulative_window, day_windows, month_windows,
-                      week_windows)
 from ..plans import params as P
 from .adapters_sql import with_tables
 
-SHAPES = {1: SHAPE_V1, 2: SHAPE_V2, 3: SHAPE_V3}
+#: Span of days after the anchor day, both ends included, by name.
+SPANS = {
+    **{f"d{k}": (k - 1, k - 1) for k in range(1, 8)},
+    **{f"w{k}": (7 * k - 7, 7 * k - 1) for k in range(1, 17)},
+    **{f"m{k}": (28 * k - 28, 28 * k - 1) for k in range(1, 5)},
+    "m1_to_m3": (0, 83), "m1_to_m4": (0, 111),
+}
+SPAN_ROWS = "select * from (values " + ", ".join(f"('{n}', {a}, {b})" for n, (a, b) in SPANS.items()) + ") s(span, first_day, last_day)"
 
+#: Which events feed a metric.
+METRIC_ROWS = """select * from (values ('book_opened', 'open book'), ('reading_session', 'open book'),
+  ('reading_session', 'chapter load'), ('reading_session', 'page load'),
+  ('highlight', 'highlight creation'), ('annotation', 'annotation creation')) m(metric, event_name)"""
+METRICS = ("book_opened", "reading_session", "highlight", "annotation")
+REPORT_EVENTS = "('highlight creation', 'annotation creation', 'open book', 'chapter load', 'page load', 'book opening')"
 
-def q(values) -> str:
-    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
+def whole_months(end: str, start: str) -> str:
+    """Months from start to end, cut towards zero; whole where both fall on the
+    same day of the month or both on its last day, whatever the time."""
+    e, s = f"({end})::timestamp", f"({start})::timestamp"
+    months = f"((12 * year({e}) + month({e})) - (12 * year({s}) + month({s})))"
+    in_month = lambda x: f"(86400 * day({x}) + epoch({x}) % 86400)"
+    return (f"(case when day({e}) = day({s}) or (last_day({e}) = ({e})::date and last_day({s}) = ({s})::date) then {months} "
+            f"else {months} - ({months} > 0 and {in_month(e)} < {in_month(s)})::int + ({months} < 0 and {in_month(e)} > {in_month(s)})::int end)::int")
+
+
+# -- people -------------------------------------------------------------------------
+
+COUNTRY_LIST = ", ".join(f"'{c.lower()}'" for c in P.COUNTRIES)
+READERS = f"""
+select date_trunc('month', u.registration_date)::date as registration_month,
+       if(coalesce(u.payment_model, '') = 'direct', 'd2c', 'b2b') as user_type, u.user_id, u.registration_date,
+       u.user_persona, u.referrer_book_id, g.country, g.continent, g.market, g.region
+from users u, country_regions g
+where g.country_id = u.country_id and lower(g.country) in ({COUNTRY_LIST})
+  and u.is_converted_subscribed and u.registration_date >= date '{P.SINCE}'"""
+PAYERS = f"""
+select date_trunc('month', registration_date)::date as registration_month, registration_date, user_id
+from users where is_converted_paid and registration_date >= date '{P.SINCE}'"""
+
+
+def tenures(months: str) -> str:
+    until = f"if(s.subscription_end_time::date = date '9999-12-31', timestamp '{P.AS_OF}', s.subscription_end_time::timestamp)"
+    return f"""
+select s.user_id, min(s.subscription_start_time) as subscription_start_time, max(s.subscription_end_time) as subscription_end_time,
+       sum(if(s.subscription_start_time is null, 0, {whole_months(until, 's.subscription_start_time')}))::bigint as {months}
+from subscriptions s
+where s.subscription_type = 'subscribed' and exists (from members b where b.user_id = s.user_id)
+group by s.user_id"""
 
-def months_between(end: str, start: str) -> str:
-    """Spark's months_between (same day or both month-ends: whole months;
-    otherwise the day and time difference over 31-day months)."""
-    e, s = f"cast(({end}) as timestamp)", f"cast(({start}) as timestamp)"
-    whole = f"((year({e}) - year({s})) * 12 + month({e}) - month({s}))"
-    secs = lambda x: f"(hour({x}) * 3600 + minute({x}) * 60 + second({x}))"
-    return (f"(case when day({e}) = day({s}) or (cast({e} as date) = last_day(cast({e} as date)) "
-            f"and cast({s} as date) = last_day(cast({s} as date))) then {whole} "
-            f"else {whole} + ((day({e}) - day({s})) * 86400 + {secs(e)} - {secs(s)}) / 2678400.0 end)")
 
+def anchored(months: str) -> str:
+    return f"""
+select b.*, t.subscription_start_time, t.subscription_end_time, t.{months},
+       ifnull(t.subscription_start_time, b.registration_date::timestamp) as reg_sub_start_time,
+       if(t.subscription_start_time is null, 'reg', 'sub') as start_time_status
+from members b left join tenure t using (user_id)"""
 
-def whole_months(end: str, start: str) -> str:
-    return f"cast(trunc({months_between(end, start)}) as integer)"
 
+# -- activity, long and then wide -----------------------------------------------------
 
-def _win(expr: str, w: Window, anchor: str) -> str:
-    if w.lo == w.hi:
-        return f"{expr} = {anchor} + {w.lo}"
-    return f"{expr} between {anchor} + {w.lo} and {anchor} + {w.hi}"
+def activity(reads: str, since: str | None = None) -> list[tuple[str, str]]:
+    """CTEs over ``people``: what each person read in each span."""
+    recent = f"and r.read_date >= date '{since}'" if since else ""
+    return [("spans", SPAN_ROWS), ("read_long", f"""
+select p.user_id, s.span, count(distinct r.book_id) as books, sum(r.reading_minutes::decimal(28, 10))::double as minutes,
+       count(distinct r.read_date) as days, count(distinct r.read_date - isodow(r.read_date)::int) as weeks
+from people p, {reads} r, spans s
+where r.user_id = p.user_id {recent} and r.read_date - p.reg_sub_start_time::date between s.first_day and s.last_day
+group by p.user_id, s.span""")]
 
 
-def books(w: Window, anchor: str, b: str = "b") -> str:
-    return f"count(distinct case when {_win(f'{b}.read_date', w, anchor)} then {b}.book_id end) as book_read_{w.name}"
+def happenings(since: str | None = None) -> list[tuple[str, str]]:
+    """CTEs over ``people``: distinct things each person did in each span."""
+    recent = f"and e.event_date >= date '{since}' and e.event_name in {REPORT_EVENTS}" if since else ""
+    return [("spans", SPAN_ROWS), ("metrics", METRIC_ROWS), ("event_long", f"""
+select p.user_id, s.span, m.metric,
+       count(distinct case m.metric when 'book_opened' then e.book_id::varchar when 'reading_session' then e.session_id
+                                    else e.event_id::varchar end) as things
+from people p, event_facts e, metrics m, spans s
+where e.user_id = p.user_id {recent} and m.event_name = e.event_name
+  and e.event_date - p.reg_sub_start_time::date between s.first_day and s.last_day
+group by p.user_id, s.span, m.metric""")]
 
 
-def mins(w: Window, anchor: str, b: str = "b") -> str:
-    return (f"round(sum(case when {_win(f'{b}.read_date', w, anchor)} then {b}.reading_minutes end), 6) "
-            f"as reading_mins_{w.name}")
+def _pick(what: str, span: str, name: str, missing: str | None = "0") -> str:
+    value = f"max({what}) filter (span = '{span}')"
+    return f"{f'coalesce({value}, {missing})' if missing else value} as {name}"
 
 
-def days(w: Window, anchor: str, b: str = "b") -> str:
-    return f"count(distinct case when {_win(f'{b}.read_date', w, anchor)} then {b}.read_date end) as reading_days_{w.name}"
+books = lambda s: _pick("books", s, f"book_read_{s}")
+minutes = lambda s: _pick("minutes", s, f"reading_mins_{s}", None)
+read_days = lambda s: _pick("days", s, f"reading_days_{s}")
+read_weeks = lambda s: _pick("weeks", s, f"reading_weeks_{s}")
 
 
-def weeks(w: Window, anchor: str, b: str = "b") -> str:
-    return (f"count(distinct case when {_win(f'{b}.read_date', w, anchor)} then date_trunc('week', {b}.read_date) end) "
-            f"as reading_weeks_{w.name}")
+def things(metric: str, span: str) -> str:
+    return f"coalesce(max(things) filter (metric = '{metric}' and span = '{span}'), 0) as {metric}_{span}"
 
 
-EVENT_SQL = {
-    "book_opened": ("book_id", "event_name = 'open book'"),
-    "reading_session": ("session_id", f"event_name in ({q(READING_SESSION_EVENTS)})"),
-    "highlight": ("event_id", "event_name = 'highlight creation'"),
-    "annotation": ("event_id", "event_name = 'annotation creation'"),
-}
+def weeks_with(condition: str, weeks: list[int]) -> str:
+    """In how many of the listed weeks (a repeated one counts twice) the condition holds."""
+    return " + ".join(f"coalesce(bool_or({condition}) filter (span = 'w{k}'), false)::int" for k in weeks)
 
 
-def event_metric(metric: str, w: Window, anchor: str, c: str = "c") -> str:
-    col, cond = EVENT_SQL[metric]
-    return (f"count(distinct case when {_win(f'{c}.event_date', w, anchor)} and {cond} then {c}.{col} end) "
-            f"as {metric}_{w.name}")
+ACTIVE = "books >= 1 and minutes >= 5"
+#: Month 1 of the power months looks at week 3 twice and never at week 4, as the reference does.
+POWER_WEEKS = {1: [1, 2, 3, 3], **{j: list(range(4 * j - 3, 4 * j + 1)) for j in (2, 3, 4)}}
 
 
-def _window(name: str) -> Window:
-    kind, k = name[0], int(name[1:])
-    return {"d": day_windows, "w": week_windows, "m": month_windows}[kind](k)[k - 1]
+def active_weeks(n: int) -> list[str]:
+    return [f"coalesce(bool_or({ACTIVE}) filter (span = 'w{k}'), false){cast} as active_{name}w{k}"
+            for k in range(1, n + 1) for cast, name in (("::int", ""), ("", "flag_"))]
 
 
-ANCHOR = "cast(a.reg_sub_start_time as date)"
+def active_months(n: int) -> list[str]:
+    counts = {j: weeks_with(ACTIVE, list(range(4 * j - 3, 4 * j + 1))) for j in range(1, n + 1)}
+    return [f"({c}) as active_wk_m{j}" for j, c in counts.items()] + [f"({c}) >= 2 as active_wk_flag_m{j}" for j, c in counts.items()]
 
 
-def reading_metrics(shape: ReportShape) -> list[str]:
-    out = []
-    if shape.daily:
-        for w in day_windows(7):
-            out += [books(w, ANCHOR), mins(w, ANCHOR)]
-    wk, mo = week_windows(shape.weeks), month_windows(shape.months)
-    for j, m in enumerate(mo, start=1):
-        for w in wk[4 * (j - 1):4 * j]:
-            out += [books(w, ANCHOR), mins(w, ANCHOR)]
-            if shape.active_days and j == 1:
-                out.append(days(w, ANCHOR))
-        out += [mins(m, ANCHOR), books(m, ANCHOR)]
-        if shape.active_days and j == 1:
-            out += [days(m, ANCHOR), weeks(m, ANCHOR)]
-    if shape.cumulative:
-        out.append(books(cumulative_window(shape.months), ANCHOR))
-    return out
+def power_months() -> list[str]:
+    hit = {j: f"(({weeks_with('minutes >= 72', w)}) >= 2)::int" for j, w in POWER_WEEKS.items()}
+    return [f"{h} as power_active_m{j}" for j, h in hit.items()] + [" + ".join(hit.values()) + " as power_active_m1_to_m4"]
 
 
-def event_metrics(shape: ReportShape) -> list[str]:
-    out = []
-    for n in shape.event_windows:
-        w = _window(n)
-        out += [event_metric(m, w, ANCHOR) for m in ("book_opened", "reading_session", "highlight", "annotation")]
-    for m in month_windows(shape.session_months):
-        if m.name not in shape.event_windows:
-            out.append(event_metric("reading_session", m, ANCHOR))
-    return out
+THREE_PLUS = "coalesce(max(books) filter (span = 'm1_to_m4'), 0) >= 3 as flag_3plus_m1_m4"
+#: The both-flag of w4 looks at annotations of w3, that of m1 at those of w1, as the reference does.
+UGC_PARTNER = {"d1": "d1", "w1": "w1", "w2": "w2", "w3": "w3", "w4": "w3", "m1": "w1"}
 
 
-def base_sql(since=P.SINCE, countries=P.COUNTRIES) -> str:
-    return f"""
-select cast(date_trunc('month', registration_date) as date) as registration_month,
-       case when payment_model = 'direct' then 'd2c' else 'b2b' end as user_type,
-       user_id, registration_date, user_persona, referrer_book_id,
-       b.country, b.continent, b.market, b.region
-from users a
-left join country_regions b on (a.country_id = b.country_id)
-where registration_date >= date '{since}'
-  and is_converted_subscribed = true
-  and lower(country) in ({q(countries)})"""
-
-
-def kpi_base_sql(since=P.SINCE) -> str:
-    return f"""
-select cast(date_trunc('month', registration_date) as date) as registration_month, registration_date, user_id
-from users a
-where registration_date >= date '{since}' and is_converted_paid = true"""
+def ugc_flags() -> list[str]:
+    did = lambda m, s: f"coalesce(bool_or(things > 0) filter (metric = '{m}' and span = '{s}'), false)"
+    return [x for s, other in UGC_PARTNER.items() for x in (
+        f"{did('highlight', s)} as highlight_{s}_flag", f"{did('annotation', s)} as annotation_{s}_flag",
+        f"{did('highlight', s)} and {did('annotation', other)} as ugc_{s}_flag")]
 
 
-def subscription_sql(as_of=P.AS_OF, months_col="tenure_months_todate") -> str:
-    end = (f"case when cast(subscription_end_time as date) = date '9999-12-31' "
-           f"then timestamp '{as_of} 00:00:00' else subscription_end_time end")
-    return f"""
-select user_id, min(subscription_start_time) as subscription_start_time,
-       max(subscription_end_time) as subscription_end_time,
-       cast(sum({months_col}) as bigint) as {months_col}
-from (
-  select user_id, subscription_start_time, subscription_end_time,
-         case when subscription_start_time is null then 0
-              else {whole_months(end, 'subscription_start_time')} end as {months_col}
-  from subscriptions
-  where subscription_type = 'subscribed'
-    and user_id in (select user_id from cohort_users)
-) group by 1"""
-
-
-def user_base_sub_sql(months_col="tenure_months_todate") -> str:
-    return f"""
-select a.*, b.subscription_start_time, b.subscription_end_time, b.{months_col},
-       coalesce(b.subscription_start_time, a.registration_date) as reg_sub_start_time,
-       case when coalesce(b.subscription_start_time, a.registration_date) = b.subscription_start_time
-            then 'sub' else 'reg' end as start_time_status
-from cohort_users a left join tenure_rollup b on (a.user_id = b.user_id)"""
+def read_columns(weeks: int, months: int, daily: bool, total: str | None) -> list[str]:
+    spans = [f"d{k}" for k in range(1, 8)] * daily + [f"w{k}" for k in range(1, weeks + 1)] + [f"m{k}" for k in range(1, months + 1)]
+    out = [f(s) for s in spans for f in (books, minutes)]
+    if daily:
+        out += [read_days(s) for s in ("w1", "w2", "w3", "w4", "m1")] + [read_weeks("m1")]
+    return out + ([books(total)] if total else [])
 
 
-def reading_eng_sql(since=P.SINCE) -> str:
-    return f"""
-select * from reading_activity
-where read_date >= date '{since}' and user_id in (select user_id from cohort_users)"""
+def wide(columns: list[str], long: str) -> str:
+    return f"select p.user_id, {', '.join(columns)} from people p left join {long} using (user_id) group by p.user_id"
 
 
-def event_eng_sql(since=P.SINCE) -> str:
-    return f"""
-select * from event_facts
-where event_date >= date '{since}' and event_name in ({q(ENGAGEMENT_EVENTS)})
-  and user_id in (select user_id from cohort_users)"""
-
-
-def active_cols(shape: ReportShape) -> list[str]:
-    cols = []
-    for k in range(1, shape.weeks + 1):
-        cond = f"book_read_w{k} >= 1 and reading_mins_w{k} >= 5"
-        cols += [f"case when {cond} then 1 else 0 end as active_w{k}",
-                 f"case when {cond} then true else false end as active_flag_w{k}"]
-    for j in range(1, shape.months + 1):
-        parts = [f"case when book_read_w{k} >= 1 and reading_mins_w{k} >= 5 then 1 else 0 end"
-                 for k in range(4 * j - 3, 4 * j + 1)]
-        cols.append("(" + " + ".join(parts) + f") as active_wk_m{j}")
-    return cols
-
-
-ATTRS_V = ("a.registration_month, a.user_type, a.user_id, a.registration_date, a.user_persona, "
-           "a.referrer_book_id, a.country, a.continent, a.market, a.region, a.subscription_start_time, "
-           "a.subscription_end_time, a.tenure_months_todate, a.reg_sub_start_time, a.start_time_status")
-
-
-def engagement_report_sql(level: int) -> str:
-    shape = SHAPES[level]
-    flags = ", ".join(f"case when active_wk_m{j} >= 2 then true else false end as active_wk_flag_m{j}"
-                      for j in range(1, shape.months + 1))
-    ratios = ", ".join(f"round(reading_mins_m{j} / nullif(reading_session_m{j}, 0), 6) as reading_mins_per_session_m{j}"
-                       for j in range(1, shape.months + 1))
-    read_metrics = f"""
-select b.*, {flags}
-from (
-  select a.*, {", ".join(active_cols(shape))}
-  from (
-    select {ATTRS_V},
-      {(','+chr(10)+'      ').join(reading_metrics(shape))}
-    from anchored_users a
-    left join user_reads b on (a.user_id = b.user_id)
-    group by {ATTRS_V}
-  ) a
-) b"""
-    event_counts = f"""
-select a.user_id as user_id_ref,
-  {(','+chr(10)+'  ').join(event_metrics(shape))}
-from anchored_users a
-left join user_events c on (a.user_id = c.user_id)
-group by 1"""
-    body = f"""
-select a.*, b.*, {ratios}
-from read_metrics a
-left join event_counts b on (a.user_id = b.user_id_ref)"""
-    return with_tables(["users", "country_regions", "subscriptions", "reading_activity", "event_facts"], body, [
-        ("cohort_users", base_sql()), ("tenure_rollup", subscription_sql()), ("anchored_users", user_base_sub_sql()),
-        ("user_reads", reading_eng_sql()), ("user_events", event_eng_sql()),
-        ("read_metrics", read_metrics), ("event_counts", event_counts)])
-
-
-ATTRS_K = ("a.registration_month, a.user_id, a.registration_date, a.subscription_start_time, "
-           "a.subscription_end_time, coalesce(a.tenure_months, 0), a.reg_sub_start_time, a.start_time_status, "
-           "a.tenure_months_expected")
-
-
-def learning_kpi_sql() -> str:
-    shape = SHAPE_KPI
-    ubs = f"""
-select a.*, {whole_months(f"timestamp '{P.AS_OF} 00:00:00'", 'reg_sub_start_time')} as tenure_months_expected
-from ({user_base_sub_sql('tenure_months')}) a"""
-    read_windows = f"""
-select a.registration_month, a.user_id, a.registration_date, a.subscription_start_time, a.subscription_end_time,
-       coalesce(a.tenure_months, 0) as tenure_months, a.reg_sub_start_time, a.start_time_status,
-       a.tenure_months_expected,
-  {(','+chr(10)+'  ').join(reading_metrics(shape))}
-from anchored_users a
-left join user_reads b on (a.user_id = b.user_id)
-group by {ATTRS_K}"""
-
-    def power(j: int) -> str:
-        wk = [1, 2, 3, 3] if j == 1 else list(range(4 * j - 3, 4 * j + 1))
-        parts = " + ".join(f"case when reading_mins_w{k} >= 72 then 1 else 0 end" for k in wk)
-        return f"case when ({parts}) >= 2 then 1 else 0 end as power_active_m{j}"
-
-    read_metrics = f"""
-select b.*, (power_active_m1 + power_active_m2 + power_active_m3 + power_active_m4) as power_active_m1_to_m4
-from (
-  select a.*, case when book_read_m1_to_m4 >= 3 then true else false end as flag_3plus_m1_m4,
-         {", ".join(power(j) for j in range(1, 5))}
-  from read_windows a
-) b"""
-    event_counts = f"""
-select a.user_id as user_id_ref,
-  {(','+chr(10)+'  ').join(event_metrics(shape))}
-from anchored_users a
-left join user_events c on (a.user_id = c.user_id)
-group by 1"""
-    partner = {"w4": "w3", "m1": "w1"}
-    flags = []
-    for w in shape.event_windows:
-        a2 = partner.get(w, w)
-        flags += [f"case when highlight_{w} > 0 then true else false end as highlight_{w}_flag",
-                  f"case when annotation_{w} > 0 then true else false end as annotation_{w}_flag",
-                  f"case when highlight_{w} > 0 and annotation_{a2} > 0 then true else false end as ugc_{w}_flag"]
-    body = f"""
-select a.*, b.*, {", ".join(flags)}
-from read_metrics a
-left join event_counts b on (a.user_id = b.user_id_ref)"""
-    return with_tables(["users", "subscriptions", "reading_activity", "event_facts"], body, [
-        ("cohort_users", kpi_base_sql()), ("tenure_rollup", subscription_sql(months_col="tenure_months")),
-        ("anchored_users", ubs), ("user_reads", reading_eng_sql()), ("user_events", event_eng_sql()),
-        ("read_windows", read_windows), ("read_metrics", read_metrics), ("event_counts", event_counts)])
-
-
-# -- standalone keys ------------------------------------------------------------
-
-def dense_reading(metrics: list[str], outer: str | None = None) -> str:
-    inner = f"""
-select a.user_id,
-  {(','+chr(10)+'  ').join(metrics)}
-from event_users a
-left join event_reading b on (a.user_id = b.user_id)
-group by a.user_id"""
-    body = inner if outer is None else f"select user_id, {outer} from ({inner}) x"
-    return with_tables(["event_users", "event_reading"], body)
-
-
-def dense_events(metrics: list[str], outer: str | None = None) -> str:
-    inner = f"""
-select a.user_id,
-  {(','+chr(10)+'  ').join(metrics)}
-from event_users a
-left join event_facts c on (a.user_id = c.user_id)
-group by a.user_id"""
-    body = inner if outer is None else f"select user_id, {outer} from ({inner}) x"
-    return with_tables(["event_users", "event_facts"], body)
+#: Report: (weeks, months, days too, span of all months, event spans, session months).
+REPORTS = {"engagement_report_v1": (12, 3, False, None), "engagement_report_v2": (12, 3, True, None),
+           "engagement_report_v3": (12, 3, True, "m1_to_m3")}
+
+
+def engagement_report(key: str) -> str:
+    weeks, months, daily, total = REPORTS[key]
+    done = [things(m, s) for s in ("w1", "w2", "w3", "w4") for m in METRICS] + [things("reading_session", f"m{k}") for k in (1, 2, 3)]
+    each = ", ".join(f"round(r.reading_mins_m{k} / nullif(e.reading_session_m{k}, 0), 6) as reading_mins_per_session_m{k}" for k in (1, 2, 3))
+    return with_tables(
+        ["users", "country_regions", "subscriptions", "reading_activity", "event_facts"],
+        f"select p.*, r.* exclude (user_id), e.user_id as user_id_ref, e.* exclude (user_id), {each} from people p join r using (user_id) join e on e.user_id = p.user_id",
+        [("members", READERS), ("tenure", tenures("tenure_months_todate")), ("people", anchored("tenure_months_todate")),
+         *activity("reading_activity", P.SINCE), *happenings(P.SINCE)[1:],
+         ("r", wide(read_columns(weeks, months, daily, total) + active_weeks(weeks) + active_months(months), "read_long")),
+         ("e", wide(done, "event_long"))])
+
+
+EXPECTED = f"{whole_months(f'timestamp {chr(39)}{P.AS_OF}{chr(39)}', 'a.reg_sub_start_time')} as tenure_months_expected"
+KPI_PEOPLE = [("members", PAYERS), ("tenure", tenures("tenure_months")), ("a", anchored("tenure_months")), ("people", f"select a.*, {EXPECTED} from a")]
+
+
+def learning_kpi() -> str:
+    done = [things(m, s) for s in UGC_PARTNER for m in METRICS]
+    return with_tables(
+        ["users", "subscriptions", "reading_activity", "event_facts"],
+        "select p.* replace (coalesce(p.tenure_months, 0) as tenure_months), r.* exclude (user_id), e.user_id as user_id_ref, e.* exclude (user_id) from people p join r using (user_id) join e on e.user_id = p.user_id",
+        [*KPI_PEOPLE, *activity("reading_activity", P.SINCE), *happenings(P.SINCE)[1:],
+         ("r", wide(read_columns(16, 4, True, "m1_to_m4") + [THREE_PLUS] + power_months(), "read_long")),
+         ("e", wide(done + ugc_flags(), "event_long"))])
+
+
+def _dense(columns: list[str], events: bool = False) -> str:
+    facts = "event_facts" if events else "event_reading"
+    return with_tables(["event_users", facts], wide(columns, "event_long" if events else "read_long"),
+                       [("people", "from event_users"), *(happenings() if events else activity("event_reading"))])
 
 
 def standalone() -> dict[str, str]:
-    o: dict[str, str] = {}
-    with_base = lambda body, extra=(): with_tables(
-        ["users", "country_regions", "subscriptions", "reading_activity", "event_facts"], body,
-        [("cohort_users", base_sql())] + list(extra))
-    o["engagement_base"] = with_tables(["users", "country_regions"], base_sql())
-    o["kpi_base"] = with_tables(["users"], kpi_base_sql())
-    o["subscription_tenure"] = with_base("select * from tenure_rollup", [("tenure_rollup", subscription_sql())])
-    o["anchor_start"] = with_base("select * from anchored_users", [("tenure_rollup", subscription_sql()),
-                                                                  ("anchored_users", user_base_sub_sql())])
-    o["tenure_expected"] = with_tables(["users", "subscriptions"], f"""
-select a.*, {whole_months(f"timestamp '{P.AS_OF} 00:00:00'", 'reg_sub_start_time')} as tenure_months_expected
-from anchored_users a""", [("cohort_users", kpi_base_sql()), ("tenure_rollup", subscription_sql(months_col="tenure_months")),
-                          ("anchored_users", user_base_sub_sql("tenure_months"))])
-    o["reading_for_cohort"] = with_base(reading_eng_sql())
-    o["events_for_cohort"] = with_base(event_eng_sql())
-
-    a = ANCHOR
-    d7, w16, w12, m4, m3 = day_windows(7), week_windows(16), week_windows(12), month_windows(4), month_windows(3)
-    o["reading_days_d1_d7"] = dense_reading([f(w, a) for w in d7 for f in (books, mins)])
-    o["reading_weeks"] = dense_reading([f(w, a) for w in w16 for f in (books, mins)])
-    o["reading_months"] = dense_reading([f(w, a) for w in m4 for f in (books, mins)])
-    o["active_reading_days"] = dense_reading([days(w, a) for w in week_windows(4) + month_windows(1)]
-                                             + [weeks(month_windows(1)[0], a)])
-    o["cumulative_books"] = dense_reading([books(cumulative_window(4), a)])
-    shape12 = ReportShape(weeks=12, months=3, daily=False, active_days=False, cumulative=False)
-    o["active_week_flags"] = dense_reading([f(w, a) for w in w12 for f in (books, mins)],
-                                           ", ".join(active_cols(shape12)[:24]))
-    counts = active_cols(shape12)[24:]
-    flags = [f"case when active_wk_m{j} >= 2 then true else false end as active_wk_flag_m{j}" for j in (1, 2, 3)]
-    # the flags read the counts: counts one level down
-    o["active_month_flags"] = with_tables(["event_users", "event_reading"], f"""
-select user_id, active_wk_m1, active_wk_m2, active_wk_m3, {", ".join(flags)}
-from (
-  select user_id, {", ".join(counts)}
-  from (
-    select a.user_id,
-      {(','+chr(10)+'      ').join(f(w, a) for w in w12 for f in (books, mins))}
-    from event_users a left join event_reading b on (a.user_id = b.user_id)
-    group by a.user_id
-  ) x
-) y""")
-
-    def power(j: int) -> str:
-        wk = [1, 2, 3, 3] if j == 1 else list(range(4 * j - 3, 4 * j + 1))
-        parts = " + ".join(f"case when reading_mins_w{k} >= 72 then 1 else 0 end" for k in wk)
-        return f"case when ({parts}) >= 2 then 1 else 0 end as power_active_m{j}"
-
-    o["power_months"] = with_tables(["event_users", "event_reading"], f"""
-select y.*, (power_active_m1 + power_active_m2 + power_active_m3 + power_active_m4) as power_active_m1_to_m4
-from (
-  select user_id, {", ".join(power(j) for j in range(1, 5))}
-  from (
-    select a.user_id, {", ".join(mins(w, a) for w in w16)}
-    from event_users a left join event_reading b on (a.user_id = b.user_id)
-    group by a.user_id
-  ) x
-) y""")
-    o["three_plus_readers"] = dense_reading([books(cumulative_window(4), a)],
-                                            "case when book_read_m1_to_m4 >= 3 then true else false end as flag_3plus_m1_m4")
-    kpi_ev = [_window(n) for n in SHAPE_KPI.event_windows]
-    ev_metrics = [event_metric(m, w, a) for w in kpi_ev
-                  for m in ("book_opened", "reading_session", "highlight", "annotation")]
-    o["event_windows"] = dense_events(ev_metrics)
-    o["session_months"] = dense_events([event_metric("reading_session", m, a) for m in m3])
-    partner = {"w4": "w3", "m1": "w1"}
-    ugc = []
-    for w in SHAPE_KPI.event_windows:
-        a2 = partner.get(w, w)
-        ugc += [f"case when highlight_{w} > 0 then true else false end as highlight_{w}_flag",
-                f"case when annotation_{w} > 0 then true else false end as annotation_{w}_flag",
-                f"case when highlight_{w} > 0 and annotation_{a2} > 0 then true else false end as ugc_{w}_flag"]
-    o["ugc_flags"] = dense_events(ev_metrics, ", ".join(ugc))
-    o["minutes_per_session"] = with_tables(["event_users", "event_reading", "event_facts"], f"""
-select r.user_id, {", ".join(f"round(reading_mins_m{j} / nullif(reading_session_m{j}, 0), 6) as reading_mins_per_session_m{j}" for j in (1, 2, 3))}
-from (
-  select a.user_id, {", ".join(mins(m, a) for m in m3)}
-  from event_users a left join event_reading b on (a.user_id = b.user_id) group by a.user_id
-) r
-join (
-  select a.user_id, {", ".join(event_metric("reading_session", m, a) for m in m3)}
-  from event_users a left join event_facts c on (a.user_id = c.user_id) group by a.user_id
-) s on r.user_id = s.user_id""")
-    for level in (1, 2, 3):
-        o[f"engagement_report_v{level}"] = engagement_report_sql(level)
-    o["learning_kpi_report"] = learning_kpi_sql()
-    return o
+    w16, m4, m3 = [f"w{k}" for k in range(1, 17)], ["m1", "m2", "m3", "m4"], ["m1", "m2", "m3"]
+    both = lambda spans: [f(s) for s in spans for f in (books, minutes)]
+    people = ["users", "country_regions", "subscriptions"]
+    o = {
+        "engagement_base": with_tables(people[:2], READERS),
+        "kpi_base": with_tables(["users"], PAYERS),
+        "subscription_tenure": with_tables(people, tenures("tenure_months_todate"), [("members", READERS)]),
+        "anchor_start": with_tables(people, anchored("tenure_months_todate"), [("members", READERS), ("tenure", tenures("tenure_months_todate"))]),
+        "tenure_expected": with_tables(["users", "subscriptions"], "from people", KPI_PEOPLE),
+        "reading_for_cohort": with_tables([*people[:2], "reading_activity"], f"""
+from reading_activity r where r.read_date >= date '{P.SINCE}' and exists (from members b where b.user_id = r.user_id)""", [("members", READERS)]),
+        "events_for_cohort": with_tables([*people[:2], "event_facts"], f"""
+from event_facts e where e.event_date >= date '{P.SINCE}' and e.event_name in {REPORT_EVENTS}
+  and exists (from members b where b.user_id = e.user_id)""", [("members", READERS)]),
+        "reading_days_d1_d7": _dense(both([f"d{k}" for k in range(1, 8)])),
+        "reading_weeks": _dense(both(w16)),
+        "reading_months": _dense(both(m4)),
+        "active_reading_days": _dense([read_days(s) for s in ("w1", "w2", "w3", "w4", "m1")] + [read_weeks("m1")]),
+        "cumulative_books": _dense([books("m1_to_m4")]),
+        "active_week_flags": _dense(active_weeks(12)),
+        "active_month_flags": _dense(active_months(3)),
+        "power_months": _dense(power_months()),
+        "three_plus_readers": _dense([THREE_PLUS]),
+        "event_windows": _dense([things(m, s) for s in UGC_PARTNER for m in METRICS], events=True),
+        "session_months": _dense([things("reading_session", s) for s in m3], events=True),
+        "ugc_flags": _dense(ugc_flags(), events=True),
+        "minutes_per_session": with_tables(["event_users", "event_reading", "event_facts"], "select user_id, " + ", ".join(
+            f"round(max(minutes) filter (r.span = '{s}') / nullif(max(things) filter (e.span = '{s}'), 0), 6) as reading_mins_per_session_{s}" for s in m3)
+            + " from people left join read_long r using (user_id) left join (from event_long where metric = 'reading_session') e using (user_id) group by user_id",
+            [("people", "from event_users"), *activity("event_reading"), *happenings()[1:]]),
+        "learning_kpi_report": learning_kpi(),
+    }
+    return o | {key: engagement_report(key) for key in REPORTS}

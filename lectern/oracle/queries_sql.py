@@ -1,48 +1,25 @@
-"""DuckDB oracle text per query key, in the reference's literal shape.
+"""DuckDB text per query key: what a query must return, worked out another way.
 
-Written the way the reference writes each query (literal conditional
-distinct counts, ``rank()`` over the whole table, ``partition by 1``
-extremes), so the rewritten Spark operators are checked against the plain
-forms. Engine differences are spelled out where the two dialects disagree
-(month arithmetic, NULL order, division by zero).
+Nothing here uses the engine's operators, shapes or windows; only the test
+parameters and the adapters' SQL are shared. Where the dialects disagree
+(month arithmetic, null order, division by zero) the rule is spelled out.
 """
 
 from __future__ import annotations
 
 from ..plans import params as P
 from .adapters_sql import with_tables
-
-ORACLE: dict[str, str] = {}
-
-
-def ts(value) -> str:
-    return f"timestamp '{value} 00:00:00'"
-
-
-def d(value) -> str:
-    return f"date '{value}'"
-
-
-ORACLE["event_catalog"] = with_tables(["tracking"], f"""
-select a.*, datesub('day', last_event_timestamp, {ts(P.EVENT_AS_OF)}) as last_time_event_was_received
-from (
-  select event_name, environment_name, count(1) as cnt, min(record_date) as first_event_timestamp,
-         max(record_date) as last_event_timestamp
-  from tracking
-  where record_date <= {ts(P.EVENT_CUTOFF)}
-  group by 1, 2 order by 3 desc, 1, 2
-  limit {P.EVENT_LIMIT}
-) a
-order by 1, 2""")
-
-from .engagement_sql import standalone as _engagement  # noqa: E402
-
-ORACLE.update(_engagement())
-
-from .ranking_sql import ranking_oracles as _ranking  # noqa: E402
-
-ORACLE.update(_ranking())
-
-from .cohorts_sql import cohort_oracles as _cohorts  # noqa: E402
-
-ORACLE.update(_cohorts())
+from .cohorts_sql import cohort_oracles
+from .engagement_sql import standalone
+from .ranking_sql import ranking_oracles
+
+#: Whole days of 24 hours between the last event and the clock.
+CATALOG = with_tables(["tracking"], f"""
+select event_name, environment_name, count(*) as cnt, min(record_date) as first_event_timestamp, max(record_date) as last_event_timestamp,
+       (epoch(timestamp '{P.EVENT_AS_OF}') - epoch(max(record_date)))::bigint // 86400 as last_time_event_was_received
+from tracking where record_date <= timestamp '{P.EVENT_CUTOFF}'
+group by event_name, environment_name
+order by cnt desc, event_name, environment_name
+limit {P.EVENT_LIMIT}""")
+
+ORACLE: dict[str, str] = {"event_catalog": CATALOG, **standalone(), **ranking_oracles(), **cohort_oracles()}
