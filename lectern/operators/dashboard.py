@@ -34,7 +34,7 @@ def ard_distribution(reading: DataFrame, user_col: str = "user_id", date_col: st
     """Histogram of active reading days per user, with the median."""
     per_user = _ard_per_user(_active_days(reading, user_col, date_col))
     hist = per_user.groupBy("active_reading_days").agg(F.count(F.lit(1)).alias("users"))
-    med = per_user.agg(F.median("active_reading_days").cast("double").alias("median_ard"))
+    med = hist.agg(F.percentile("active_reading_days", 0.5, F.col("users")).cast("double").alias("median_ard"))
     return hist.crossJoin(bounded_broadcast(med, 1, 1))  # a global aggregate: one row
 
 
@@ -73,10 +73,14 @@ def _book_category(books: F.Column) -> F.Column:
 
 
 def _sessions_per_user(events: DataFrame, user_col: str, session_col: str, book_col: str) -> DataFrame:
-    return (events.filter(F.col(user_col).isNotNull())
-            .groupBy(F.col(user_col).alias("user_id"))
-            .agg(F.countDistinct(session_col).alias("active_reading_sessions"),
-                 F.countDistinct(book_col).alias("_books"))
+    seen = (events.filter(F.col(user_col).isNotNull())
+            .select(F.col(user_col).alias("user_id"), F.col(session_col).alias("_session"), F.col(book_col).alias("_book")))
+
+    def distinct_of(column: str, name: str) -> DataFrame:
+        # pairs first: a hot user is spread over tasks, and nothing is expanded
+        return seen.select("user_id", column).distinct().groupBy("user_id").agg(F.count(column).alias(name))
+
+    return (distinct_of("_session", "active_reading_sessions").join(distinct_of("_book", "_books"), "user_id")
             .select("user_id", "active_reading_sessions", _book_category(F.col("_books")).alias("book_category")))
 
 
@@ -86,8 +90,8 @@ def ars_distribution(events: DataFrame, user_col: str = "user_id", session_col:
     with the median per category."""
     per_user = _sessions_per_user(events, user_col, session_col, book_col)
     hist = per_user.groupBy("book_category", "active_reading_sessions").agg(F.count(F.lit(1)).alias("users"))
-    med = per_user.groupBy("book_category").agg(
-        F.median("active_reading_sessions").cast("double").alias("median_ars"))
+    med = hist.groupBy("book_category").agg(
+        F.percentile("active_reading_sessions", 0.5, F.col("users")).cast("double").alias("median_ars"))
     return hist.join(bounded_broadcast(med, len(BOOK_CATEGORIES), len(BOOK_CATEGORIES)), "book_category")
 
 
@@ -98,10 +102,14 @@ def sessions_by_week(events: DataFrame, cohort: DataFrame, user_col: str = "user
     week and book category."""
     per_user = _sessions_per_user(events, user_col, session_col, book_col).select("user_id", "book_category")
     ev = (events.select(F.col(user_col).alias("user_id"), F.col(session_col).alias("session_id"),
-                        F.col(date_col).alias("_day"))
+                        F.col(date_col).alias("_day")).distinct()
           .join(_cohort_starts(cohort), "user_id")
           .withColumn("sub_week", _sub_week("_day")).filter(F.col("sub_week") >= 1)
           .join(per_user, "user_id"))
-    out = ev.groupBy("cohort_period", "sub_week", "book_category").agg(
-        F.countDistinct("session_id").alias("reading_sessions"), F.countDistinct("user_id").alias("users"))
+    group = ["cohort_period", "sub_week", "book_category"]
+
+    def distinct_of(column: str, name: str) -> DataFrame:
+        return ev.select(*group, column).distinct().groupBy(*group).agg(F.count(column).alias(name))
+
+    out = distinct_of("session_id", "reading_sessions").join(distinct_of("user_id", "users"), group)
     return out.withColumn("sessions_per_user", round6(F.try_divide(F.col("reading_sessions"), F.col("users"))))

@@ -95,7 +95,8 @@ def readership(reading: DataFrame, users_by_market: DataFrame, as_of: dt.date,
     readers per book and m the mean minutes per reader of a book."""
     recent = reading.filter(on_or_after(reading, "read_date", months_back(as_of, READING_LOOKBACK_MONTHS)))
     # (user, book) first: bounds a hot user to one row per book it read
-    per_pair = (recent.filter(F.col("user_id").isNotNull())
+    # only members of the markets, before anything is moved by (user, book)
+    per_pair = (recent.join(users_by_market.select("user_id"), "user_id", "left_semi")
                 .groupBy("user_id", "book_id").agg(F.sum(F.col("reading_minutes").cast(EXACT)).alias("_mins")))
     per_book = (per_pair.join(users_by_market, "user_id")
                 .groupBy("market", "book_id")

@@ -43,6 +43,12 @@ select user_id, event_id,
        case when event_id % 20 = 0 then null else cast(regexp_extract(props, '[0-9]+', 0) as int) end as book_id,
        value
 from events""",
+    "report_events": """
+select f.o_custkey as user_id, e.event_id, e.event_name, f.first_day + cast(4 * (day(x.ts) - 1) as int) as event_date,
+       concat(cast(f.o_custkey as varchar), '-', cast(4 * (day(x.ts) - 1) as varchar)) as session_id, e.book_id, e.value
+from event_facts e
+join events x on x.event_id = e.event_id
+join (select o_orderkey, o_custkey, cast(min(o_orderdate) over (partition by o_custkey) as date) as first_day from orders) f on f.o_orderkey = e.event_id""",
     "event_users": """
 select user_id, date '2024-01-01' + cast(user_id % 3 as int) as reg_sub_start_time
 from (select distinct user_id from events) u""",
@@ -112,7 +118,7 @@ from users u join country_regions r on u.country_id = r.country_id""",
 select c_custkey as user_id, c_mktsegment as academic_discipline from customer where c_custkey % 3 <> 0""",
 }
 
-ADAPTER_DEPS: dict[str, tuple[str, ...]] = {"registrations": ("users", "country_regions")}
+ADAPTER_DEPS: dict[str, tuple[str, ...]] = {"registrations": ("users", "country_regions"), "report_events": ("event_facts",)}
 
 
 def with_tables(tables: list[str] | tuple[str, ...], body: str, extra: list[tuple[str, str]] = ()) -> str:

@@ -83,14 +83,14 @@ where r.user_id = p.user_id {recent} and r.read_date - p.reg_sub_start_time::dat
 group by p.user_id, s.span""")]
 
 
-def happenings(since: str | None = None) -> list[tuple[str, str]]:
+def happenings(events: str, since: str | None = None) -> list[tuple[str, str]]:
     """CTEs over ``people``: distinct things each person did in each span."""
     recent = f"and e.event_date >= date '{since}' and e.event_name in {REPORT_EVENTS}" if since else ""
     return [("spans", SPAN_ROWS), ("metrics", METRIC_ROWS), ("event_long", f"""
 select p.user_id, s.span, m.metric,
        count(distinct case m.metric when 'book_opened' then e.book_id::varchar when 'reading_session' then e.session_id
                                     else e.event_id::varchar end) as things
-from people p, event_facts e, metrics m, spans s
+from people p, {events} e, metrics m, spans s
 where e.user_id = p.user_id {recent} and m.event_name = e.event_name
   and e.event_date - p.reg_sub_start_time::date between s.first_day and s.last_day
 group by p.user_id, s.span, m.metric""")]
@@ -170,10 +170,10 @@ def engagement_report(key: str) -> str:
     done = [things(m, s) for s in ("w1", "w2", "w3", "w4") for m in METRICS] + [things("reading_session", f"m{k}") for k in (1, 2, 3)]
     each = ", ".join(f"round(r.reading_mins_m{k} / nullif(e.reading_session_m{k}, 0), 6) as reading_mins_per_session_m{k}" for k in (1, 2, 3))
     return with_tables(
-        ["users", "country_regions", "subscriptions", "reading_activity", "event_facts"],
+        ["users", "country_regions", "subscriptions", "reading_activity", "report_events"],
         f"select p.*, r.* exclude (user_id), e.user_id as user_id_ref, e.* exclude (user_id), {each} from people p join r using (user_id) join e on e.user_id = p.user_id",
         [("members", READERS), ("tenure", tenures("tenure_months_todate")), ("people", anchored("tenure_months_todate")),
-         *activity("reading_activity", P.SINCE), *happenings(P.SINCE)[1:],
+         *activity("reading_activity", P.SINCE), *happenings("report_events", P.SINCE)[1:],
          ("r", wide(read_columns(weeks, months, daily, total) + active_weeks(weeks) + active_months(months), "read_long")),
          ("e", wide(done, "event_long"))])
 
@@ -185,9 +185,9 @@ KPI_PEOPLE = [("members", PAYERS), ("tenure", tenures("tenure_months")), ("a", a
 def learning_kpi() -> str:
     done = [things(m, s) for s in UGC_PARTNER for m in METRICS]
     return with_tables(
-        ["users", "subscriptions", "reading_activity", "event_facts"],
+        ["users", "subscriptions", "reading_activity", "report_events"],
         "select p.* replace (coalesce(p.tenure_months, 0) as tenure_months), r.* exclude (user_id), e.user_id as user_id_ref, e.* exclude (user_id) from people p join r using (user_id) join e on e.user_id = p.user_id",
-        [*KPI_PEOPLE, *activity("reading_activity", P.SINCE), *happenings(P.SINCE)[1:],
+        [*KPI_PEOPLE, *activity("reading_activity", P.SINCE), *happenings("report_events", P.SINCE)[1:],
          ("r", wide(read_columns(16, 4, True, "m1_to_m4") + [THREE_PLUS] + power_months(), "read_long")),
          ("e", wide(done + ugc_flags(), "event_long"))])
 
@@ -195,7 +195,7 @@ def learning_kpi() -> str:
 def _dense(columns: list[str], events: bool = False) -> str:
     facts = "event_facts" if events else "event_reading"
     return with_tables(["event_users", facts], wide(columns, "event_long" if events else "read_long"),
-                       [("people", "from event_users"), *(happenings() if events else activity("event_reading"))])
+                       [("people", "from event_users"), *(happenings("event_facts") if events else activity("event_reading"))])
 
 
 def standalone() -> dict[str, str]:
@@ -228,7 +228,7 @@ from event_facts e where e.event_date >= date '{P.SINCE}' and e.event_name in {R
         "minutes_per_session": with_tables(["event_users", "event_reading", "event_facts"], "select user_id, " + ", ".join(
             f"round(max(minutes) filter (r.span = '{s}') / nullif(max(things) filter (e.span = '{s}'), 0), 6) as reading_mins_per_session_{s}" for s in m3)
             + " from people left join read_long r using (user_id) left join (from event_long where metric = 'reading_session') e using (user_id) group by user_id",
-            [("people", "from event_users"), *activity("event_reading"), *happenings()[1:]]),
+            [("people", "from event_users"), *activity("event_reading"), *happenings("event_facts")[1:]]),
         "learning_kpi_report": learning_kpi(),
     }
     return o | {key: engagement_report(key) for key in REPORTS}

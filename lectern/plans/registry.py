@@ -205,7 +205,7 @@ def _minutes_per_session(t: Tables) -> DataFrame:
 
 def _report(t: Tables, level: int) -> DataFrame:
     from .engagement import engagement_report
-    return engagement_report(t.users, t.country_regions, t.subscriptions, t.reading_activity, t.event_facts,
+    return engagement_report(t.users, t.country_regions, t.subscriptions, t.reading_activity, t.report_events,
                              as_of=P.AS_OF, since=P.SINCE, country_in=P.COUNTRIES, level=level)
 
 
@@ -227,7 +227,7 @@ def _report_v3(t: Tables) -> DataFrame:
 @query("learning_kpi_report")
 def _learning_kpi(t: Tables) -> DataFrame:
     from .engagement import learning_kpi_report
-    return learning_kpi_report(t.users, t.subscriptions, t.reading_activity, t.event_facts,
+    return learning_kpi_report(t.users, t.subscriptions, t.reading_activity, t.report_events,
                                as_of=P.AS_OF, since=P.SINCE)
 
 

@@ -103,6 +103,21 @@ def event_facts(read: Reader) -> DataFrame:
     )
 
 
+def report_events(read: Reader) -> DataFrame:
+    """Events of the reports' people: each event belongs to the customer of the
+    order with its number, up to 120 days after that customer's first order,
+    so that the reports' event windows hold data."""
+    facts = event_facts(read).drop("user_id", "event_date", "session_id")
+    o = read("orders")
+    first = o.groupBy("o_custkey").agg(F.to_date(F.min("o_orderdate")).alias("_first"))
+    owner = o.select(F.col("o_orderkey").alias("event_id"), "o_custkey").join(first, "o_custkey")
+    day = read("events").select("event_id", _event_day_offset(4).alias("_day"))
+    return facts.join(owner, "event_id").join(day, "event_id").select(
+        F.col("o_custkey").alias("user_id"), "event_id", "event_name", _days(F.col("_first"), F.col("_day")).alias("event_date"),
+        F.concat(F.col("o_custkey").cast("string"), F.lit("-"), F.col("_day").cast("string")).alias("session_id"),
+        "book_id", "value")
+
+
 def event_users(read: Reader) -> DataFrame:
     u = read("events").select("user_id").distinct()
     return u.select("user_id", _days(_date("2024-01-01"), F.col("user_id") % 3).alias("reg_sub_start_time"))
@@ -224,6 +239,7 @@ ADAPTERS: dict[str, Callable[[Reader], DataFrame]] = {
     "country_regions": country_regions,
     "subscriptions": subscriptions,
     "event_facts": event_facts,
+    "report_events": report_events,
     "event_users": event_users,
     "event_reading": event_reading,
     "book_meta": book_meta,

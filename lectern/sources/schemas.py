@@ -31,6 +31,9 @@ LOGICAL_SCHEMAS: dict[str, T.StructType] = {
     "event_facts": _schema(("user_id", L), ("event_id", L), ("event_name", S),
                            ("event_date", DT), ("session_id", S), ("book_id", I),
                            ("value", D)),
+    "report_events": _schema(("user_id", L), ("event_id", L), ("event_name", S),
+                           ("event_date", DT), ("session_id", S), ("book_id", I),
+                           ("value", D)),
     "event_users": _schema(("user_id", L), ("reg_sub_start_time", DT)),
     "event_reading": _schema(("user_id", L), ("book_id", I), ("read_date", DT),
                              ("reading_minutes", D)),

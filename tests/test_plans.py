@@ -11,7 +11,7 @@ def plan(df) -> str:
 
 
 def test_windows_have_no_expand(spark):
-    for key in ("learning_kpi_report", "engagement_report_v3", "event_windows"):
+    for key in ("learning_kpi_report", "engagement_report_v3", "event_windows", "ars_distribution", "sessions_by_sub_week"):
         assert "Expand" not in plan(entry.queries()[key](spark, SMALL)), key
 
 
@@ -71,3 +71,14 @@ def test_projection_prunes_the_scan(spark):
     schema = text[text.index("ReadSchema: "):].split("\n")[0]
     assert "p_partkey" in schema and "p_name" in schema
     assert "p_brand" not in schema and "p_type" not in schema and "p_retailprice" not in schema
+
+
+def test_report_event_columns_hold_data(spark):
+    from pyspark.sql import functions as F
+    df = entry.queries()["learning_kpi_report"](spark, SMALL.replace("sf0.001", "sf0.01"))
+    done = [c for c in df.columns if c.startswith(("book_opened_", "reading_session_", "highlight_", "annotation_")) and not c.endswith("_flag")]
+    flags = [c for c in df.columns if c.startswith(("ugc_", "highlight_", "annotation_")) and c.endswith("_flag")]
+    sums = df.agg(*[F.sum(c).alias(c) for c in done], *[F.min(c).alias(f"{c}_all") for c in flags], *[F.max(c).alias(f"{c}_any") for c in flags]).first()
+    assert len(done) == 24 and all(sums[c] > 0 for c in done)
+    assert not any(sums[f"{c}_all"] for c in flags)
+    assert all(sums[f"{c}_any"] for c in flags if not c.startswith("ugc_d1"))
