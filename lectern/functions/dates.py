@@ -28,20 +28,10 @@ def whole_days(start: Column, end: Column) -> Column:
     return F.timestamp_diff("DAY", start, end)
 
 
-def day_offset(day: Column, anchor: Column) -> Column:
-    """Days from the anchor's calendar day to ``day`` (0 = anchor day)."""
-    return F.datediff(day, F.to_date(anchor))
-
-
 def month_start(c: Column) -> Column:
     return F.trunc(c, "month")
 
 
-def week_start(c: Column) -> Column:
-    """Monday of the calendar week, as a date."""
-    return F.date_trunc("week", c).cast("date")
-
-
 def _typed_bound(df: DataFrame, col: str, day: dt.date) -> Column:
     kind = df.schema[col].dataType
     if isinstance(kind, T.DateType):

@@ -13,7 +13,6 @@ from ..config import Market
 
 AS_OF = date(1996, 3, 15)                # cohort, tenure and ranking clock
 SINCE = date(1995, 1, 1)                 # registration / activity lower bound
-EVENT_SINCE = date(2024, 1, 1)           # lower bound for the event adapters
 EVENT_AS_OF = date(2024, 1, 31)          # E1 clock
 EVENT_CUTOFF = date(2024, 1, 25)         # E1 cut-off
 EVENT_LIMIT = 10                         # E1 top-k on 15 pairs
