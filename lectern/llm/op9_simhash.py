@@ -137,8 +137,9 @@ def _shown(c: str) -> Column:
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = written(compare(table(spark, sf_dir, "documents")), "op9-compared")
-    queries = found.filter(F.col("doc_id") % QUERY_EVERY == 0)
+    is_query = F.coalesce(F.col("doc_id") % QUERY_EVERY == 0, F.lit(False))
+    queries = found.filter(is_query)
     near = within(queries, found).groupBy("query").agg((F.sum("n") - 1).alias("n_within"))
-    asked = F.when(F.col("doc_id") % QUERY_EVERY == 0, F.col("fingerprint"))
-    out = found.withColumn("query", asked).join(near, "query", "left")
+    asked = queries.join(near, F.col("fingerprint") == F.col("query"), "left").drop("query")
+    out = asked.unionByName(found.filter(~is_query).withColumn("n_within", F.lit(None).cast("long")))
     return out.select("doc_id", "n_chars", "edited_sha256", _shown("fingerprint"), _shown("edited_fingerprint"), "near_edited", "near_next", "n_within")
