@@ -12,11 +12,14 @@ def suffix_order(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth:
     and the common prefix of each with the one before (0 for the first)."""
     width = -(-depth // 8) * 8
     lengths = np.minimum(ends - starts, depth)
-    columns = np.arange(width)
-    inside = columns < lengths[:, None]
-    rows = np.where(inside, text[np.minimum(starts[:, None] + columns, len(text) - 1)], 0).astype(np.uint8)
-    words = rows.view(">u8").astype(np.uint64)
-    order = np.lexsort((lengths, *words.T[::-1]))
+    columns = np.zeros((width, len(starts)), np.uint8)
+    for k in range(depth):  # a byte of every suffix at a time: nothing wider than the bytes themselves is held
+        inside = np.flatnonzero(lengths > k)
+        columns[k, inside] = text[starts[inside] + k]
+    rows = np.ascontiguousarray(columns.T)
+    del columns
+    words = rows.view(">u8")
+    order = np.lexsort((lengths, *(words[:, k].astype(np.uint64) for k in range(words.shape[1] - 1, -1, -1))))
     rows, lengths = rows[order], lengths[order]
     common = np.zeros(len(order), np.int64)
     if len(order) > 1:

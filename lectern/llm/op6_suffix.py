@@ -38,11 +38,11 @@ from .esa import repeats
 LEAST = 100
 GRAM = 32
 #: A gram with more different fragments is dealt by window.
-HOT = 2000
+HOT = 1000
 #: Anchors a task holds before it compares and hands them on.
-HELD = 1_500_000
+HELD = 600_000
 #: Suffixes sorted at once.
-SORTED = 150_000
+SORTED = 60_000
 NULL_KEY = -(1 << 63)
 
 _P = np.uint64(0x9E3779B97F4A7C15)
