@@ -16,12 +16,56 @@ from .common import tokenizer_path
 
 #: Chunks kept per worker. Common ones come early, so a full memo is kept as it
 #: is; only after ``STALE`` times as many chunks not found it starts anew.
-MEMO_CHUNKS = 500_000
+MEMO_CHUNKS = 600_000
 STALE = 20
 
 _WORKER: dict = {}
 
 
+def _split_tail(chunk: str) -> tuple[str, str]:
+    """A word and the closing punctuation after it, which both patterns cut off."""
+    core = chunk.rstrip(".,;:!?)")
+    return (core, chunk[len(core):]) if core and core != chunk and core[-1].isalpha() else (chunk, "")
+
+
+class _Learner:
+    """Ids of new chunks that the tokenizer ``takes`` alone (False for others);
+    ``kept`` has them while there is room."""
+
+    def __init__(self, encode_many: Callable[[Sequence[str]], list[bytes]], limit: int, takes: Callable[[str], bool]):
+        self.encode_many, self.limit, self.takes, self.missed = encode_many, limit, takes, 0
+        self.endings: dict[str, bytes] = {"": b""}
+
+    def learn(self, kept: dict, chunks: list[bytes], prefix: str) -> dict:
+        """``kept`` with the new chunks, or both side by side if it is full."""
+        parts = [_split_tail(c.decode()) for c in chunks]
+        new: dict[bytes, bytes | bool] = {}
+        cores = [c for c in dict.fromkeys(c for c, _ in parts) if c.encode() not in kept]
+        good = [c for c in cores if self.takes(c)]
+        new.update((c.encode(), False) for c in cores)
+        new.update(zip((c.encode() for c in good), self.encode_many([prefix + c for c in good])))
+        ends = [e for e in {e for _, e in parts} if e not in self.endings]
+        self.endings.update(zip(ends, self.encode_many(ends)))
+        for chunk, (core, end) in zip(chunks, parts):
+            if end:
+                key = core.encode()
+                ids = new[key] if key in new else kept[key]
+                new[chunk] = ids is not False and ids + self.endings[end]
+        if len(self.endings) > 10_000:
+            self.endings = {"": b""}
+        if len(kept) < self.limit:
+            kept.update(new)
+            return kept
+        self.missed += len(new)
+        return _Both(kept, new)
+
+    def stale(self) -> bool:
+        if self.missed > STALE * self.limit:
+            self.missed = 0
+            return True
+        return False
+
+
 def _plain(chunk: str) -> bool:
     """Non-empty and without any white space."""
     return chunk.split() == [chunk]
@@ -35,75 +79,69 @@ class SpacedMemo:
     """
 
     def __init__(self, encode_many: Callable[[Sequence[str]], list[bytes]], limit: int = MEMO_CHUNKS):
-        self.encode_many, self.limit = encode_many, limit
-        self.heads: dict[bytes, bytes | None] = {}
-        self.tails: dict[bytes, bytes | None] = {}
-        self.missed = 0
+        self.encode_many, self.learner = encode_many, _Learner(encode_many, limit, _plain)
+        self.heads: dict[bytes, bytes | bool] = {}
+        self.tails: dict[bytes, bytes | bool] = {}
         self.newline = encode_many(["\n"])[0]
 
-    def _learn(self, kept: dict, chunks: list[bytes], prefix: str) -> dict:
-        """``kept`` with the new chunks, or beside it if it is full."""
-        texts = [c.decode() for c in chunks]
-        good = [_plain(t) for t in texts]
-        packed = iter(self.encode_many([prefix + t for t, g in zip(texts, good) if g]))
-        new = {c: next(packed) if g else None for c, g in zip(chunks, good)}
-        if len(kept) < self.limit:
-            kept.update(new)
-            return kept
-        self.missed += len(new)
-        return _Both(kept, new)
-
-    def _cut(self, data: bytes, heads: dict, tails: dict) -> list[bytes]:
-        out: list = []
-        for k, line in enumerate(data.split(b"\n")):
-            words = line.split(b" ")
-            if k:
-                out.append(self.newline)
-            out.append(heads[words[0]])
-            out.extend(map(tails.__getitem__, words[1:]))
-        return out
-
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        data = text.encode()
-        try:
-            out = self._cut(data, self.heads, self.tails)
-        except KeyError:
-            if self.missed > STALE * self.limit:
-                self.heads, self.tails, self.missed = {}, {}, 0
-            lines = [line.split(b" ") for line in data.split(b"\n")]
-            heads = self._learn(self.heads, [w for w in {x[0] for x in lines} if w not in self.heads], "")
-            tails = self._learn(self.tails, [w for w in {w for x in lines for w in x[1:]} if w not in self.tails], " ")
-            out = self._cut(data, heads, tails)
+        lines, out = text.encode().split(b"\n"), []
+        head, tail = self.heads.get, self.tails.get
+        for k, line in enumerate(lines):
+            words = line.split(b" ")
+            if k:
+                out.append(self.newline)
+            out.append(head(words[0]))
+            out.extend(map(tail, words[1:]))
+        if None in out:
+            self._fill(out, lines)
         try:
             return b"".join(out)
         except TypeError:  # a chunk that is empty or holds other white space
             return self.encode_many([text])[0]
 
+    def _fill(self, out: list, lines: list[bytes]) -> None:
+        """Learns the chunks that ``out`` has no ids for."""
+        if self.learner.stale():
+            self.heads, self.tails = {}, {}
+        at, first, rest = 0, [], []
+        for line in lines:
+            words = line.split(b" ")
+            new = [i for i, x in enumerate(out[at:at + len(words)]) if x is None]
+            if new:
+                if new[0] == 0:
+                    first.append((at, words[0]))
+                rest += [(at + i, words[i]) for i in new if i]
+            at += len(words) + 1
+        for memo, found, prefix in ((self.heads, first, ""), (self.tails, rest, " ")):
+            if found:
+                ids = self.learner.learn(memo, list({w for _, w in found}), prefix)
+                for i, w in found:
+                    out[i] = ids[w]
+
 
 class WordMemo:
-    """For tokenizers that drop white space: words are independent."""
+    """For tokenizers that drop white space and case: words are independent."""
 
     def __init__(self, encode_many: Callable[[Sequence[str]], list[bytes]], limit: int = MEMO_CHUNKS):
-        self.encode_many, self.limit, self.memo, self.missed = encode_many, limit, {}, 0
+        self.learner, self.memo = _Learner(encode_many, limit, bool), {}
 
     def __call__(self, text: str) -> bytes:
-        words = text.encode().split()
-        memo = self.memo
-        try:
-            return b"".join(map(memo.__getitem__, words))
-        except KeyError:
-            new = [w for w in set(words) if w not in memo]
-            found = dict(zip(new, self.encode_many([w.decode() for w in new])))
-            if len(memo) < self.limit:
-                memo.update(found)
-            else:
-                self.missed += len(found)
-                if self.missed > STALE * self.limit:
-                    self.memo, self.missed = {}, 0
-                memo = _Both(memo, found)
-            return b"".join(map(memo.__getitem__, words))
+        data = text.encode()
+        if b"\xcc" not in data and b"\xcd" not in data:  # no combining marks: the tokenizer's lower case of A-Z may come first
+            data = data.lower()
+        words = data.split()
+        out = list(map(self.memo.get, words))
+        if None in out:
+            if self.learner.stale():
+                self.memo = {}
+            at = [i for i, x in enumerate(out) if x is None]
+            ids = self.learner.learn(self.memo, list({words[i] for i in at}), "")
+            for i in at:
+                out[i] = ids[words[i]]
+        return b"".join(out)
 
 
 class _Both(dict):
