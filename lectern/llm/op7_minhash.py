@@ -9,8 +9,8 @@ their full sets. Links are merged by large-star / small-star.
 A band's bucket is never expanded into its pairs. First every member is
 compared with the bucket's smallest; what that links is merged. In buckets
 that still hold several components, members of all but the largest one there
-are then compared with the rest, in blocks; between two components the most
-alike pairs are confirmed first, and only while none links, further ones.
+are then compared with the rest, in blocks: of each such component the most
+alike pairs are confirmed first, and only where none links it, all further ones.
 
 The chance that a pair at the limit shares no band is 2e-7. Null and empty
 texts have an empty set and are linked with nothing; a null doc_id is kept,
@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,14 +32,14 @@ from .components import components
 
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 80
-#: Bands of rows: at 85 % a pair misses all with probability 2e-7, at 80 % 4e-5
-#: (then 72 bands are used, 1e-8).
+#: Bands of rows by percent: a pair at the limit misses all 40 with probability
+#: 2e-7 at 85 %, all 72 with 4e-8 at 80 %.
 ROWS = 7
 BANDS = {85: 40, 80: 72}
 #: Members of a bucket that are compared in one block.
 BLOCK = 4096
 #: Unlikely that a pair at the limit agrees in so much less of its signature (in standard deviations).
-SIGMAS = 6
+SIGMAS = 5
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -82,25 +83,29 @@ def signature(items: np.ndarray, family: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int, bands: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id, keys, minima) per document; set_id digests the set."""
+    """(row, doc_id, n_shingles, set_id, keys, minima) per document; ``row`` numbers
+    the rows, set_id digests the set."""
 
     def make():
         family = hash_family(bands * ROWS)
         powers = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(ROWS)], np.uint64)
         salt = np.arange(bands, dtype=np.uint64) * _MIX[2]
 
+        at = {"row": TaskContext.get().partitionId() << 40}
+
         def row(doc_id, text):
             items = shingle_set(text or "", width)
+            at["row"] += 1
             if not len(items):
-                return [(doc_id, 0, None, None, None)]
+                return [(at["row"], doc_id, 0, None, None, None)]
             minima = signature(items, family)
             keys = (minima.reshape(bands, ROWS) * powers).sum(1, dtype=np.uint64) + salt
             keys = (keys ^ (keys >> np.uint64(31))) * _MIX[3]
-            return [(doc_id, len(items), hashlib.blake2b(items.tobytes(), digest_size=16).digest(), keys.view(np.int64).tolist(), minima.astype(np.uint8).tobytes())]
+            return [(at["row"], doc_id, len(items), hashlib.blake2b(items.tobytes(), digest_size=16).digest(), keys.view(np.int64).tolist(), minima.astype(np.uint8).tobytes())]
 
         return row
 
-    return per_row(docs.select("doc_id", "text"), "doc_id long, n_shingles long, set_id binary, keys array<long>, minima binary", make, 512)
+    return per_row(docs.select("doc_id", "text"), "row long, doc_id long, n_shingles long, set_id binary, keys array<long>, minima binary", make, 512)
 
 
 def _alike(minima: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -118,10 +123,17 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, items) with the full sets of the documents ``nodes``."""
 
     def make():
-        return lambda doc_id, text: [(doc_id, shingle_set(text or "", width).tobytes())]
+        done: set = set()  # rows of one doc_id mostly meet in a task; a pair confirmed twice is one link
+
+        def row(doc_id, text):
+            if doc_id not in done:
+                done.add(doc_id)
+                yield doc_id, shingle_set(text or "", width).tobytes()
+
+        return row
 
     wanted = docs.select("doc_id", "text").join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    return written(per_row(wanted, "node long, items binary", make, 256).dropDuplicates(["node"]), "op7-sets", "none")
+    return written(per_row(wanted, "node long, items binary", make, 256), "op7-sets", "none")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -142,11 +154,12 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return per_row(first.join(sets.select(F.col("node").alias("v"), F.col("items").alias("b")), "v").select("u", "v", "a", "b"), "u long, v long", make)
 
 
-def _with_smallest(members: DataFrame, least: float) -> DataFrame:
+def _with_smallest(members: DataFrame, minima: DataFrame, least: float) -> DataFrame:
     """Candidate pairs of each bucket's members with its smallest, alike by signature."""
-    smallest = members.groupBy("key").agg(F.min(F.struct("node", "minima")).alias("s"), F.count("*").alias("n")).filter("n > 1")
-    pairs = members.join(smallest.select("key", F.col("s.node").alias("u"), F.col("s.minima").alias("um")), "key").filter(F.col("node") != F.col("u"))
-    pairs = pairs.select("u", F.col("node").alias("v"), "um", "minima").dropDuplicates(["u", "v"])
+    smallest = members.groupBy("key").agg(F.min("node").alias("u"))
+    pairs = members.join(smallest, "key").filter("node != u").select("u", F.col("node").alias("v")).distinct()
+    both = pairs.join(minima.select(F.col("node").alias("u"), F.col("minima").alias("a")), "u")
+    both = both.join(minima.select(F.col("node").alias("v"), F.col("minima").alias("b")), "v")
 
     def make():
         def row(u, v, a, b):
@@ -155,31 +168,35 @@ def _with_smallest(members: DataFrame, least: float) -> DataFrame:
 
         return row
 
-    return per_row(pairs, "u long, v long", make)
+    return per_row(both.select("u", "v", "a", "b"), "u long, v long", make)
 
 
-def _across(members: DataFrame, found: DataFrame, least: float, most: int) -> DataFrame:
-    """(u, v, more): in buckets of several components, the up to ``most`` most
-    alike pairs of two components in a block; ``more`` if there are others."""
+def _across(members: DataFrame, minima: DataFrame, found: DataFrame, least: float, most: int) -> DataFrame:
+    """(u, v, more): in buckets of several components, for each of them but the
+    largest there the up to ``most`` pairs most alike with members of others in
+    a block; ``more`` if there are others."""
     held = members.join(found.withColumnRenamed("component", "c"), "node", "left").withColumn("component", F.coalesce("c", "node")).drop("c")
     sizes = held.groupBy("key", "component").agg(F.count("*").alias("n"))
-    buckets = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("rows"), F.max(F.struct("n", "component")).alias("big")).filter("parts > 1")
-    buckets = buckets.select("key", F.col("big.component").alias("big"), F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    rows = held.join(buckets, "key").withColumn("probe", F.col("component") != F.col("big"))
+    buckets = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("rows"), F.max_by("component", "n").alias("big")).filter("parts > 1")
+    buckets = buckets.select("key", "big", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+    rows = held.join(buckets, "key").join(minima, "node").withColumn("probe", F.col("component") != F.col("big"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     to = F.when(F.col("probe"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
-    dealt = rows.select("key", F.explode(to).alias("block"), "node", "component", "minima", "probe", own.alias("own"))
+    dealt = rows.select("key", F.explode(to).alias("block"), "node", "component", "minima", "keys", "probe", own.alias("own"))
 
     def near(group):
         nodes, parts = group["node"].to_numpy(), group["component"].to_numpy()
         minima = np.frombuffer(b"".join(group["minima"]), np.uint8).reshape(len(nodes), -1)
         probes, here = group["probe"].to_numpy(), (group["own"] == group["block"]).to_numpy()
+        keys, key = np.stack(group["keys"].to_list()), group["key"].iloc[0]
         found: dict = {}
         for i in np.flatnonzero(probes):
             alike = _alike(minima, minima[i])
-            other = here & (parts != parts[i]) & (alike >= least) & (~probes | (nodes > nodes[i]))
-            for j in np.flatnonzero(other):
-                found.setdefault((min(parts[i], parts[j]), max(parts[i], parts[j])), []).append((-alike[j], min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+            other = here & (parts != parts[i]) & (alike >= least)
+            others = np.flatnonzero(other)
+            first = (keys[others] == keys[i]).argmax(1)  # of the bands that a pair shares: it counts there only
+            for j in others[keys[i][first] == key]:
+                found.setdefault(parts[i], []).append((-alike[j], min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
         out = [(u, v, len(x) > most) for x in found.values() for _, u, v in sorted(x)[:most]]
         import pandas as pd
 
@@ -195,19 +212,23 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
     bands = BANDS[max(b for b in BANDS if b <= percent)]
     least = _least_alike(percent, bands)
     seen = written(sketches(docs, width, bands), "op7-sketches")
-    classes = seen.filter("doc_id is not null and n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("node"))
-    nodes = seen.filter("n_shingles > 0").join(classes.withColumnRenamed("node", "doc_id"), ["set_id", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    # one row of each class: its smallest doc_id, and of that the first row
+    rows = seen.filter("doc_id is not null and n_shingles > 0").groupBy("set_id", "doc_id").agg(F.min("row").alias("row"))
+    classes = rows.groupBy("set_id").agg(F.min("doc_id").alias("node"))
+    chosen = rows.join(classes.withColumnRenamed("node", "doc_id"), ["set_id", "doc_id"]).select("row")
+    nodes = seen.join(chosen, "row", "left_semi")
     keyed = nodes.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = keyed.join(shared, "key")
-    members = written(members.join(seen.select(F.col("doc_id").alias("node"), "minima").filter("minima is not null").dropDuplicates(["node"]), "node").select("key", "node", "minima"), "op7-members")
-    sets = _sets(docs, members.select("node").distinct(), width)
-    pairs = written(_with_smallest(members, least), "op7-pairs")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("key")
+    members = written(keyed.join(shared, "key").select("key", "node"), "op7-members")
+    candidates = members.select("node").distinct()
+    minima = written(seen.join(chosen, "row", "left_semi").select(F.col("doc_id").alias("node"), "minima", "keys").join(candidates, "node", "left_semi"), "op7-minima")
+    sets = _sets(docs, candidates, width)
+    pairs = written(_with_smallest(members, minima, least), "op7-pairs")
     links = written(_confirm(pairs, sets, percent), "op7-links")
     found = written(components(links), "op7-components")
-    done, most = pairs, 64
+    done, most = pairs, 2
     while True:
-        tried = written(_across(members, found, least, most), "op7-across")
+        tried = written(_across(members, minima, found, least, most), "op7-across")
         fresh = tried.select("u", "v").distinct().join(done, ["u", "v"], "left_anti")
         more = written(_confirm(fresh, sets, percent), "op7-links")
         open_ = tried.filter("more").limit(1).count()
