@@ -31,8 +31,9 @@ from .common import per_row, table, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: Share of a group's rows that its estimate rests on.
-SUPPORT = 0.75
+#: Share of a group's rows that its estimate rests on: the least that can be, as
+#: copies or junk may hold a third of a group and more and must all stay outside.
+SUPPORT = 0.5
 STEPS = 4
 #: Smaller groups are judged by the estimate of all rows.
 MIN_GROUP = 60

@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from lectern.llm.op5_quality import keep_clean, quality, text_statistics
 
 SCHEMA = "p double, doc_id long, text string, lang string, source string, rows int"
@@ -57,6 +59,15 @@ def test_verdicts(spark):
     assert kept.schema == docs.schema and sorted(r.doc_id for r in kept.collect()) == sorted([0, *range(300)])
 
 
+@pytest.mark.parametrize("copies", [60, 100, 130])  # 23, 33 and 39 percent of the group
+def test_junk_copies_in_a_group_are_no_part_of_its_estimate(spark, copies):
+    r = random.Random(3)
+    texts = [prose(r, r.randint(60, 300)) for _ in range(200)]
+    texts += [" ".join(w + "#$%&" for w in texts[0].split())] * copies
+    docs = spark.createDataFrame([(1.0, i, t, "en", "a", 3) for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(x.doc_id for x in quality(docs).filter("kept").collect()) == list(range(200))
+
+
 def test_empty_table_and_only_failing_rows(spark):
     assert quality(spark.createDataFrame([], SCHEMA)).collect() == []
     only = spark.createDataFrame([(1.0, 1, "short", "en", "a", 1)], SCHEMA)
