@@ -15,9 +15,10 @@ place. The windows that share a gram occurrence are one fragment.
 
 Windows are compared by 128 bits of hash in step 1, by bytes in step 2.
 
-Null and empty texts have no bytes and lose none; a null doc_id sorts first;
-doc_id names a text: rows that repeat one are cut alike, each by what is
-earlier than it. An empty table gives no rows; further columns are not read by
+Null and empty texts have no bytes and lose none. Every row is a text of its
+own, named by a number written with it: earlier is the smaller doc_id (null
+is the least long), of rows that repeat one or have none the smaller number, and
+in a row the earlier start. Of equal rows the first stays. An empty table gives no rows; further columns are not read by
 ``removals`` and kept by ``without_repeats``, where bytes of a cut character
 are dropped.
 """
@@ -93,24 +94,24 @@ def fragments(data: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, ...]:
     return h[anchor], content, anchor, lo, hi
 
 
-def _merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Byte spans joined where they touch, per document."""
-    order = np.lexsort((hi, lo, doc))
-    doc, lo, hi = doc[order], lo[order], hi[order]
-    if not len(doc):
-        return doc, lo, hi
-    new_doc = np.r_[True, doc[1:] != doc[:-1]]
-    # ends grow within a document; a document's number lifts its ends above those before
-    lift = np.cumsum(new_doc) * (int(hi.max()) + 1)
+def _merged(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Byte spans joined where they touch, per row."""
+    order = np.lexsort((hi, lo, row))
+    row, lo, hi = row[order], lo[order], hi[order]
+    if not len(row):
+        return row, lo, hi
+    new_row = np.r_[True, row[1:] != row[:-1]]
+    # ends grow within a row; a row's place lifts its ends above those before
+    lift = np.cumsum(new_row) * (int(hi.max()) + 1)
     reach = np.maximum.accumulate(hi + lift) - lift
-    start = np.flatnonzero(np.r_[True, new_doc[1:] | (lo[1:] > reach[:-1])])
-    return doc[start], lo[start], np.maximum.reduceat(hi, start)
+    start = np.flatnonzero(np.r_[True, new_row[1:] | (lo[1:] > reach[:-1])])
+    return row[start], lo[start], np.maximum.reduceat(hi, start)
 
 
-_ANCHORS = pa.schema([("gram", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("anchor", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
-_ANCHORS_DDL = "gram long, content long, doc long, anchor long, lo long, hi long"
-_FOUND = pa.schema([("doc", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("gram", pa.int64()), ("anchor", pa.int64()), ("hot", pa.bool_())])
-_FOUND_DDL = "doc long, lo long, hi long, gram long, anchor long, hot boolean"
+_ANCHORS = pa.schema([("gram", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("anchor", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
+_ANCHORS_DDL = "gram long, content long, doc long, row long, anchor long, lo long, hi long"
+_FOUND = pa.schema([("row", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("gram", pa.int64()), ("anchor", pa.int64()), ("hot", pa.bool_())])
+_FOUND_DDL = "row long, lo long, hi long, gram long, anchor long, hot boolean"
 
 
 def _batches(schema: pa.Schema, *columns: np.ndarray, rows: int = 100_000) -> Iterator[pa.RecordBatch]:
@@ -123,24 +124,24 @@ def _anchors(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
     held, n = [], 0
 
     def flush():
-        gram, content, doc, anchor, lo, hi = (np.concatenate(c) for c in zip(*held))
+        gram, content, doc, row, anchor, lo, hi = (np.concatenate(c) for c in zip(*held))
         if not len(gram):
             return
-        order = np.lexsort((lo, doc, content, gram))
-        gram, content, doc, anchor, lo, hi = (c[order] for c in (gram, content, doc, anchor, lo, hi))
+        order = np.lexsort((lo, row, doc, content, gram))
+        gram, content, doc, row, anchor, lo, hi = (c[order] for c in (gram, content, doc, row, anchor, lo, hi))
         again = np.r_[False, (gram[1:] == gram[:-1]) & (content[1:] == content[:-1])]
         first = ~again
-        yield from _batches(_ANCHORS, *(c[first] for c in (gram, content, doc, anchor, lo, hi)))
-        d, a, b = _merged(doc[again], lo[again], hi[again] + least)
+        yield from _batches(_ANCHORS, *(c[first] for c in (gram, content, doc, row, anchor, lo, hi)))
+        d, a, b = _merged(row[again], lo[again], hi[again] + least)
         spread = _mixed(d.view(np.uint64)).view(np.int64)
-        yield from _batches(_ANCHORS, spread, spread, d, np.full(len(d), -1), a, b)
+        yield from _batches(_ANCHORS, spread, spread, d, d, np.full(len(d), -1), a, b)
 
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             raw = text.as_buffer()
             data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
             gram, content, anchor, lo, hi = fragments(data, least)
-            held.append((gram.view(np.int64), content.view(np.int64), np.full(len(lo), doc), anchor, lo, hi))
+            held.append((gram.view(np.int64), content.view(np.int64), np.full(len(lo), doc), np.full(len(lo), row), anchor, lo, hi))
             n += len(lo)
             if n >= HELD:
                 yield from flush()
@@ -154,22 +155,23 @@ def _settle(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
     parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
     if not parts:
         return
-    gram, content, doc, anchor, lo, hi = (np.concatenate(c) for c in zip(*parts))
+    gram, content, doc, row, anchor, lo, hi = (np.concatenate(c) for c in zip(*parts))
     del parts
     gone = anchor < 0
-    spans = [(doc[gone], lo[gone], hi[gone])]
-    gram, content, doc, anchor, lo, hi = (c[~gone] for c in (gram, content, doc, anchor, lo, hi))
-    order = np.lexsort((lo, doc, content, gram))
-    gram, content, doc, anchor, lo, hi = (c[order] for c in (gram, content, doc, anchor, lo, hi))
+    spans = [(row[gone], lo[gone], hi[gone])]
+    gram, content, doc, row, anchor, lo, hi = (c[~gone] for c in (gram, content, doc, row, anchor, lo, hi))
+    order = np.lexsort((lo, row, doc, content, gram))
+    gram, content, row, anchor, lo, hi = (c[order] for c in (gram, content, row, anchor, lo, hi))
+    del doc
     if len(gram):
         new_gram = np.r_[True, gram[1:] != gram[:-1]]
         first = new_gram | np.r_[True, content[1:] != content[:-1]]
-        spans.append((doc[~first], lo[~first], hi[~first] + least))
-        gram, doc, anchor, lo, hi = (c[first] for c in (gram, doc, anchor, lo, hi))
+        spans.append((row[~first], lo[~first], hi[~first] + least))
+        gram, row, anchor, lo, hi = (c[first] for c in (gram, row, anchor, lo, hi))
         start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
         many = np.repeat(np.diff(np.r_[start, len(gram)]), np.diff(np.r_[start, len(gram)]))
         open_ = many > 1
-        for b in _batches(_FOUND, doc[open_], lo[open_], hi[open_], gram[open_], anchor[open_], many[open_] > HOT):
+        for b in _batches(_FOUND, row[open_], lo[open_], hi[open_], gram[open_], anchor[open_], many[open_] > HOT):
             yield b
     d, a, b = _merged(*(np.concatenate(c) for c in zip(*spans)))
     none = np.zeros(len(d), np.int64)
@@ -178,31 +180,31 @@ def _settle(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
 
 
 def _cut_out(width: int):
-    """Open fragments' bytes: rows (key, doc, at, bytes)."""
+    """Open fragments' bytes: rows (key, doc, row, at, bytes)."""
 
-    def row(doc, text, open_):
+    def row(doc, number, text, open_):
         data = text or b""
         for f in open_:
             lo, hi = f["lo"], f["hi"]
             if not f["hot"]:
-                yield f["gram"], doc, lo, data[lo:hi + width]
+                yield f["gram"], doc, number, lo, data[lo:hi + width]
             else:
                 for at in range(lo, hi + 1):
                     window = data[at:at + width]
-                    yield int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True), doc, at, window
+                    yield int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True), doc, number, at, window
 
     return row
 
 
 def _repeated(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Spans to go among the fragments dealt to a task, by their maximal repeats."""
-    parts = [[*(c.to_numpy(zero_copy_only=False) for c in b.columns[:3]), b.column(3).to_pylist()] for b in batches]
+    parts = [[*(c.to_numpy(zero_copy_only=False) for c in b.columns[:4]), b.column(4).to_pylist()] for b in batches]
     if not parts:
         return
-    key, doc, at = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    data = [x for p in parts for x in p[3]]
-    order = np.lexsort((at, doc, key))
-    key, doc, at = key[order], doc[order], at[order]
+    key, doc, row, at = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    data = [x for p in parts for x in p[4]]
+    order = np.lexsort((at, row, doc, key))
+    key, doc, row, at = key[order], doc[order], row[order], at[order]
     data = [data[i] for i in order.tolist()]
     sizes = np.array([len(x) - least + 1 for x in data], np.int64)
     bounds = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]).tolist() + [len(key)]
@@ -210,8 +212,8 @@ def _repeated(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
 
     def run(a: int, b: int) -> None:
         for length, found in repeats(data[a:b], least):
-            where = sorted((int(doc[a + f]), int(at[a + f]) + o) for f, o in found)
-            spans.extend((d, p, p + length) for d, p in where[1:])
+            where = sorted((int(doc[a + f]), int(row[a + f]), int(at[a + f]) + o) for f, o in found)
+            spans.extend((d, p, p + length) for _, d, p in where[1:])
 
     a, n = 0, 0  # several grams at a time: an equal window is never in two of them
     for lo, hi in zip(bounds, bounds[1:]):
@@ -227,20 +229,25 @@ def _repeated(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
         yield from _batches(_FOUND, d, x, y, none, none - 1, none > 0)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` written with ``_row``, a number of its own for every row."""
+    return written(docs.select("*", F.monotonically_increasing_id().alias("_row")), "op6-rows")
+
+
 def removals(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc, spans): the byte spans [lo, hi) to go of every document that has any;
-    a null doc_id is ``NULL_KEY``."""
+    """(_row, spans): the byte spans [lo, hi) to go of every row of ``numbered``
+    documents that has any."""
     if least < 2 * GRAM:
         raise ValueError(f"strings of {2 * GRAM} bytes and more are looked for")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select(F.coalesce("doc_id", F.lit(NULL_KEY)).alias("doc"), F.col("text").cast("binary").alias("text"))
+    keyed = docs.select(F.coalesce("doc_id", F.lit(NULL_KEY)).alias("doc"), F.col("_row").alias("row"), F.col("text").cast("binary").alias("text"))
     anchors = keyed.mapInArrow(lambda b: _anchors(b, least), _ANCHORS_DDL)
     found = written(anchors.repartition(n, "gram").mapInArrow(lambda b: _settle(b, least), _FOUND_DDL), "op6-found")
-    open_ = found.filter("anchor >= 0").groupBy("doc").agg(F.collect_list(F.struct("gram", "lo", "hi", "hot")).alias("open"))
-    pieces = per_row(keyed.join(open_, "doc").select("doc", "text", "open"), "key long, doc long, at long, data binary", lambda: _cut_out(least))
+    open_ = found.filter("anchor >= 0").groupBy("row").agg(F.collect_list(F.struct("gram", "lo", "hi", "hot")).alias("open"))
+    pieces = per_row(keyed.join(open_, "row").select("doc", "row", "text", "open"), "key long, doc long, row long, at long, data binary", lambda: _cut_out(least))
     late = written(pieces.repartition(n, "key").mapInArrow(lambda b: _repeated(b, least), _FOUND_DDL), "op6-repeats")
-    spans = found.filter("anchor < 0").select("doc", "lo", "hi").union(late.select("doc", "lo", "hi"))
-    return spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = found.filter("anchor < 0").select("row", "lo", "hi").union(late.select("row", "lo", "hi"))
+    return spans.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
 def runs(spans: list | None) -> list[tuple[int, int]]:
@@ -261,8 +268,8 @@ def kept_bytes(data: bytes, gone: list[tuple[int, int]]) -> bytes:
 
 def digests(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """What goes and what stays of every document, as counts and a digest."""
-    key = F.coalesce("doc_id", F.lit(NULL_KEY))
-    joined = docs.select("doc_id", "text", key.alias("doc")).join(removals(docs, least), "doc", "left")
+    rows = numbered(docs.select("doc_id", "text"))
+    joined = rows.join(removals(rows, least), "_row", "left")
 
     def make():
         def row(doc_id, text, spans):
@@ -278,8 +285,9 @@ def digests(docs: DataFrame, least: int = LEAST) -> DataFrame:
 def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The documents with their texts cut; all columns and rows are kept, and a
     text that loses everything is empty."""
-    found = removals(docs, least).select(F.col("doc").alias("_doc"), F.col("spans").alias("_spans"))
-    joined = docs.join(found, F.coalesce(docs["doc_id"], F.lit(NULL_KEY)) == F.col("_doc"), "left").drop("_doc")
+    rows = numbered(docs)
+    found = removals(rows, least).withColumnRenamed("spans", "_spans")
+    joined = rows.join(found, "_row", "left").select(*docs.columns, "_spans")
     schema, at = docs.schema, docs.columns.index("text")
 
     def make():

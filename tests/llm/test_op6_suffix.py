@@ -63,6 +63,20 @@ def test_texts_are_cut_and_columns_kept(spark):
     assert {r.doc_id: (r.text, r.gram) for r in out.collect()} == {1: ("x " + passage, 5), 2: (" y", None), 3: (None, 1)}
 
 
+def test_rows_that_share_a_doc_id_or_have_none(spark):
+    passage, other = ("".join(f" {c}{i}" for i in range(60)) for c in "pq")
+    rows = [(5, "x" + passage), (5, "x" + passage), (None, "n" * 30 + other + passage), (None, "".join(f"z{i * i} " for i in range(200))),
+            (None, "m" + other), (7, "first" + other)]
+    docs = spark.createDataFrame([(f"s{k}", d, t, k) for k, (d, t) in enumerate(rows)], SCHEMA).coalesce(1)
+    got = {r.gram: r.text for r in without_repeats(docs).collect()}
+    # nulls are earlier than 5 and 7, each a text of its own; the second row of 5 repeats the first
+    assert got == {0: "x", 1: "", 2: rows[2][1], 3: rows[3][1], 4: "m", 5: "first"}
+    equal = spark.createDataFrame([("s", 5, "x" + passage, k) for k in range(3)] + [("s", None, "y" + other, k) for k in range(3, 5)], SCHEMA).repartition(4)
+    assert sorted(r.text for r in without_repeats(equal).collect()) == ["", "", "", "x" + passage, "y" + other]
+    assert sorted((r.n_bytes - r.n_removed, r.kept_sha256 == hashlib.sha256(b"").hexdigest()) for r in digests(equal).collect()) == [
+        (0, True)] * 3 + [(len(passage) + 1, False)] * 2
+
+
 def test_empty_table(spark):
     assert digests(spark.createDataFrame([], SCHEMA)).collect() == []
 
