@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -41,6 +42,11 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` written with ``_row``, a number of its own for every row."""
+    return written(docs.select("*", F.monotonically_increasing_id().alias("_row")), name)
+
+
 def per_row(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[..., Iterator[tuple]]], out_rows: int = 4096) -> DataFrame:
     """Arrow-batched flat map: ``make()`` is called once per task and gives a
     function of the row's values that yields output tuples.

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_row, table, written
+from .common import numbered, per_row, table, written
 from .esa import repeats
 
 LEAST = 100
@@ -229,11 +229,6 @@ def _repeated(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
         yield from _batches(_FOUND, d, x, y, none, none - 1, none > 0)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` written with ``_row``, a number of its own for every row."""
-    return written(docs.select("*", F.monotonically_increasing_id().alias("_row")), "op6-rows")
-
-
 def removals(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(_row, spans): the byte spans [lo, hi) to go of every row of ``numbered``
     documents that has any."""
@@ -268,7 +263,7 @@ def kept_bytes(data: bytes, gone: list[tuple[int, int]]) -> bytes:
 
 def digests(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """What goes and what stays of every document, as counts and a digest."""
-    rows = numbered(docs.select("doc_id", "text"))
+    rows = numbered(docs.select("doc_id", "text"), "op6-rows")
     joined = rows.join(removals(rows, least), "_row", "left")
 
     def make():
@@ -285,7 +280,7 @@ def digests(docs: DataFrame, least: int = LEAST) -> DataFrame:
 def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The documents with their texts cut; all columns and rows are kept, and a
     text that loses everything is empty."""
-    rows = numbered(docs)
+    rows = numbered(docs, "op6-rows")
     found = removals(rows, least).withColumnRenamed("spans", "_spans")
     joined = rows.join(found, "_row", "left").select(*docs.columns, "_spans")
     schema, at = docs.schema, docs.columns.index("text")

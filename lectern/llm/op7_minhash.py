@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_row, table, written
+from .common import numbered, per_row, table, written
 from .components import components
 
 SHINGLE_WORDS = 5
@@ -245,9 +245,14 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
 
 
 def keep_one(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT) -> DataFrame:
-    """The documents without those that a smaller doc_id is a near copy of."""
-    dropped = near_duplicates(docs, width, percent).filter(~F.col("kept")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies: of the smallest doc_id (null after
+    all others), the first. Rows are linked by their own numbers, so those that
+    repeat or lack a doc_id are in the groups too."""
+    rows = numbered(docs, "op7-rows")
+    groups = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), width, percent)
+    named = rows.select("doc_id", "_row").join(groups.select(F.col("doc_id").alias("_row"), "component_id"), "_row")
+    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from lectern.llm.components import components
-from lectern.llm.op7_minhash import near_duplicates
+from lectern.llm.op7_minhash import keep_one, near_duplicates
 
 SCHEMA = "lang string, doc_id long, text string, node string"
 
@@ -64,7 +64,22 @@ def test_same_components_as_all_pairs(spark, width, percent):
     assert [r.kept for r in got if r.doc_id is None] == [True]
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    r = random.Random(6)
+    a, b, c, d = ([f"w{r.randrange(400)}" for _ in range(100)] for _ in range(4))
+    near = lambda words: " ".join(words[:-1] + ["end"])
+    rows = [(5, " ".join(a)), (5, " ".join(a)), (9, near(a)), (None, " ".join(a)),  # a row repeated, a copy without id
+            (None, " ".join(b)), (None, " ".join(b)), (None, near(b)),  # no row with an id
+            (7, " ".join(c)), (7, " ".join(d)),  # an id of two texts
+            (None, None), (None, ""), (3, ""), (3, "")]  # nothing to compare
+    docs = spark.createDataFrame([(str(k), i, t, "n") for k, (i, t) in enumerate(rows)], SCHEMA).coalesce(1)
+    out = keep_one(docs)
+    assert out.schema == docs.schema
+    assert sorted(int(x.lang) for x in out.collect()) == [0, 4, 7, 8, 9, 10, 11, 12]
+
+
 def test_empty_table(spark):
+    assert keep_one(spark.createDataFrame([], SCHEMA)).collect() == []
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
