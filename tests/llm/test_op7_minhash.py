@@ -1,9 +1,11 @@
 """Near-duplicates against all pairs compared by brute force."""
 
+import math
 import random
 
 import pytest
 
+from lectern.llm import op7_minhash as op7
 from lectern.llm.components import components
 from lectern.llm.op7_minhash import keep_one, near_duplicates
 
@@ -64,6 +66,15 @@ def test_same_components_as_all_pairs(spark, width, percent):
     assert [r.kept for r in got if r.doc_id is None] == [True]
 
 
+@pytest.mark.parametrize("percent, most", [(85, 2.2e-7), (80, 5e-8)])
+def test_chance_to_miss_a_pair_at_the_limit(percent, most):
+    bands, p = op7.BANDS[percent], percent / 100
+    n, same = bands * op7.ROWS, p + (1 - p) / 256  # a byte may agree by chance
+    least = op7._least_alike(percent, bands)
+    short = sum(math.comb(n, k) * same**k * (1 - same)**(n - k) for k in range(n + 1) if (k / n - 1 / 256) / (1 - 1 / 256) < least)
+    assert (1 - p**op7.ROWS)**bands + short < most
+
+
 def test_one_row_of_each_group_stays_whatever_its_id(spark):
     r = random.Random(6)
     a, b, c, d = ([f"w{r.randrange(400)}" for _ in range(100)] for _ in range(4))
