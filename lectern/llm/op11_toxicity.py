@@ -25,9 +25,9 @@ columns are not read.
 from __future__ import annotations
 
 import re
-from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -56,7 +56,7 @@ TREES, DEPTH, STEP, LEAST_ROWS = 20, 3, 0.25, 2
 GRID = 2000
 SEED = 11
 #: Code points of a text that are split into words at a time, and words a worker remembers.
-SEGMENT, MEMO = 1 << 18, 400_000
+SEGMENT, MEMO = 1 << 18, 200_000
 
 INSULTS = frozenset(
     # English
@@ -110,56 +110,69 @@ class Lexicon:
         self.strong, self.weak, self.memo = strong, weak, {}
 
     def _plain(self, word: str) -> int:
-        own = list(terms(word))
+        own = tuple(terms(word))
         return (INSULT * (word in INSULTS) | YOU * (word in SECOND)
-                | STRONG * any(t in self.strong for t in own) | WEAK * any(t in self.weak for t in own))
+                | STRONG * (not self.strong.isdisjoint(own)) | WEAK * (not self.weak.isdisjoint(own)))
 
     def bits(self, token: str) -> int:
         """Of a token between white space."""
         low = token.lower()
-        parts = _LETTERS.findall(low)
-        out = 0
-        for part in parts:
-            out |= self._plain(part)
         core = low.strip(".,;:!?\"'()[]")
-        if parts and core not in parts:  # letters with something else among them
-            inner = core.translate(_LOOKS)
-            joined = "".join(_LETTERS.findall(inner))
-            if len(joined) > max(map(len, parts)) and len(parts[0]) < len(joined):
+        if core.isalpha():
+            out = self._plain(core)
+        else:  # letters with something else among them, or none
+            parts, out = _LETTERS.findall(low), 0
+            for part in parts:
+                out |= self._plain(part)
+            joined = "".join(_LETTERS.findall(core.translate(_LOOKS))) if parts else ""
+            if parts and len(joined) > max(map(len, parts)):
                 out |= SHAPED
                 if not out & (INSULT | STRONG) and self._plain(joined) & (INSULT | STRONG):
                     out |= HIDDEN
-        thrice = _THRICE.sub(r"\1", core)
-        if thrice != core and thrice.isalpha():
-            out |= STRETCHED
-            if not out & (INSULT | STRONG) and self._plain(thrice) & (INSULT | STRONG):
-                out |= HIDDEN
+        if _THRICE.search(core):
+            thrice = _THRICE.sub(r"\1", core)
+            if thrice.isalpha():
+                out |= STRETCHED
+                if not out & (INSULT | STRONG) and self._plain(thrice) & (INSULT | STRONG):
+                    out |= HIDDEN
         if len(token) > 2 and token.isupper():
             out |= CAPITAL
         return out
 
-    def of(self, tokens: list[str]) -> Iterator[int]:
-        get = self.memo.get
-        for token in tokens:
-            b = get(token)
-            if b is None:
-                b = self.bits(token)
-                if len(self.memo) < MEMO and len(token) < 64:
-                    self.memo[token] = b
-            yield b
+    def of(self, tokens: list[str]) -> bytes:
+        out = list(map(self.memo.get, tokens))
+        if None in out:
+            for at in [at for at, b in enumerate(out) if b is None]:
+                token = tokens[at]
+                b = self.memo.get(token)  # it may have come up since
+                if b is None:
+                    b = self.bits(token)
+                    if len(self.memo) < MEMO and len(token) < 64:
+                        self.memo[token] = b
+                out[at] = b
+        return bytes(out)
+
+
+#: Of a worker process: the lexicons of its last task, whose memos the next one can use.
+_WORKER: dict = {}
+
+
+def _lexicons(sets: list[tuple[frozenset, frozenset]]) -> list[Lexicon]:
+    if _WORKER.get("sets") != sets:
+        _WORKER.update(sets=sets, lexicons=[Lexicon(*x) for x in sets])
+    return _WORKER["lexicons"]
 
 
 def features(text: str, lexicon: Lexicon) -> list[float]:
     """``FEATURES`` of a whole text."""
-    kinds, signs, hits = array("B"), np.zeros(256, np.int64), set()
+    kinds, signs, hits = [], np.zeros(256, np.int64), set()
     for piece in segments(text):
         tokens = piece.split()
-        at = len(kinds)
-        kinds.extend(lexicon.of(tokens))
-        for k in np.flatnonzero(np.frombuffer(kinds, np.uint8)[at:] & HIT):
+        kinds.append(lexicon.of(tokens))
+        for k in np.flatnonzero(np.frombuffer(kinds[-1], np.uint8) & HIT):
             hits.add(hash(tokens[k].lower()))
         signs += np.bincount(np.frombuffer(piece.encode(), np.uint8), minlength=256)
-    is_ = np.frombuffer(kinds, np.uint8)
+    is_ = np.frombuffer(b"".join(kinds), np.uint8)
     n, chars = len(is_), max(len(text), 1)
     if not n:
         return [0.0] * len(FEATURES)
@@ -199,6 +212,7 @@ def term_counts(texts: DataFrame) -> DataFrame:
 
     def make():
         held: dict[tuple, Counter] = {}
+        memo: dict[str, tuple] = {}
 
         def flush() -> Iterator[tuple]:
             for (fold, kind), counts in held.items():
@@ -206,11 +220,19 @@ def term_counts(texts: DataFrame) -> DataFrame:
                     yield term, fold, n * kind, n * (not kind)
             held.clear()
 
+        def of(word: str) -> tuple:
+            out = memo.get(word)
+            if out is None:
+                out = tuple(terms(word))
+                if len(memo) < MEMO // 4 and len(word) < 64:
+                    memo[word] = out
+            return out
+
         def row(text, toxic, fold):
             seen: set = set()
             for piece in segments(text or ""):
                 seen.update(_LETTERS.findall(piece.lower()))
-            held.setdefault((fold, bool(toxic)), Counter()).update({t for w in seen for t in terms(w)})
+            held.setdefault((fold, bool(toxic)), Counter()).update(set(chain.from_iterable(map(of, seen))))
             if sum(map(len, held.values())) > 400_000:
                 yield from flush()
 
@@ -249,7 +271,7 @@ def with_features(texts: DataFrame, lexicons: list[Lexicon]) -> DataFrame:
     sets = [(x.strong, x.weak) for x in lexicons]
 
     def make():
-        own = [Lexicon(*x) for x in sets]
+        own = _lexicons(sets)
         return lambda doc_id, text, fold: [(doc_id, fold, features(text or "", own[-1 if fold is None else fold]))]
 
     return per_row(texts.select("doc_id", "text", "fold"), "doc_id long, fold int, features array<double>", make, 2048)
