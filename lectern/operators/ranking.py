@@ -208,12 +208,8 @@ OVERALL_ORDER = [("norm_dtc_revenue", False), ("norm_enrollment", False), ("norm
                  ("norm_clicks", False), ("newness", True)]
 
 
-def overall_rank(scored: DataFrame, max_markets: int | None = None, materialize: bool = False) -> DataFrame:
+def overall_rank(scored: DataFrame, max_markets: int | None = None) -> DataFrame:
     """Rank per market by revenue, mandate (0 outside mandate markets,
     so it never reorders them), readership and clicks descending, then
-    newness rank ascending. ``materialize`` writes the scored rows once
-    before the rank reads them twice; the market plan leaves it off because
-    every input of the scored rows is already a written stage, so the second
-    read only repeats joins of small tables."""
-    return global_rank(scored, OVERALL_ORDER, out="overall_rank", partition_cols=["market"],
-                       max_groups=max_markets, materialize=materialize)
+    newness rank ascending."""
+    return global_rank(scored, OVERALL_ORDER, out="overall_rank", partition_cols=["market"], max_groups=max_markets)

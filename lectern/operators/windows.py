@@ -2,10 +2,9 @@
 
 Both operators follow the same plan:
 
-1. reduce the facts to a row per (user, entity, day), map-side first, which
-   bounds a hot user by its entities and days; join the anchors on
-   ``user_id`` (the planner chooses by their size) and keep offsets inside
-   the windows;
+1. join the facts with the anchors on ``user_id`` (the planner chooses by
+   their size; small cohorts are joined inside the scan's tasks) and keep
+   offsets inside the windows;
 2. aggregate once per (user, entity) into an atom bitmask plus plain
    conditional sums (partial aggregation map-side; a hot user is spread over
    tasks by its entities);
@@ -14,6 +13,10 @@ Both operators follow the same plan:
 4. left-join back to every anchored user so users without activity get
    zero counts and NULL sums, exactly like the reference's left join.
 
+The rows of step 2 can be kept and merged: masks by OR, sums by addition, in
+any order and however late a day comes (``reading_partials``,
+``merge_reading``, ``reading_metrics``).
+
 The many per-window expressions are generated as SQL expression text: one
 JVM call each, instead of one per column / literal / operator.
 """
@@ -21,19 +24,21 @@ JVM call each, instead of one per column / literal / operator.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import (ANNOTATION_EVENT, BOOK_OPEN_EVENT, HIGHLIGHT_EVENT,
                       READING_SESSION_EVENTS, Window)
-from ..functions.masks import MAX_BITS, atom_bit_sql, atoms, span_bits, window_bits
+from ..functions.masks import atom_bit_sql, atom_words, atoms, count_sql, meets_sql, position_bit_sql, span_words, word_names
 
 _ANCHOR_DAY = "_anchor_day"
 _OFFSET = "_offset"
 E = F.expr
-#: Minutes are summed as decimals of so many places.
-MINUTES_TYPE = "decimal(28,10)"
+#: Minutes are summed as whole numbers of 10^-8 minutes: exact up to so many
+#: places, in any order, and in long arithmetic (a sum holds 9e10 minutes).
+MINUTES_TYPE, MINUTE_PARTS = "decimal(18,8)", 100_000_000
 
 
 def _anchors(anchored: DataFrame, user_col: str, anchor_col: str) -> DataFrame:
@@ -57,78 +62,137 @@ def _attach(anchored: DataFrame, user_col: str, per_user: DataFrame, counts: lis
                                       for c in per_user.columns if c != user_col])
 
 
-def reading_windows(anchored: DataFrame, reading: DataFrame, *,
-                    book_windows: Sequence[Window] = (),
-                    minute_windows: Sequence[Window] = (),
-                    day_windows: Sequence[Window] = (),
-                    calendar_week_windows: Sequence[Window] = (),
-                    cumulative: Sequence[Window] = (),
-                    user_col: str = "user_id", anchor_col: str = "reg_sub_start_time",
-                    book_col: str = "book_id", date_col: str = "read_date",
-                    minutes_col: str = "reading_minutes") -> DataFrame:
-    """Distinct books, minutes, distinct days and distinct calendar weeks
-    per window, one row per anchored user.
+@dataclass(frozen=True)
+class ReadingLayout:
+    """Which reading metrics are wanted, and the columns that hold them per (user, book)."""
 
-    Columns: ``book_read_<w>`` (books in ``book_windows`` and ``cumulative``),
-    ``reading_mins_<w>``, ``reading_days_<w>``, ``reading_weeks_<w>``.
-    """
-    book_ws = list(book_windows) + list(cumulative)
-    every = book_ws + list(minute_windows) + list(day_windows) + list(calendar_week_windows)
-    if not every:
-        raise ValueError("no windows requested")
-    lo, hi = min(w.lo for w in every), max(w.hi for w in every)
-    if day_windows and (min(w.lo for w in day_windows) < 0 or max(w.hi for w in day_windows) >= MAX_BITS):
-        raise ValueError("day-count windows must lie within days 0..62")
+    book_windows: tuple[Window, ...] = ()
+    minute_windows: tuple[Window, ...] = ()
+    day_windows: tuple[Window, ...] = ()
+    calendar_week_windows: tuple[Window, ...] = ()
 
-    # exact sums, so that neither order nor rounding decides a threshold
-    exact = F.sum(F.col(minutes_col).cast(MINUTES_TYPE)).alias(minutes_col)
-    facts = reading.groupBy(user_col, book_col, date_col).agg(exact)
-    rows = _with_offsets(facts, _anchors(anchored, user_col, anchor_col), user_col, date_col, lo, hi)
+    @property
+    def every(self) -> list[Window]:
+        return [*self.book_windows, *self.minute_windows, *self.day_windows, *self.calendar_week_windows]
+
+    @property
+    def span(self) -> tuple[int, int]:
+        return min(w.lo for w in self.every), max(w.hi for w in self.every)
+
+    @property
+    def runs(self) -> list[tuple[int, int]]:
+        return atoms(self.book_windows) if self.book_windows else []
+
+    @property
+    def days(self) -> tuple[int, int]:
+        """First day, and number of days, of the day masks."""
+        if not self.day_windows:
+            return 0, 0
+        lo = min(w.lo for w in self.day_windows)
+        return lo, max(w.hi for w in self.day_windows) - lo + 1
+
+    def book_words(self) -> list[str]:
+        return word_names("_books", len(self.runs))
+
+    def day_words(self) -> list[str]:
+        return word_names("_days", self.days[1])
+
+    @staticmethod
+    def weeks(w: Window) -> int:
+        """Calendar weeks that a window can touch."""
+        return (w.hi - w.lo) // 7 + 2
+
+    def week_words(self, w: Window) -> list[str]:
+        return word_names(f"_cw_{w.name}", self.weeks(w))
 
-    # 1) one row per (user, book): atom mask, day mask, calendar-week masks, window sums
+    def masks(self) -> list[str]:
+        return self.book_words() + self.day_words() + [c for w in self.calendar_week_windows for c in self.week_words(w)]
+
+    def sums(self) -> list[str]:
+        return [f"_m_{w.name}" for w in self.minute_windows]
+
+
+def reading_partials(anchored: DataFrame, reading: DataFrame, layout: ReadingLayout, *, user_col: str = "user_id",
+                     anchor_col: str = "reg_sub_start_time", book_col: str = "book_id", date_col: str = "read_date",
+                     minutes_col: str = "reading_minutes") -> DataFrame:
+    """One row per (user, book): masks of atoms, days and calendar weeks, minutes per window."""
+    if not layout.every:
+        raise ValueError("no windows requested")
+    # exact sums, so that neither order nor rounding decides a threshold
+    parts = (F.col(minutes_col).cast(MINUTES_TYPE) * F.lit(MINUTE_PARTS)).cast("bigint")
+    facts = reading.select(user_col, book_col, date_col, parts.alias(minutes_col))
+    rows = _with_offsets(facts, _anchors(anchored, user_col, anchor_col), user_col, date_col, *layout.span)
     inner: list[str] = []
-    runs = atoms(book_ws) if book_ws else []
-    if book_ws:
-        inner.append(f"bit_or({atom_bit_sql(_OFFSET, runs)}) AS _books")
-    if day_windows:
-        dlo, dhi = min(w.lo for w in day_windows), max(w.hi for w in day_windows)
-        inner.append(f"bit_or(CASE WHEN {_OFFSET} BETWEEN {dlo} AND {dhi} THEN shiftleft(1L, {_OFFSET}) END) AS _days")
-    for w in calendar_week_windows:
-        if (w.hi - w.lo) // 7 + 2 > MAX_BITS:
-            raise ValueError(f"window {w.name} spans too many calendar weeks")
+    if layout.book_windows:
+        inner += [f"bit_or({sql}) AS {c}" for sql, c in zip(atom_bit_sql(_OFFSET, layout.runs), layout.book_words())]
+    if layout.day_windows:
+        lo, n = layout.days
+        where = f"{_OFFSET} BETWEEN {lo} AND {lo + n - 1}"
+        inner += [f"bit_or({sql}) AS {c}" for sql, c in zip(position_bit_sql(f"({_OFFSET} - {lo})", n, where), layout.day_words())]
+    for w in layout.calendar_week_windows:
         # calendar weeks counted from the Monday on or before the window's first day
         cw = (f"CAST(floor(datediff(CAST(date_trunc('week', {date_col}) AS DATE), "
               f"CAST(date_trunc('week', date_add({_ANCHOR_DAY}, {w.lo})) AS DATE)) / 7) AS INT)")
-        inner.append(f"bit_or(CASE WHEN {_in(w)} THEN shiftleft(1L, {cw}) END) AS _cw_{w.name}")
-    for w in minute_windows:
+        inner += [f"bit_or({sql}) AS {c}" for sql, c in zip(position_bit_sql(cw, layout.weeks(w), _in(w)), layout.week_words(w))]
+    for w in layout.minute_windows:
         inner.append(f"sum(CASE WHEN {_in(w)} THEN {minutes_col} END) AS _m_{w.name}")
-    per_book = rows.groupBy(user_col, book_col).agg(*[E(x) for x in inner])
+    return rows.groupBy(user_col, book_col).agg(*[E(x) for x in inner])
+
+
+def merge_reading(parts: Sequence[DataFrame], layout: ReadingLayout, user_col: str = "user_id", book_col: str = "book_id") -> DataFrame:
+    """Partial rows of disjoint facts put together: a row per (user, book) again."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    merged = [f"bit_or({c}) AS {c}" for c in layout.masks()] + [f"sum({c}) AS {c}" for c in layout.sums()]
+    return out.groupBy(user_col, book_col).agg(*[E(x) for x in merged])
 
-    # 2) one row per user
+
+def reading_metrics(anchored: DataFrame, partials: DataFrame, layout: ReadingLayout, user_col: str = "user_id", book_col: str = "book_id") -> DataFrame:
+    """The columns of ``reading_windows`` from partial rows."""
     outer: list[str] = []
     counts: list[str] = []
-    for w in book_ws:
-        outer.append(f"count(CASE WHEN {book_col} IS NOT NULL AND (_books & {window_bits(w, runs)}L) != 0 THEN 1 END)"
-                     f" AS book_read_{w.name}")
+    for w in layout.book_windows:
+        test = meets_sql(layout.book_words(), atom_words(w, layout.runs))
+        outer.append(f"count(CASE WHEN {book_col} IS NOT NULL AND {test} THEN 1 END) AS book_read_{w.name}")
         counts.append(f"book_read_{w.name}")
-    for w in minute_windows:
-        outer.append(f"CAST(sum(_m_{w.name}) AS DOUBLE) AS reading_mins_{w.name}")
-    if day_windows:
-        outer.append("bit_or(_days) AS _days")
-    for w in calendar_week_windows:
-        outer.append(f"bit_or(_cw_{w.name}) AS _cw_{w.name}")
-    per_user = per_book.groupBy(user_col).agg(*[E(x) for x in outer])
-
-    cols = [user_col] + [f"book_read_{w.name}" for w in book_ws] + [f"reading_mins_{w.name}" for w in minute_windows]
-    for w in day_windows:
-        cols.append(f"bit_count(_days & {span_bits(w.lo, w.hi)}L) AS reading_days_{w.name}")
+    for w in layout.minute_windows:
+        outer.append(f"sum(_m_{w.name}) / {MINUTE_PARTS}D AS reading_mins_{w.name}")
+    outer += [f"bit_or({c}) AS {c}" for c in layout.masks() if c not in layout.book_words()]
+    per_user = partials.groupBy(user_col).agg(*[E(x) for x in outer])
+
+    cols = [user_col] + [f"book_read_{w.name}" for w in layout.book_windows] + [f"reading_mins_{w.name}" for w in layout.minute_windows]
+    lo, n = layout.days
+    for w in layout.day_windows:
+        cols.append(f"{count_sql(layout.day_words(), span_words(w.lo - lo, w.hi - lo, n))} AS reading_days_{w.name}")
         counts.append(f"reading_days_{w.name}")
-    for w in calendar_week_windows:
-        cols.append(f"bit_count(_cw_{w.name}) AS reading_weeks_{w.name}")
+    for w in layout.calendar_week_windows:
+        cols.append(f"{count_sql(layout.week_words(w), span_words(0, layout.weeks(w) - 1, layout.weeks(w)))} AS reading_weeks_{w.name}")
         counts.append(f"reading_weeks_{w.name}")
     return _attach(anchored, user_col, per_user.selectExpr(*cols), counts)
 
 
+def reading_windows(anchored: DataFrame, reading: DataFrame, *,
+                    book_windows: Sequence[Window] = (),
+                    minute_windows: Sequence[Window] = (),
+                    day_windows: Sequence[Window] = (),
+                    calendar_week_windows: Sequence[Window] = (),
+                    cumulative: Sequence[Window] = (),
+                    user_col: str = "user_id", anchor_col: str = "reg_sub_start_time",
+                    book_col: str = "book_id", date_col: str = "read_date",
+                    minutes_col: str = "reading_minutes") -> DataFrame:
+    """Distinct books, minutes, distinct days and distinct calendar weeks
+    per window, one row per anchored user.
+
+    Columns: ``book_read_<w>`` (books in ``book_windows`` and ``cumulative``),
+    ``reading_mins_<w>``, ``reading_days_<w>``, ``reading_weeks_<w>``.
+    """
+    layout = ReadingLayout((*book_windows, *cumulative), tuple(minute_windows), tuple(day_windows), tuple(calendar_week_windows))
+    partials = reading_partials(anchored, reading, layout, user_col=user_col, anchor_col=anchor_col, book_col=book_col,
+                                date_col=date_col, minutes_col=minutes_col)
+    return reading_metrics(anchored, partials, layout, user_col, book_col)
+
+
 # metric name -> (entity column, event names)
 EVENT_METRICS = {
     "book_opened": ("book_id", (BOOK_OPEN_EVENT,)),
@@ -161,7 +225,7 @@ def event_windows(anchored: DataFrame, events: DataFrame,
     runs = atoms(every)
 
     used = {entity_cols.get(m, EVENT_METRICS[m][0]) for m in names}
-    facts = events.select(user_col, date_col, name_col, *sorted(used)).distinct()
+    facts = events.select(user_col, date_col, name_col, *sorted(used))
     types = dict(facts.dtypes)
     rows = _with_offsets(facts, _anchors(anchored, user_col, anchor_col), user_col, date_col, lo, hi)
 
@@ -172,16 +236,17 @@ def event_windows(anchored: DataFrame, events: DataFrame,
         num, txt = ("CAST(NULL AS BIGINT)", key) if types[key] == "string" else (f"CAST({key} AS BIGINT)", "CAST(NULL AS STRING)")
         entries.append(f"CASE WHEN {name_col} IN ({_quoted(event_names)}) AND {key} IS NOT NULL "
                        f"THEN named_struct('kind', {k}, 'num', {num}, 'txt', {txt}) END")
-    exploded = (rows.selectExpr(user_col, f"{atom_bit_sql(_OFFSET, runs)} AS _bit",
-                                f"explode(array_compact(array({', '.join(entries)}))) AS _e")
-                .selectExpr(user_col, "_bit", "_e.kind", "_e.num", "_e.txt"))
-    per_entity = exploded.groupBy(user_col, "kind", "num", "txt").agg(F.bit_or("_bit").alias("_mask"))
+    words = word_names("_mask", len(runs))
+    exploded = (rows.selectExpr(user_col, _OFFSET, f"explode(array_compact(array({', '.join(entries)}))) AS _e")
+                .selectExpr(user_col, _OFFSET, "_e.kind", "_e.num", "_e.txt"))
+    per_entity = exploded.groupBy(user_col, "kind", "num", "txt").agg(
+        *[E(f"bit_or({sql}) AS {c}") for sql, c in zip(atom_bit_sql(_OFFSET, runs), words)])
 
     outer, counts = [], []
     for k, m in enumerate(names):
         for w in metrics[m]:
             name = f"{m}_{w.name}"
-            outer.append(f"count(CASE WHEN kind = {k} AND (_mask & {window_bits(w, runs)}L) != 0 THEN 1 END) AS {name}")
+            outer.append(f"count(CASE WHEN kind = {k} AND {meets_sql(words, atom_words(w, runs))} THEN 1 END) AS {name}")
             counts.append(name)
     per_user = per_entity.groupBy(user_col).agg(*[E(x) for x in outer])
     return _attach(anchored, user_col, per_user, counts)

@@ -50,6 +50,13 @@ def week(day: str) -> str:
     return f"(floor(({day} - c.sub_start_timestamp::date) / 7.0) + 1)::bigint"
 
 
+#: C3 as the declared table has it.
+DECLARED = """
+select * replace (registration_month::timestamp as registration_month, registration_time::timestamp as registration_time,
+                  user_id::int as user_id, organisation_id::int as organisation_id, referrer_book::int as referrer_book,
+                  sub_start_timestamp::timestamp as sub_start_timestamp, sub_end_timestamp::timestamp as sub_end_timestamp) from cohort"""
+
+
 def cohort_oracles() -> dict[str, str]:
     cohort = lambda select, more=(), sources=(): with_tables([*sources, *COHORT_SOURCES], select, [*COHORT_STEPS, *more])
     return {
@@ -58,10 +65,8 @@ def cohort_oracles() -> dict[str, str]:
         "subscription_rollup": with_tables(["subscriptions"], "from subscribed", [("subscribed", SUBSCRIBED)]),
         "cohort_enrich": cohort("from cohort"),
         "ctas_sink": cohort("from cohort"),
-        "schema_append_sink": cohort("""
-select * replace (registration_month::timestamp as registration_month, registration_time::timestamp as registration_time,
-                  user_id::int as user_id, organisation_id::int as organisation_id, referrer_book::int as referrer_book,
-                  sub_start_timestamp::timestamp as sub_start_timestamp, sub_end_timestamp::timestamp as sub_end_timestamp) from cohort"""),
+        "schema_append_sink": cohort(DECLARED),
+        "cohort_append_repeated": cohort(DECLARED),
         "cohort_filter": cohort("""
 from cohort where cohort_month = 'Jan' and user_persona in ('BUILDING', 'MACHINERY', 'AUTOMOBILE')
   and academic_discipline in ('BUILDING', 'MACHINERY', 'Unknown')"""),

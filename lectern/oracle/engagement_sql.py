@@ -12,18 +12,19 @@ from .adapters_sql import with_tables
 
 #: Span of days after the anchor day, both ends included, by name.
 SPANS = {
-    **{f"d{k}": (k - 1, k - 1) for k in range(1, 8)},
+    **{f"d{k}": (k - 1, k - 1) for k in range(1, 113)},
     **{f"w{k}": (7 * k - 7, 7 * k - 1) for k in range(1, 17)},
     **{f"m{k}": (28 * k - 28, 28 * k - 1) for k in range(1, 5)},
     "m1_to_m3": (0, 83), "m1_to_m4": (0, 111),
 }
 SPAN_ROWS = "select * from (values " + ", ".join(f"('{n}', {a}, {b})" for n, (a, b) in SPANS.items()) + ") s(span, first_day, last_day)"
 
-#: Which events feed a metric.
+#: Which events feed a metric.
 METRIC_ROWS = """select * from (values ('book_opened', 'open book'), ('reading_session', 'open book'),
   ('reading_session', 'chapter load'), ('reading_session', 'page load'),
   ('highlight', 'highlight creation'), ('annotation', 'annotation creation')) m(metric, event_name)"""
 METRICS = ("book_opened", "reading_session", "highlight", "annotation")
+#: Event names of the engagement reports.
 REPORT_EVENTS = "('highlight creation', 'annotation creation', 'open book', 'chapter load', 'page load', 'book opening')"
 
 
@@ -215,6 +216,8 @@ from event_facts e where e.event_date >= date '{P.SINCE}' and e.event_name in {R
   and exists (from members b where b.user_id = e.user_id)""", [("members", READERS)]),
         "reading_days_d1_d7": _dense(both([f"d{k}" for k in range(1, 8)])),
         "reading_weeks": _dense(both(w16)),
+        "reading_weeks_by_increments": _dense(both(w16)),
+        "reading_days_16_weeks": _dense([books(f"d{k}") for k in range(1, 113)] + [read_days(s) for s in (*m4, "m1_to_m4")]),
         "reading_months": _dense(both(m4)),
         "active_reading_days": _dense([read_days(s) for s in ("w1", "w2", "w3", "w4", "m1")] + [read_weeks("m1")]),
         "cumulative_books": _dense([books("m1_to_m4")]),
@@ -231,4 +234,4 @@ from event_facts e where e.event_date >= date '{P.SINCE}' and e.event_name in {R
             [("people", "from event_users"), *activity("event_reading"), *happenings("event_facts")[1:]]),
         "learning_kpi_report": learning_kpi(),
     }
-    return o | {key: engagement_report(key) for key in REPORTS}
+    return o | {key: engagement_report(key) for key in REPORTS} | {"engagement_report_published": engagement_report("engagement_report_v3")}

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..config import (ENGAGEMENT_EVENTS, SHAPE_KPI, SHAPE_V1, SHAPE_V2, SHAPE_V3, ReportShape,
                       cumulative_window, day_windows, month_windows, week_windows)
 from ..operators import engagement as G
+from ..operators.membership import likely_members
 from ..operators.windows import event_windows, reading_windows
 from ..session import reliable_checkpoint
 
@@ -73,10 +74,10 @@ def engagement_report(users: DataFrame, countries: DataFrame, subs: DataFrame, r
     base = G.engagement_base(users, countries, since, country_in)
     # one row per cohort user, read by both fact branches and the final join
     anchored = reliable_checkpoint(G.anchor(base, G.tenure(subs, base, as_of)))
-    # the windows inner-join the facts to ``anchored``: that join restricts
-    # them to the cohort, so only the date / name filters are applied here
-    read = G.restrict(reading, None, "read_date", since)
-    evts = G.restrict_events(events, None, since, ENGAGEMENT_EVENTS)
+    # other users' facts are left behind in the scan's tasks; the windows'
+    # inner join with ``anchored`` then restricts the rest exactly
+    read = likely_members(G.restrict(reading, None, "read_date", since), anchored)
+    evts = likely_members(G.restrict_events(events, None, since, ENGAGEMENT_EVENTS), anchored)
 
     block = reading_block(anchored, read, shape)
     weeks_cols = G.active_week_columns(shape.weeks)
@@ -97,10 +98,10 @@ def learning_kpi_report(users: DataFrame, subs: DataFrame, reading: DataFrame, e
     base = G.kpi_base(users, since)
     ten = G.tenure(subs, base, as_of, months_col="tenure_months")
     anchored = reliable_checkpoint(G.tenure_expected(G.anchor(base, ten), as_of))
-    # the windows inner-join the facts to ``anchored``: that join restricts
-    # them to the cohort, so only the date / name filters are applied here
-    read = G.restrict(reading, None, "read_date", since)
-    evts = G.restrict_events(events, None, since, ENGAGEMENT_EVENTS)
+    # other users' facts are left behind in the scan's tasks; the windows'
+    # inner join with ``anchored`` then restricts the rest exactly
+    read = likely_members(G.restrict(reading, None, "read_date", since), anchored)
+    evts = likely_members(G.restrict_events(events, None, since, ENGAGEMENT_EVENTS), anchored)
 
     block = reading_block(anchored, read, shape)
     head = ["registration_month", "user_id", "registration_date", "subscription_start_time",

@@ -16,6 +16,7 @@ SINCE = date(1995, 1, 1)                 # registration / activity lower bound
 EVENT_AS_OF = date(2024, 1, 31)          # E1 clock
 EVENT_CUTOFF = date(2024, 1, 25)         # E1 cut-off
 EVENT_LIMIT = 10                         # E1 top-k on 15 pairs
+AGAIN_FROM = date(1995, 7, 1)            # months of G23 that are published a second time
 COUNTRIES = ("nation_1", "nation_2")     # G1 country filter
 
 COHORTS = (

@@ -111,6 +111,34 @@ def _reading_weeks(t: Tables) -> DataFrame:
     return _dense_reading(t, book_windows=w, minute_windows=w)
 
 
+@query("reading_days_16_weeks")
+def _reading_days_16_weeks(t: Tables) -> DataFrame:
+    """One window per day of 16 weeks, and days counted over all of them."""
+    from ..config import cumulative_window, day_windows, month_windows
+    d = day_windows(112)
+    return _dense_reading(t, book_windows=d, day_windows=[*month_windows(4), cumulative_window(4)])
+
+
+@query("reading_weeks_by_increments")
+def _reading_weeks_by_increments(t: Tables) -> DataFrame:
+    """G9 from three batches, the second with days before and after those of the first; each is tried twice."""
+    from pyspark.sql import functions as F
+
+    from ..config import week_windows
+    from ..operators.windows import ReadingLayout
+    from ..session import scratch_path
+    from .increments import ReadingState
+    w = tuple(week_windows(16))
+    state = ReadingState(t.spark, scratch_path(t.spark, "reading_state"), ReadingLayout(w, w))
+    day = F.coalesce(F.dayofyear("read_date"), F.lit(0))
+    for k in (1, 0, 2):
+        for _ in range(2):
+            state.add(t.event_users, t.event_reading.filter(F.floor(day / 13) % 3 == k), f"batch-{k}")
+        if k == 0:
+            state.compact()
+    return state.metrics(t.event_users)
+
+
 @query("reading_months")
 def _reading_months(t: Tables) -> DataFrame:
     from ..config import month_windows
@@ -231,6 +259,20 @@ def _learning_kpi(t: Tables) -> DataFrame:
                                as_of=P.AS_OF, since=P.SINCE)
 
 
+@query("engagement_report_published")
+def _report_published(t: Tables) -> DataFrame:
+    """G23 as a table by month of registration; the months from the middle on are then published again."""
+    from pyspark.sql import functions as F
+
+    from ..session import reliable_checkpoint, scratch_path
+    from ..sources.published import Published
+    report = reliable_checkpoint(_report(t, 3))
+    table = Published(t.spark, scratch_path(t.spark, "report_v3"))
+    table.create(report, ["registration_month"])
+    table.publish(report.filter(F.col("registration_month") >= P.AGAIN_FROM), ["registration_month"])
+    return table.read()
+
+
 # -- book ranking ---------------------------------------------------------------
 
 def _rank_inputs(t: Tables) -> dict:
@@ -325,6 +367,17 @@ def _market_rank_all(t: Tables) -> DataFrame:
     return market_rank(**_rank_inputs(t), markets=P.MARKETS, as_of=P.AS_OF)
 
 
+@query("market_rank_published")
+def _market_rank_published(t: Tables) -> DataFrame:
+    """R12 as a table by market."""
+    from .ranking import market_rank
+    from ..session import scratch_path
+    from ..sources.published import Published
+    table = Published(t.spark, scratch_path(t.spark, "market_rank"))
+    table.publish(market_rank(**_rank_inputs(t), markets=P.MARKETS, as_of=P.AS_OF), ["local_index"])
+    return table.read()
+
+
 # -- sources and sinks ----------------------------------------------------------
 
 @query("source_scan")
@@ -347,6 +400,20 @@ def _schema_append_sink(t: Tables) -> DataFrame:
     return append_positional(_c3(t), scratch_path(t.spark, "cohort_reference"), COHORT_TABLE_SCHEMA)
 
 
+@query("cohort_append_repeated")
+def _cohort_append_repeated(t: Tables) -> DataFrame:
+    """S3 by batches of a cohort year, each tried twice."""
+    from pyspark.sql import functions as F
+
+    from ..session import reliable_checkpoint, scratch_path
+    from ..sources.schemas import COHORT_TABLE_SCHEMA
+    from ..sources.sinks import append_batch
+    rows, path = reliable_checkpoint(_c3(t)), scratch_path(t.spark, "cohort_batches")
+    for year in sorted({c[2] for c in P.COHORTS}) * 2:
+        out = append_batch(rows.filter(F.col("cohort_year") == year), path, COHORT_TABLE_SCHEMA, f"year-{year}")
+    return out
+
+
 # -- retention cohorts -------------------------------------------------------------
 
 def _c1(t: Tables) -> DataFrame:

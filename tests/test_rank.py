@@ -35,3 +35,28 @@ def test_rank_is_independent_of_partition_count(spark):
 
 def test_no_rows(spark):
     assert global_rank(spark.createDataFrame([], "id long, v double"), [("v", False)]).collect() == []
+
+
+@pytest.mark.parametrize("parts", [1, 4, 13])
+def test_a_key_with_most_rows_spreads_and_keeps_one_rank(spark, parts):
+    """Two thirds of the rows are one whole row; it fills several range partitions."""
+    rows = [("a", 5.0, "x")] * 400 + [("a", float(k % 7), "y") for k in range(100)] + [(None, 1.0, None)] * 60 + [(None, None, "z"), ("b", None, None)]
+    df = spark.createDataFrame(rows, "market string, score double, title string").repartition(3)
+    order = [("score", False), ("title", True)]
+    for by in ([], ["market"]):
+        want = sorted(map(repr, plain_rank(df, order, out="r", partition_cols=by).collect()))
+        assert sorted(map(repr, global_rank(df, order, out="r", partition_cols=by, num_partitions=parts).collect())) == want
+
+
+def test_zeros_of_both_signs_tie_and_clashing_names_stay(spark):
+    df = spark.createDataFrame([(1, 0.0, 7), (2, -0.0, 8), (3, float("nan"), 9), (4, float("nan"), 9), (5, -1.0, 9)], "id long, v double, _n int")
+    want = sorted(plain_rank(df, [("v", True)], out="r").select("id", "r", "_n").collect())
+    assert sorted(global_rank(df, [("v", True)], out="r", num_partitions=3).select("id", "r", "_n").collect()) == want
+
+
+def test_keys_are_not_joined_back(spark):
+    df = spark.range(1000).selectExpr("id", "id % 9 AS a", "id % 4 AS b")
+    out = global_rank(df, [("a", True), ("b", False)], out="r", num_partitions=5)
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Join") == 1 and "_pid" in next(line for line in text.splitlines() if "Join" in line)
+    assert sorted(out.select("id", "r").collect()) == sorted(plain_rank(df, [("a", True), ("b", False)], out="r").select("id", "r").collect())
