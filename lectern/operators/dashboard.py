@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import round6
+from ..session import reliable_checkpoint
 from .joins import bounded_broadcast
 
 #: What ``_book_category`` can give.
@@ -59,36 +60,60 @@ def _cohort_starts(cohort: DataFrame) -> DataFrame:
             .filter(F.col("sub_start_timestamp").isNotNull()))
 
 
+def _readers_in_weeks(reading: DataFrame, cohort: DataFrame, user_col: str, date_col: str) -> DataFrame:
+    """Distinct (cohort, subscription week, user): duplicates go before the shuffle."""
+    seen = (reading.select(F.col(user_col).alias("user_id"), F.col(date_col).alias("read_date"))
+            .join(_cohort_starts(cohort), "user_id")
+            .withColumn("sub_week", _sub_week("read_date")).filter(F.col("sub_week") >= 1))
+    return seen.select("cohort_period", "sub_week", "user_id").distinct()
+
+
 def readers_by_week(reading: DataFrame, cohort: DataFrame, user_col: str = "user_id",
                     date_col: str = "read_date") -> DataFrame:
     """D3: active readers per cohort and subscription week."""
-    days = _active_days(reading, user_col, date_col)
-    weeks = (days.join(_cohort_starts(cohort), "user_id")
-             .withColumn("sub_week", _sub_week("read_date")).filter(F.col("sub_week") >= 1))
-    return weeks.groupBy("cohort_period", "sub_week").agg(F.countDistinct("user_id").alias("active_readers"))
+    seen = _readers_in_weeks(reading, cohort, user_col, date_col)
+    return seen.groupBy("cohort_period", "sub_week").agg(F.count(F.lit(1)).alias("active_readers"))
+
+
+def reader_bitmaps(reading: DataFrame, cohort: DataFrame, user_col: str = "user_id", date_col: str = "read_date") -> DataFrame:
+    """(cohort_period, sub_week, bucket, users): who read, as exact bitmaps of
+    32,768 user ids each. They stand for the facts: any set of cohorts or weeks
+    is counted from them, each user once."""
+    seen = _readers_in_weeks(reading, cohort, user_col, date_col)
+    return (seen.groupBy("cohort_period", "sub_week", F.bitmap_bucket_number("user_id").alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("user_id")).alias("users")))
+
+
+def readers_from_bitmaps(state: DataFrame, by: list[str]) -> DataFrame:
+    """Distinct readers per ``by`` (columns of the state, or made from them)."""
+    merged = state.groupBy(*by, "bucket").agg(F.bitmap_or_agg("users").alias("users"))
+    return merged.groupBy(*by).agg(F.sum(F.bitmap_count("users")).alias("active_readers"))
 
 
 def _book_category(books: F.Column) -> F.Column:
     return F.when(books >= 3, F.lit("3+")).otherwise(books.cast("string"))
 
 
-def _sessions_per_user(events: DataFrame, user_col: str, session_col: str, book_col: str) -> DataFrame:
-    seen = (events.filter(F.col(user_col).isNotNull())
-            .select(F.col(user_col).alias("user_id"), F.col(session_col).alias("_session"), F.col(book_col).alias("_book")))
+def _seen(events: DataFrame, user_col: str, session_col: str, book_col: str, *more: str) -> DataFrame:
+    return (events.filter(F.col(user_col).isNotNull())
+            .select(F.col(user_col).alias("user_id"), F.col(session_col).alias("session_id"), F.col(book_col).alias("_book"), *more))
+
+
+def _distinct_of(rows: DataFrame, by: list[str], column: str, name: str) -> DataFrame:
+    # pairs first: a hot user is spread over tasks, and nothing is expanded
+    return rows.select(*by, column).distinct().groupBy(*by).agg(F.count(column).alias(name))
 
-    def distinct_of(column: str, name: str) -> DataFrame:
-        # pairs first: a hot user is spread over tasks, and nothing is expanded
-        return seen.select("user_id", column).distinct().groupBy("user_id").agg(F.count(column).alias(name))
 
-    return (distinct_of("_session", "active_reading_sessions").join(distinct_of("_book", "_books"), "user_id")
-            .select("user_id", "active_reading_sessions", _book_category(F.col("_books")).alias("book_category")))
+def _sessions_per_user(seen: DataFrame) -> DataFrame:
+    per_user = _distinct_of(seen, ["user_id"], "session_id", "active_reading_sessions").join(_distinct_of(seen, ["user_id"], "_book", "_books"), "user_id")
+    return per_user.select("user_id", "active_reading_sessions", _book_category(F.col("_books")).alias("book_category"))
 
 
 def ars_distribution(events: DataFrame, user_col: str = "user_id", session_col: str = "session_id",
                      book_col: str = "book_id") -> DataFrame:
     """Histogram of active reading sessions per user by book category,
     with the median per category."""
-    per_user = _sessions_per_user(events, user_col, session_col, book_col)
+    per_user = _sessions_per_user(_seen(events, user_col, session_col, book_col))
     hist = per_user.groupBy("book_category", "active_reading_sessions").agg(F.count(F.lit(1)).alias("users"))
     med = hist.groupBy("book_category").agg(
         F.percentile("active_reading_sessions", 0.5, F.col("users")).cast("double").alias("median_ars"))
@@ -99,17 +124,18 @@ def sessions_by_week(events: DataFrame, cohort: DataFrame, user_col: str = "user
                      session_col: str = "session_id", book_col: str = "book_id",
                      date_col: str = "event_date") -> DataFrame:
     """Reading sessions and sessions per user by cohort, subscription
-    week and book category."""
-    per_user = _sessions_per_user(events, user_col, session_col, book_col).select("user_id", "book_category")
-    ev = (events.select(F.col(user_col).alias("user_id"), F.col(session_col).alias("session_id"),
-                        F.col(date_col).alias("_day")).distinct()
-          .join(_cohort_starts(cohort), "user_id")
-          .withColumn("sub_week", _sub_week("_day")).filter(F.col("sub_week") >= 1)
-          .join(per_user, "user_id"))
+    week and book category.
+
+    The events are read once: what is left of them (distinct user, session,
+    book and day) is written, then what is counted (distinct user and session
+    by group) is written, and both counts come from that.
+    """
+    seen = reliable_checkpoint(_seen(events, user_col, session_col, book_col, F.col(date_col).alias("_day")).distinct(), "dashboard_events")
+    category = _distinct_of(seen, ["user_id"], "_book", "_books").select("user_id", _book_category(F.col("_books")).alias("book_category"))
+    in_weeks = (seen.select("user_id", "session_id", "_day").join(_cohort_starts(cohort), "user_id")
+                .withColumn("sub_week", _sub_week("_day")).filter(F.col("sub_week") >= 1)
+                .select("cohort_period", "sub_week", "user_id", "session_id").distinct())
     group = ["cohort_period", "sub_week", "book_category"]
-
-    def distinct_of(column: str, name: str) -> DataFrame:
-        return ev.select(*group, column).distinct().groupBy(*group).agg(F.count(column).alias(name))
-
-    out = distinct_of("session_id", "reading_sessions").join(distinct_of("user_id", "users"), group)
+    ev = reliable_checkpoint(in_weeks.join(category, "user_id").select(*group, "user_id", "session_id"), "dashboard_weeks")
+    out = _distinct_of(ev, group, "session_id", "reading_sessions").join(_distinct_of(ev, group, "user_id", "users"), group)
     return out.withColumn("sessions_per_user", round6(F.try_divide(F.col("reading_sessions"), F.col("users"))))

@@ -7,7 +7,8 @@ category is looked up by the number of books; values given here are literals.
 from __future__ import annotations
 
 from ..plans import params as P
-from .adapters_sql import with_tables
+from ..sources.schemas import LOGICAL_SCHEMAS
+from .adapters_sql import ADAPTER_SQL, with_tables
 
 MONTH_ROWS = "select * from (values " + ", ".join(
     f"(timestamp '{first}', '{month}', '{year}', '{period}')" for first, month, year, period in P.COHORTS) + ") m(registration_month, cohort_month, cohort_year, cohort_period)"
@@ -50,6 +51,10 @@ def week(day: str) -> str:
     return f"(floor(({day} - c.sub_start_timestamp::date) / 7.0) + 1)::bigint"
 
 
+#: A DuckDB type as Spark names it.
+SPARK_TYPE = "map {{'BIGINT': 'bigint', 'INTEGER': 'int', 'DOUBLE': 'double', 'VARCHAR': 'string', 'DATE': 'date', 'BOOLEAN': 'boolean', 'TIMESTAMP': 'timestamp_ntz'}}[{}]"
+#: The logical tables' columns.
+COLUMNS = {name: [f.name for f in schema.fields] for name, schema in LOGICAL_SCHEMAS.items()}
 #: C3 as the declared table has it.
 DECLARED = """
 select * replace (registration_month::timestamp as registration_month, registration_time::timestamp as registration_time,
@@ -65,6 +70,10 @@ def cohort_oracles() -> dict[str, str]:
         "subscription_rollup": with_tables(["subscriptions"], "from subscribed", [("subscribed", SUBSCRIBED)]),
         "cohort_enrich": cohort("from cohort"),
         "ctas_sink": cohort("from cohort"),
+        "cohort_enrich_bucketed": cohort("from cohort"),
+        "source_profile": with_tables(list(ADAPTER_SQL), " union all ".join(
+            f"""select '{name}' as table_name, '{c}' as column_name, {SPARK_TYPE.format(f'typeof(any_value({c}))')} as column_type, count(*) as row_count, count({c}) as value_count from {name}"""
+            for name, columns in COLUMNS.items() for c in columns)),
         "schema_append_sink": cohort(DECLARED),
         "cohort_append_repeated": cohort(DECLARED),
         "cohort_filter": cohort("""
@@ -82,6 +91,9 @@ select read_date, if(active_reading_days > m, 'above', 'below') as segment, coun
 from reader_days join readers using (user_id), middle group by all""", READ_STEPS),
         "readers_by_sub_week": cohort(f"""
 select c.cohort_period, {week('d.read_date')} as sub_week, count(distinct d.user_id) as active_readers
+from reader_days d join cohort c using (user_id) where d.read_date >= c.sub_start_timestamp::date group by all""", READ_STEPS[:2], ["reading_activity"]),
+        "readers_by_sub_week_of_all": cohort(f"""
+select {week('d.read_date')} as sub_week, count(distinct d.user_id) as active_readers
 from reader_days d join cohort c using (user_id) where d.read_date >= c.sub_start_timestamp::date group by all""", READ_STEPS[:2], ["reading_activity"]),
         "ars_distribution": with_tables(["event_facts"], """
 select distinct book_category, active_reading_sessions, count(*) over (partition by book_category, active_reading_sessions) as users,

@@ -385,6 +385,14 @@ def _source_scan(t: Tables) -> DataFrame:
     return t.book_meta
 
 
+@query("source_profile")
+def _source_profile(t: Tables) -> DataFrame:
+    """S1 over every logical table: columns, types, rows, values."""
+    from ..sources.mapping import profile, resolve
+    from ..sources.schemas import LOGICAL_SCHEMAS
+    return profile({name: resolve(getattr(t, name), name) for name in LOGICAL_SCHEMAS})
+
+
 @query("ctas_sink")
 def _ctas_sink(t: Tables) -> DataFrame:
     from ..session import scratch_path
@@ -400,6 +408,19 @@ def _schema_append_sink(t: Tables) -> DataFrame:
     return append_positional(_c3(t), scratch_path(t.spark, "cohort_reference"), COHORT_TABLE_SCHEMA)
 
 
+@query("cohort_enrich_bucketed")
+def _cohort_enrich_bucketed(t: Tables) -> DataFrame:
+    """C3 over user tables kept in buckets by user."""
+    import uuid
+
+    from ..operators.cohorts import enrich_cohort, label_cohorts, rollup_subscriptions
+    from ..sources.sinks import write_bucketed
+    run, n = uuid.uuid4().hex, int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    regs, disc, subs = (write_bucketed(getattr(t, name), f"lectern_{name}_{run}", "user_id", n)
+                        for name in ("registrations", "disciplines", "subscriptions"))
+    return enrich_cohort(label_cohorts(regs, P.COHORTS), disc, rollup_subscriptions(subs))
+
+
 @query("cohort_append_repeated")
 def _cohort_append_repeated(t: Tables) -> DataFrame:
     """S3 by batches of a cohort year, each tried twice."""
@@ -503,6 +524,14 @@ def _readers_by_week(t: Tables) -> DataFrame:
     return readers_by_week(_c6(t), _c3(t))
 
 
+@query("readers_by_sub_week_of_all")
+def _readers_of_all(t: Tables) -> DataFrame:
+    """D3 for all cohorts together, from the bitmaps of the single ones."""
+    from ..operators.dashboard import reader_bitmaps, readers_from_bitmaps
+    from ..session import reliable_checkpoint
+    return readers_from_bitmaps(reliable_checkpoint(reader_bitmaps(_c6(t), _c3(t))), ["sub_week"])
+
+
 @query("ars_distribution")
 def _ars_distribution(t: Tables) -> DataFrame:
     from ..operators.dashboard import ars_distribution

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from lectern.operators import dashboard as D
 
 D0 = dt.date(2023, 9, 1)
@@ -39,3 +41,25 @@ def test_book_categories(spark):
     got = {(r.book_category, r.active_reading_sessions): (r.users, r.median_ars)
            for r in D.ars_distribution(ev).collect()}
     assert got == {("1", 1): (1, 1.0), ("2", 2): (1, 2.0), ("3+", 2): (1, 2.0), ("0", 1): (1, 1.0)}
+
+
+def test_any_set_of_cohorts_is_counted_from_bitmaps(spark):
+    import random
+
+    from lectern.operators.dashboard import reader_bitmaps, readers_by_week, readers_from_bitmaps
+    r = random.Random(5)
+    reading = spark.createDataFrame([(r.choice([None, *range(-40, 90_000, 997)]), dt.date(2024, 1, 1) + dt.timedelta(days=r.randint(0, 40))) for _ in range(3000)], "user_id long, read_date date")
+    cohort = spark.createDataFrame([(u, r.choice("abc"), dt.datetime(2024, 1, r.randint(1, 20))) for u in range(-40, 90_000, 997)], "user_id long, cohort_period string, sub_start_timestamp timestamp_ntz")
+    state = reader_bitmaps(reading, cohort)
+    assert sorted(readers_from_bitmaps(state, ["cohort_period", "sub_week"]).collect()) == sorted(readers_by_week(reading, cohort).collect())
+    some = cohort.filter("cohort_period IN ('a', 'c')")
+    want = readers_by_week(reading, some.withColumn("cohort_period", F.lit("both")))
+    got = readers_from_bitmaps(state.filter("cohort_period IN ('a', 'c')"), ["sub_week"])
+    assert sorted(map(tuple, got.collect())) == sorted((x.sub_week, x.active_readers) for x in want.collect())
+
+
+def test_sessions_by_week_reads_the_events_once(spark):
+    import __spark_entry__ as entry
+    from conftest import SMALL
+    df = entry.queries()["sessions_by_sub_week"](spark, SMALL)
+    assert "events.parquet" not in " ".join(df.inputFiles()) and "Expand" not in df._jdf.queryExecution().executedPlan().toString()

@@ -87,3 +87,43 @@ def test_every_logical_table_reads_back_from_storage(spark):
     for name, schema in LOGICAL_SCHEMAS.items():
         spark.createDataFrame([], schema).write.parquet(f"{folder}/{name}.parquet")
         assert load(spark, name, folder).schema == schema
+
+
+def test_drift_is_found_without_reading_rows():
+    from pyspark.sql import types as T
+
+    from lectern.sources.mapping import Drift, TableMapping, drift
+    stored = T.StructType().add("user_id", T.LongType()).add("book_id", T.DecimalType(20, 0)).add("reading_date", T.TimestampType()).add("note", T.StringType())
+    mapping = TableMapping("x", {"read_date": "reading_date"})
+    assert drift(stored, "reading_activity", mapping) == [
+        Drift("narrowed", "book_id", "bigint", "decimal(20,0)"), Drift("missing", "reading_minutes", "double", None), Drift("extra", "note", None, "string")]
+    assert [d.kind for d in drift(stored, "reading_activity", TableMapping("x", {"read_date": "reading_date"}, frozenset({"reading_minutes"})))] == ["narrowed", "extra"]
+
+
+@pytest.mark.parametrize("stored, declared, want", [
+    ("int", "bigint", True), ("bigint", "int", False), ("decimal(12,2)", "double", True), ("double", "float", False), ("string", "date", False),
+    ("timestamp", "date", True), ("date", "timestamp", True), ("bigint", "string", True), ("double", "bigint", False), ("decimal(9,0)", "decimal(12,2)", True),
+    ("decimal(12,2)", "decimal(12,4)", False), ("boolean", "int", False), ("void", "date", True)])
+def test_which_types_fit(spark, stored, declared, want):
+    from lectern.sources.mapping import fits
+    schema = spark.sql(f"SELECT CAST(NULL AS {stored}) AS a, CAST(NULL AS {declared}) AS b").schema
+    assert fits(schema["a"].dataType, schema["b"].dataType) is want
+
+
+def test_mapped_tables_read_under_their_logical_names_with_filters_pushed(spark):
+    from lectern.sources.catalog import Tables
+    from lectern.sources.mapping import REFERENCE_MAPPINGS, DriftError
+    folder = tempfile.mkdtemp(prefix="lectern-test-")
+    spark.sql("SELECT 1L AS user_id, 2L AS book_id, TIMESTAMP '2024-01-02 03:04:05' AS reading_date, 4 AS reading_minutes, 'x' AS more").write.parquet(f"{folder}/reading_activity_daily.parquet")
+    spark.sql("SELECT 1L AS user_id, 2L AS event_id, 'open book' AS event_name_master, DATE '2024-01-02' AS event_timestamp, 's' AS session_id, 3 AS book_id").write.parquet(f"{folder}/user_tracking_events.parquet")
+    t = Tables(spark, folder, mappings=REFERENCE_MAPPINGS)
+    assert t.reading_activity.schema == LOGICAL_SCHEMAS["reading_activity"]
+    assert tuple(t.reading_activity.head()) == (1, 2, dt.date(2024, 1, 2), 4.0)
+    df = t.event_facts.filter("event_name = 'open book'").select("user_id", "value")
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(event_name_master,open book)" in text
+    assert "GreaterThanOrEqual(event_timestamp" in t.event_facts.filter("event_date >= DATE '2024-01-01'")._jdf.queryExecution().executedPlan().toString()
+    assert "session_id" not in text[text.index("ReadSchema"):] and [tuple(r) for r in df.collect()] == [(1, None)]
+    spark.sql("SELECT 1L AS user_id").write.parquet(f"{folder}/second/reading_activity_daily.parquet")
+    with pytest.raises(DriftError):
+        load(spark, "reading_activity", f"{folder}/second", mappings=REFERENCE_MAPPINGS)
