@@ -39,7 +39,17 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.mode("errorifexists").option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*stages: DataFrame) -> None:
+    """Removes the folders of written stages that nothing reads any more."""
+    for df in stages:
+        sc = df.sparkSession.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:

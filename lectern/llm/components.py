@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,7 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
     at = written(edges.select("u", "v").filter(F.col("u") != F.col("v")).distinct(), "cc-edges")
     before = _print(at)
     while True:
-        at = written(_star(_star(at, large=True), large=False), "cc-stars")
+        last, at = at, written(_star(_star(at, large=True), large=False), "cc-stars")
+        discard(last)
         now = _print(at)
         if now == before:
             break

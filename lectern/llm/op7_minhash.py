@@ -6,11 +6,12 @@ sets that share a band are candidates. Candidates are first compared by
 signature (a byte of each minimum), those not clearly below the limit on
 their full sets. Links are merged by large-star / small-star.
 
-A band's bucket is never expanded into its pairs. First every member is
-compared with the bucket's smallest; what that links is merged. In buckets
-that still hold several components, members of all but the largest one there
-are then compared with the rest, in blocks: of each such component the most
-alike pairs are confirmed first, and only where none links it, all further ones.
+A band's bucket is never expanded into its pairs. First, in some bands, every
+member is compared with the bucket's smallest; what that links is merged. In
+buckets of all bands that still hold several components, members of all but
+the largest one there are compared with the rest, once, block by block, by
+signature. What is alike enough is confirmed on the full sets: the most alike
+pair of each component first, then those that still join two components.
 
 The chance that a pair at the limit is missed is 2.2e-7 at 85 %, 4.9e-8 at 80 %: it
 shares no band (1.93e-7, 4.37e-8) or its signature is too far off (2.1e-8, 5.4e-9).
@@ -23,13 +24,16 @@ rows. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered, per_row, table, written
+from ..operators.membership import likely_members
+from .common import discard, numbered, per_row, table, written
 from .components import components
 
 SHINGLE_WORDS = 5
@@ -39,7 +43,9 @@ SIMILARITY_PERCENT = 80
 ROWS = 7
 BANDS = {85: 40, 80: 72}
 #: Members of a bucket that are compared in one block.
-BLOCK = 4096
+BLOCK = 2048
+#: Bands whose buckets are first compared with their smallest member only.
+FIRST_BANDS = 8
 #: A pair at the limit agrees in so much less of its signature (in standard deviations)
 #: with probability 2.1e-8 at 85 %, 5.4e-9 at 80 % (binomial tail).
 SIGMAS = 6
@@ -122,8 +128,8 @@ def _least_alike(percent: int, bands: int) -> float:
     return p - SIGMAS * (p * (1 - p) / (bands * ROWS)) ** 0.5
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, items) with the full sets of the documents ``nodes``."""
+def _sets(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(node, items) with the full sets of the documents in ``pairs``."""
 
     def make():
         done: set = set()  # rows of one doc_id mostly meet in a task; a pair confirmed twice is one link
@@ -135,12 +141,13 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
         return row
 
-    wanted = docs.select("doc_id", "text").join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    wanted = likely_members(docs.select("doc_id", "text"), nodes, "doc_id").join(nodes, "doc_id", "left_semi")
     return written(per_row(wanted, "node long, items binary", make, 256), "op7-sets", "none")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (u, v) whose full sets are alike enough."""
+def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of the written pairs (u, v) whose full sets are alike enough."""
 
     def make():
         def row(u, v, a, b):
@@ -153,8 +160,11 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         return row
 
-    first = pairs.join(sets.select(F.col("node").alias("u"), F.col("items").alias("a")), "u")
-    return per_row(first.join(sets.select(F.col("node").alias("v"), F.col("items").alias("b")), "v").select("u", "v", "a", "b"), "u long, v long", make)
+    sets = _sets(docs, pairs, width)
+    first = pairs.select("u", "v").join(sets.select(F.col("node").alias("u"), F.col("items").alias("a")), "u")
+    linked = written(per_row(first.join(sets.select(F.col("node").alias("v"), F.col("items").alias("b")), "v").select("u", "v", "a", "b"), "u long, v long", make), "op7-links")
+    discard(sets)
+    return linked
 
 
 def _with_smallest(members: DataFrame, minima: DataFrame, least: float) -> DataFrame:
@@ -174,38 +184,72 @@ def _with_smallest(members: DataFrame, minima: DataFrame, least: float) -> DataF
     return per_row(both.select("u", "v", "a", "b"), "u long, v long", make)
 
 
-def _across(members: DataFrame, minima: DataFrame, found: DataFrame, least: float, most: int) -> DataFrame:
-    """(u, v, more): in buckets of several components, for each of them but the
-    largest there the up to ``most`` pairs most alike with members of others in
-    a block; ``more`` if there are others."""
+def _groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.Table]:
+    """Runs of rows that are equal in the first ``by`` columns."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(k).to_numpy() for k in range(by)])
+        starts = np.r_[0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1]
+        if held and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in range(by)):
+            yield pa.Table.from_batches(held)
+            held = []
+        for start, end in zip(starts, [*starts[1:], None]):
+            if start:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, None if end is None else end - start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _across(members: DataFrame, minima: DataFrame, found: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(part, u, v, alike): pairs alike by signature whose components differ, met in
+    the first band that they share; ``part`` is that of the smaller bucket share."""
     held = members.join(found.withColumnRenamed("component", "c"), "node", "left").withColumn("component", F.coalesce("c", "node")).drop("c")
     sizes = held.groupBy("key", "component").agg(F.count("*").alias("n"))
-    buckets = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("rows"), F.max_by("component", "n").alias("big")).filter("parts > 1")
-    buckets = buckets.select("key", "big", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    rows = held.join(buckets, "key").join(minima, "node").withColumn("probe", F.col("component") != F.col("big"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    to = F.when(F.col("probe"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
-    dealt = rows.select("key", F.explode(to).alias("block"), "node", "component", "minima", "keys", "probe", own.alias("own"))
-
-    def near(group):
-        nodes, parts = group["node"].to_numpy(), group["component"].to_numpy()
-        minima = np.frombuffer(b"".join(group["minima"]), np.uint8).reshape(len(nodes), -1)
-        probes, here = group["probe"].to_numpy(), (group["own"] == group["block"]).to_numpy()
-        keys, key = np.stack(group["keys"].to_list()), group["key"].iloc[0]
-        found: dict = {}
-        for i in np.flatnonzero(probes):
-            alike = _alike(minima, minima[i])
-            other = here & (parts != parts[i]) & (alike >= least)
-            others = np.flatnonzero(other)
-            first = (keys[others] == keys[i]).argmax(1)  # of the bands that a pair shares: it counts there only
-            for j in others[keys[i][first] == key]:
-                found.setdefault(parts[i], []).append((-alike[j], min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
-        out = [(u, v, len(x) > most) for x in found.values() for _, u, v in sorted(x)[:most]]
-        import pandas as pd
-
-        return pd.DataFrame(out, columns=["u", "v", "more"])
-
-    return dealt.groupBy("key", "block").applyInPandas(near, "u long, v long, more boolean")
+    buckets = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("rows"), F.max("n").alias("most"), F.max_by("component", "n").alias("big")).filter("parts > 1")
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    buckets = buckets.select("key", "big", blocks(F.col("rows")).alias("all_blocks"), blocks(F.col("rows") - F.col("most")).alias("probe_blocks"))
+    rows = held.join(buckets, "key").withColumn("probe", F.col("component") != F.col("big"))
+    # a group is one block of probes against one block of members
+    h = F.xxhash64("node")
+    own_row, own_probe = F.pmod(h, F.col("all_blocks")).cast("int"), F.pmod(h, F.col("probe_blocks")).cast("int")
+    as_member = F.transform(F.sequence(F.lit(0), F.col("probe_blocks") - 1), lambda p: F.struct(own_row.alias("m"), p.alias("p"), F.lit(False).alias("is_probe")))
+    as_probe = F.transform(F.sequence(F.lit(0), F.col("all_blocks") - 1), lambda m: F.struct(m.alias("m"), own_probe.alias("p"), F.lit(True).alias("is_probe")))
+    sides = F.when(F.col("probe"), F.concat(as_member, as_probe)).otherwise(as_member)
+    dealt = rows.select("key", "node", "component", F.explode(sides).alias("s")).select("key", "s.m", "s.p", "s.is_probe", "node", "component")
+    dealt = dealt.join(minima, "node").select("key", "m", "p", "is_probe", "node", "component", "minima", "keys")
+    schema = pa.schema([("part", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("alike", pa.float64())])
+
+    def near(group: pa.Table) -> pa.RecordBatch | None:
+        probe, nodes, parts = (group.column(c).to_numpy() for c in ("is_probe", "node", "component"))
+        minima = np.frombuffer(b"".join(group.column("minima").to_pylist()), np.uint8).reshape(len(nodes), -1)
+        keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(len(nodes), -1)
+        key, here, out = group.column("key")[0].as_py(), np.flatnonzero(~probe), []
+        for i in np.flatnonzero(probe):
+            other = here[parts[here] != parts[i]]
+            alike = _alike(minima[other], minima[i])
+            other, alike = other[alike >= least], alike[alike >= least]
+            if not len(other):
+                continue
+            first = (keys[other] == keys[i]).argmax(1)  # of the bands that a pair shares: it counts there only
+            once = keys[i][first] == key
+            if once.any():
+                j = nodes[other[once]]
+                out.append((np.full(len(j), parts[i]), np.minimum(j, nodes[i]), np.maximum(j, nodes[i]), alike[once]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=schema) if out else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 3):
+            if group.num_rows > 1:
+                out = near(group)
+                if out is not None:
+                    yield out
+
+    together = dealt.repartition("key", "m", "p").sortWithinPartitions("key", "m", "p")
+    return together.mapInArrow(run, "part long, u long, v long, alike double").groupBy("u", "v").agg(F.min("part").alias("part"), F.max("alike").alias("alike"))
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT) -> DataFrame:
@@ -220,27 +264,26 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
     classes = rows.groupBy("set_id").agg(F.min("doc_id").alias("node"))
     chosen = rows.join(classes.withColumnRenamed("node", "doc_id"), ["set_id", "doc_id"]).select("row")
     nodes = seen.join(chosen, "row", "left_semi")
-    keyed = nodes.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
+    keyed = nodes.select(F.col("doc_id").alias("node"), F.posexplode("keys").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("key")
-    members = written(keyed.join(shared, "key").select("key", "node"), "op7-members")
-    candidates = members.select("node").distinct()
-    minima = written(seen.join(chosen, "row", "left_semi").select(F.col("doc_id").alias("node"), "minima", "keys").join(candidates, "node", "left_semi"), "op7-minima")
-    sets = _sets(docs, candidates, width)
-    pairs = written(_with_smallest(members, minima, least), "op7-pairs")
-    links = written(_confirm(pairs, sets, percent), "op7-links")
+    members = written(keyed.join(shared, "key").select("key", "band", "node"), "op7-members")
+    minima = written(nodes.select(F.col("doc_id").alias("node"), "minima", "keys").join(members.select("node").distinct(), "node", "left_semi"), "op7-minima")
+
+    pairs = written(_with_smallest(members.filter(F.col("band") < FIRST_BANDS), minima, least), "op7-pairs")
+    links = _confirm(pairs, docs, width, percent)
+    found = written(components(links), "op7-components")
+    tried = written(_across(members.select("key", "node"), minima, found, least), "op7-across")
+    discard(pairs, members, minima)
+    best = written(tried.groupBy("part").agg(F.max_by(F.struct("u", "v"), "alike").alias("p")).select("p.u", "p.v"), "op7-pairs")
+    links = links.union(_confirm(best, docs, width, percent))
+    found = written(components(links), "op7-components")
+    part = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"{x}_part"))
+    apart = F.coalesce("u_part", "u") != F.coalesce("v_part", "v")
+    left = tried.join(best, ["u", "v"], "left_anti").join(part("u"), "u", "left").join(part("v"), "v", "left").filter(apart).select("u", "v")
+    left = written(left, "op7-pairs")
+    links = links.union(_confirm(left, docs, width, percent))
     found = written(components(links), "op7-components")
-    done, most = pairs, 2
-    while True:
-        tried = written(_across(members, minima, found, least, most), "op7-across")
-        fresh = tried.select("u", "v").distinct().join(done, ["u", "v"], "left_anti")
-        more = written(_confirm(fresh, sets, percent), "op7-links")
-        open_ = tried.filter("more").limit(1).count()
-        if more.limit(1).count():
-            links = links.union(more)
-            found = written(components(links), "op7-components")
-        if not open_:
-            break
-        done, most = written(done.union(fresh), "op7-done"), most * 8
+    discard(tried, best, left)
     by_class = classes.join(found.withColumnRenamed("component", "least"), "node", "left").select("set_id", F.coalesce("least", "node").alias("component_id"))
     out = seen.select("doc_id", "n_shingles", "set_id").join(by_class, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
