@@ -10,8 +10,10 @@ A band's bucket is never expanded into its pairs. First, in some bands, every
 member is compared with the bucket's smallest; what that links is merged. In
 buckets of all bands that still hold several components, members of all but
 the largest one there are compared with the rest, once, block by block, by
-signature. What is alike enough is confirmed on the full sets: the most alike
-pair of each component first, then those that still join two components.
+signature. Where a block has no more pairs alike than rows, they are confirmed on
+the full sets one by one; where it has (a family just below the limit), its full
+sets are brought together and it gives only links that join two components, fewer
+than its rows. So the rows that are made grow with a family, not with its square.
 
 The chance that a pair at the limit is missed is 2.2e-7 at 85 %, 4.9e-8 at 80 %: it
 shares no band (1.93e-7, 4.37e-8) or its signature is too far off (2.1e-8, 5.4e-9).
@@ -24,16 +26,18 @@ rows. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..operators.membership import likely_members
-from .common import discard, numbered, per_row, table, written
+from .common import discard, numbered, per_row, table, to_batch, written
 from .components import components
 
 SHINGLE_WORDS = 5
@@ -43,7 +47,7 @@ SIMILARITY_PERCENT = 80
 ROWS = 7
 BANDS = {85: 40, 80: 72}
 #: Members of a bucket that are compared in one block.
-BLOCK = 2048
+BLOCK = 1024
 #: Bands whose buckets are first compared with their smallest member only.
 FIRST_BANDS = 8
 #: A pair at the limit agrees in so much less of its signature (in standard deviations)
@@ -128,8 +132,8 @@ def _least_alike(percent: int, bands: int) -> float:
     return p - SIGMAS * (p * (1 - p) / (bands * ROWS)) ** 0.5
 
 
-def _sets(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(node, items) with the full sets of the documents in ``pairs``."""
+def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, items) with the full sets of the documents ``nodes`` (doc_id)."""
 
     def make():
         done: set = set()  # rows of one doc_id mostly meet in a task; a pair confirmed twice is one link
@@ -141,8 +145,8 @@ def _sets(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
 
         return row
 
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    wanted = likely_members(docs.select("doc_id", "text"), nodes, "doc_id").join(nodes, "doc_id", "left_semi")
+    # an inner join: a semi-join would be moved below the bitmap's, and all texts shuffled
+    wanted = likely_members(docs.select("doc_id", "text"), nodes, "doc_id").join(nodes, "doc_id").select("doc_id", "text")
     return written(per_row(wanted, "node long, items binary", make, 256), "op7-sets", "none")
 
 
@@ -160,7 +164,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
 
         return row
 
-    sets = _sets(docs, pairs, width)
+    sets = _sets(docs, pairs.select("u").union(pairs.select("v")).toDF("doc_id").distinct(), width)
     first = pairs.select("u", "v").join(sets.select(F.col("node").alias("u"), F.col("items").alias("a")), "u")
     linked = written(per_row(first.join(sets.select(F.col("node").alias("v"), F.col("items").alias("b")), "v").select("u", "v", "a", "b"), "u long, v long", make), "op7-links")
     discard(sets)
@@ -204,55 +208,116 @@ def _groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _across(members: DataFrame, minima: DataFrame, found: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """(part, u, v, alike): pairs alike by signature whose components differ, met in
-    the first band that they share; ``part`` is that of the smaller bucket share."""
+def _dealt(members: DataFrame, found: DataFrame, block: int) -> DataFrame:
+    """(key, m, p, is_probe, node, component): of buckets of several components,
+    members of all but the largest one there (probes) against all, in groups of
+    one block of probes (``p``) and one block of members (``m``)."""
     held = members.join(found.withColumnRenamed("component", "c"), "node", "left").withColumn("component", F.coalesce("c", "node")).drop("c")
     sizes = held.groupBy("key", "component").agg(F.count("*").alias("n"))
     buckets = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("rows"), F.max("n").alias("most"), F.max_by("component", "n").alias("big")).filter("parts > 1")
     blocks = lambda n: F.ceil(n / block).cast("int")
     buckets = buckets.select("key", "big", blocks(F.col("rows")).alias("all_blocks"), blocks(F.col("rows") - F.col("most")).alias("probe_blocks"))
     rows = held.join(buckets, "key").withColumn("probe", F.col("component") != F.col("big"))
-    # a group is one block of probes against one block of members
     h = F.xxhash64("node")
     own_row, own_probe = F.pmod(h, F.col("all_blocks")).cast("int"), F.pmod(h, F.col("probe_blocks")).cast("int")
     as_member = F.transform(F.sequence(F.lit(0), F.col("probe_blocks") - 1), lambda p: F.struct(own_row.alias("m"), p.alias("p"), F.lit(False).alias("is_probe")))
     as_probe = F.transform(F.sequence(F.lit(0), F.col("all_blocks") - 1), lambda m: F.struct(m.alias("m"), own_probe.alias("p"), F.lit(True).alias("is_probe")))
     sides = F.when(F.col("probe"), F.concat(as_member, as_probe)).otherwise(as_member)
-    dealt = rows.select("key", "node", "component", F.explode(sides).alias("s")).select("key", "s.m", "s.p", "s.is_probe", "node", "component")
-    dealt = dealt.join(minima, "node").select("key", "m", "p", "is_probe", "node", "component", "minima", "keys")
-    schema = pa.schema([("part", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("alike", pa.float64())])
-
-    def near(group: pa.Table) -> pa.RecordBatch | None:
-        probe, nodes, parts = (group.column(c).to_numpy() for c in ("is_probe", "node", "component"))
-        minima = np.frombuffer(b"".join(group.column("minima").to_pylist()), np.uint8).reshape(len(nodes), -1)
-        keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(len(nodes), -1)
-        key, here, out = group.column("key")[0].as_py(), np.flatnonzero(~probe), []
-        for i in np.flatnonzero(probe):
-            other = here[parts[here] != parts[i]]
-            alike = _alike(minima[other], minima[i])
-            other, alike = other[alike >= least], alike[alike >= least]
-            if not len(other):
-                continue
-            first = (keys[other] == keys[i]).argmax(1)  # of the bands that a pair shares: it counts there only
-            once = keys[i][first] == key
-            if once.any():
-                j = nodes[other[once]]
-                out.append((np.full(len(j), parts[i]), np.minimum(j, nodes[i]), np.maximum(j, nodes[i]), alike[once]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=schema) if out else None
+    return rows.select("key", "node", "component", F.explode(sides).alias("s")).select("key", "s.m", "s.p", "s.is_probe", "node", "component")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, 3):
-            if group.num_rows > 1:
-                out = near(group)
-                if out is not None:
-                    yield out
 
-    together = dealt.repartition("key", "m", "p").sortWithinPartitions("key", "m", "p")
-    return together.mapInArrow(run, "part long, u long, v long, alike double").groupBy("u", "v").agg(F.min("part").alias("part"), F.max("alike").alias("alike"))
+_GROUP = ["key", "m", "p"]
+
 
+def _in_groups(rows: DataFrame, schema: str, of: Callable[[pa.Table], list[tuple]]) -> DataFrame:
+    """``of`` every group of the dealt ``rows``, which begin with key, m, p."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for group in _groups(batches, len(_GROUP)):
+            held += of(group) if group.num_rows > 1 else []
+            if len(held) >= 4096:
+                yield to_batch(held, arrow)
+                held = []
+        if held:
+            yield to_batch(held, arrow)
+
+    return rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(run, schema)
+
+
+class _Group:
+    """A group's rows as arrays, and the pairs in it that are alike by signature."""
+
+    def __init__(self, group: pa.Table, least: float):
+        self.probe, self.nodes, self.parts = (group.column(c).to_numpy() for c in ("is_probe", "node", "component"))
+        self.minima = np.frombuffer(b"".join(group.column("minima").to_pylist()), np.uint8).reshape(len(self.nodes), -1)
+        self.keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(len(self.nodes), -1)
+        self.key, self.least = group.column("key")[0].as_py(), least
+
+    def pairs(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each probe with the members of other components that it meets here first of all bands they share."""
+        here = np.flatnonzero(~self.probe)
+        for i in np.flatnonzero(self.probe):
+            other = here[self.parts[here] != self.parts[i]]
+            other = other[_alike(self.minima[other], self.minima[i]) >= self.least]
+            if len(other):
+                first = (self.keys[other] == self.keys[i]).argmax(1)
+                other = other[self.keys[i][first] == self.key]
+            if len(other):
+                yield i, other
+
+
+def _across(dealt: DataFrame, minima: DataFrame, least: float) -> DataFrame:
+    """(key, m, p, u, v): the pairs alike by signature, or only the group (u and v null) if it has more of them than rows."""
+
+    def of(group: pa.Table) -> list[tuple]:
+        g, out = _Group(group, least), []
+        at = tuple(group.column(c)[0].as_py() for c in _GROUP)
+        for i, other in g.pairs():
+            out += [(*at, int(min(g.nodes[i], n)), int(max(g.nodes[i], n))) for n in g.nodes[other]]
+            if len(out) > len(g.nodes):
+                return [(*at, None, None)]
+        return out
+
+    return _in_groups(dealt.join(minima, "node").select(*_GROUP, "is_probe", "node", "component", "minima", "keys"), "key long, m int, p int, u long, v long", of)
+
+
+def _linked_in(dealt: DataFrame, minima: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
+    """(u, v): links found on full sets within the groups, as few as join their components."""
+
+    def of(group: pa.Table) -> list[tuple]:
+        g, out, top = _Group(group, least), [], {}
+        items = [np.frombuffer(x, np.uint64) for x in group.column("items").to_pylist()]
+        sizes = np.array([len(x) for x in items])
+
+        def root(part: int) -> int:
+            while top.get(part, part) != part:
+                top[part] = top.get(top[part], top[part])
+                part = top[part]
+            return part
+
+        for i, other in g.pairs():
+            own, n = items[i], sizes[i]
+            other = other[100 * np.minimum(sizes[other], n) >= percent * np.maximum(sizes[other], n)]
+            for at in range(0, len(other), 64):
+                some = [j for j in other[at:at + 64] if root(g.parts[j]) != root(g.parts[i])]
+                if not some:
+                    continue
+                every = np.concatenate([items[j] for j in some])
+                place = np.minimum(np.searchsorted(own, every), n - 1)
+                both = np.add.reduceat(own[place] == every, np.cumsum([0, *sizes[some][:-1]]), dtype=np.int64)
+                for j, k in zip(some, both):
+                    if 100 * k >= percent * (n + sizes[j] - k) and root(g.parts[j]) != root(g.parts[i]):
+                        top[root(g.parts[j])] = root(g.parts[i])
+                        out.append((int(min(g.nodes[i], g.nodes[j])), int(max(g.nodes[i], g.nodes[j]))))
+        return out
+
+    rows = dealt.join(minima, "node").join(sets, "node").select(*_GROUP, "is_probe", "node", "component", "minima", "keys", "items")
+    return _in_groups(rows, "u long, v long", of)
+
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     if percent < min(BANDS):
         raise ValueError(f"bands are laid out for {min(BANDS)} percent and more")
@@ -272,18 +337,16 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
     pairs = written(_with_smallest(members.filter(F.col("band") < FIRST_BANDS), minima, least), "op7-pairs")
     links = _confirm(pairs, docs, width, percent)
     found = written(components(links), "op7-components")
-    tried = written(_across(members.select("key", "node"), minima, found, least), "op7-across")
-    discard(pairs, members, minima)
-    best = written(tried.groupBy("part").agg(F.max_by(F.struct("u", "v"), "alike").alias("p")).select("p.u", "p.v"), "op7-pairs")
-    links = links.union(_confirm(best, docs, width, percent))
-    found = written(components(links), "op7-components")
-    part = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"{x}_part"))
-    apart = F.coalesce("u_part", "u") != F.coalesce("v_part", "v")
-    left = tried.join(best, ["u", "v"], "left_anti").join(part("u"), "u", "left").join(part("v"), "v", "left").filter(apart).select("u", "v")
-    left = written(left, "op7-pairs")
-    links = links.union(_confirm(left, docs, width, percent))
+    discard(pairs)
+    dealt = written(_dealt(members.select("key", "node"), found, block), "op7-dealt")
+    tried = written(_across(dealt, minima, least), "op7-across")
+    pairs = written(tried.filter("u is not null").select("u", "v").distinct(), "op7-pairs")
+    dense = written(dealt.join(tried.filter("u is null").select(*_GROUP), _GROUP, "left_semi"), "op7-dense")
+    sets = _sets(docs, dense.select(F.col("node").alias("doc_id")).distinct(), width)
+    inside = written(_linked_in(dense, minima, sets, least, percent), "op7-links")
+    links = links.union(_confirm(pairs, docs, width, percent)).union(inside)
     found = written(components(links), "op7-components")
-    discard(tried, best, left)
+    discard(members, minima, dealt, tried, pairs, dense, sets)
     by_class = classes.join(found.withColumnRenamed("component", "least"), "node", "left").select("set_id", F.coalesce("least", "node").alias("component_id"))
     out = seen.select("doc_id", "n_shingles", "set_id").join(by_class, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -100,18 +100,19 @@ def test_components_of_long_chains_and_stars(spark):
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 161)}}
 
 
-def test_blocks_of_a_bucket_lose_no_link(spark, monkeypatch):
-    """Nothing is compared with the smallest first, and a block holds three members."""
+@pytest.mark.parametrize("block", [3, 2048])
+def test_blocks_of_a_bucket_lose_no_link(spark, monkeypatch, block):
+    """Nothing is compared with the smallest first; the families make more pairs than rows."""
     monkeypatch.setattr(op7, "FIRST_BANDS", 0)
-    monkeypatch.setattr(op7._across, "__defaults__", (3,))
     r = random.Random(4)
-    words = [f"w{r.randrange(60)}" for _ in range(80)]
     texts = []
-    for _ in range(40):  # one family: some alike enough, others not, all in the same buckets
-        at = list(words)
-        for _ in range(r.randint(0, 6)):
-            at[r.randrange(len(at))] = f"x{r.randrange(99)}"
-        texts.append(" ".join(at))
+    for _ in range(2):  # families: some alike enough, others not, all in the same buckets
+        words = [f"w{r.randrange(60)}" for _ in range(80)]
+        for _ in range(30):
+            at = list(words)
+            for _ in range(r.randint(0, 6)):
+                at[r.randrange(len(at))] = f"x{r.randrange(99)}"
+            texts.append(" ".join(at))
     rows = list(enumerate(texts))
-    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 85).collect()
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 85, block).collect()
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute(rows, 3, 85)
