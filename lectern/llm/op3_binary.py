@@ -41,7 +41,7 @@ def raw_blocks(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int = BL
     ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
 
     def make():
-        encode = library_encoder(tokenizer, spaced=False, dtype="<u2")  # 49,408 entries fit
+        encode = library_encoder(tokenizer, dtype="<u2")  # 49,408 entries fit
         end = np.array([end_id], "<u2").tobytes()
         shard, keys, sizes, parts = TaskContext.get().partitionId(), [], [], []
         at = {"block": 0, "first": 0, "n": 0}

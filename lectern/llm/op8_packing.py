@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import per_row, table, written
 from .tokens import library_encoder
 
-TOKENIZER_FILE = "byte_bpe_50k.json"
+#: The vocabulary, and the same as ranks.
+TOKENIZER_FILE, RANKS_FILE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 MAX_TOKENS = 2048
 END_ID = 0
 
@@ -173,9 +174,9 @@ class Packing:
         return place
 
 
-def pack(docs: DataFrame, tokenizer: str = TOKENIZER_FILE, end_id: int = END_ID, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = TOKENIZER_FILE, ranks: str | None = RANKS_FILE, end_id: int = END_ID, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """One row per piece with its sequence and place there."""
-    pieces = written(token_pieces(docs, lambda: library_encoder(tokenizer, spaced=True), end_id, max_tokens), "op8-pieces")
+    pieces = written(token_pieces(docs, lambda: library_encoder(tokenizer, ranks), end_id, max_tokens), "op8-pieces")
     by_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = by_task.select("length", "task", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # max_tokens rows at most

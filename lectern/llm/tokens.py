@@ -1,13 +1,17 @@
-"""Whole-text tokenisation through a public tokenizer with a per-worker chunk memo.
+"""Whole-text tokenisation through public tokenizers.
 
-Both pre-tokenisation patterns used here never join characters across certain
-white-space boundaries, so a text can be cut there and every distinct chunk
-needs to be encoded once per worker. A text whose white space is not of the
-plain kind is encoded whole, by the same encoder.
+A vocabulary that is also given as ranks is applied to whole texts by the rank
+encoder, which finds the same ids many times faster; texts with very long runs,
+on which it takes quadratic time, go to the tokenizers library. Elsewhere chunks
+of text that white space always separates are encoded once a worker and
+remembered; a text whose white space is not of the plain kind is encoded whole.
 """
 
 from __future__ import annotations
 
+import base64
+import os
+import re
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -25,7 +29,7 @@ _WORKER: dict = {}
 def _split_tail(chunk: str) -> tuple[str, str]:
     """A word and the closing punctuation after it, which both patterns cut off."""
     core = chunk.rstrip(".,;:!?)")
-    return (core, chunk[len(core):]) if core and core != chunk and core[-1].isalpha() else (chunk, "")
+    return (core, chunk[len(core):]) if core and core != chunk and core[-1].lower().isalpha() else (chunk, "")  # a lower case may end in a mark, which goes with what follows
 
 
 class _Learner:
@@ -155,46 +159,81 @@ class _Both(dict):
         return self.kept[key]
 
 
-def library_encoder(file: str, spaced: bool, dtype: str = "<u4") -> Callable[[str], bytes]:
-    """Text -> packed ids by the tokenizers library, without special tokens
+#: Characters of a run, of white space or of other characters, that only the library takes.
+LONG_RUN = 1000
+_LONG_SPACE = re.compile(r"\s{%d}" % LONG_RUN)
+
+
+class RankEncoder:
+    """For byte-level vocabularies whose ranks are their ids; ``whole``: the library's encoder of texts."""
+
+    def __init__(self, file: str, whole: Callable[[Sequence[str]], list[list[int]]]):
+        import tiktoken
+
+        with open(tokenizer_path(file), "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        import public_tokenizers
+
+        self.ranks = tiktoken.Encoding(file, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.whole = whole
+
+    def __call__(self, text: str) -> bytes:
+        if len(text) >= LONG_RUN and (max(map(len, text.split()), default=0) >= LONG_RUN or _LONG_SPACE.search(text)):
+            return np.array(self.whole([text])[0], "<u4").tobytes()
+        return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+
+
+def library_encoder(file: str, ranks: str | None = None, dtype: str = "<u4") -> Callable[[str], bytes]:
+    """Text -> packed ids as by the tokenizers library, without special tokens
     (their strings in a text are ordinary text); one per worker process.
+    ``ranks``: the same vocabulary's rank file; ids are then of four bytes.
 
-    Chunks are encoded many at a time, joined by a separator that is a
-    pre-token of its own and whose ids no chunk can produce.
+    Without it, words are learned many at a time, joined by a separator that is
+    a pre-token of its own and whose ids no word can produce; plain lower-case
+    words of ASCII letters are one pre-token that the normalizer leaves as it
+    is, so the model takes them directly.
     """
-    key = (file, spaced, dtype)
+    key = (file, ranks, dtype)
     if key not in _WORKER:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task one core
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(tokenizer_path(file))
         tok.encode_special_tokens = True
-        mark, between = ("\n", "\n") if spaced else ("\x01", " \x01 ")
 
         def whole(texts: Sequence[str]) -> list[list[int]]:
             return [e.ids for e in tok.encode_batch_fast(list(texts), add_special_tokens=False)]
 
-        mark_ids = whole([mark])[0]
-
-        def many(texts: Sequence[str]) -> list[bytes]:
-            at_once = [i for i, t in enumerate(texts) if t and mark not in t]
-            out: list = [b""] * len(texts)
-            joined = whole(between.join(texts[i] for i in part) for part in (at_once[k:k + 1000] for k in range(0, len(at_once), 1000)))
-            n = 0
-            for ids in joined:
-                ids = np.array(ids, dtype)
-                cuts = np.flatnonzero(ids == mark_ids[0]).tolist()
-                raw, size, start = ids.tobytes(), ids.itemsize, 0
-                for cut in [*cuts, len(ids)]:
-                    out[at_once[n]] = raw[start * size:cut * size]
-                    n, start = n + 1, cut + 1
-            assert n == len(at_once)
-            for i, ids in zip(alone := [i for i, t in enumerate(texts) if mark in t], whole(texts[i] for i in alone)):
-                out[i] = np.array(ids, dtype).tobytes()
-            return out
-
-        assert len(mark_ids) == 1
-        _WORKER[key] = (SpacedMemo if spaced else WordMemo)(many)
+        _WORKER[key] = RankEncoder(ranks, whole) if ranks else WordMemo(_word_encoder(tok.model.tokenize, whole, tok.get_vocab_size(), dtype))
     return _WORKER[key]
+
+
+def _word_encoder(tokenize: Callable, whole: Callable[[Sequence[str]], list[list[int]]], size: int, dtype: str) -> Callable[[Sequence[str]], list[bytes]]:
+    mark, between = "\x01", " \x01 "
+    mark_ids = whole([mark])[0]
+    assert len(mark_ids) == 1
+    packed = [np.array(i, dtype).tobytes() for i in range(size)]
+
+    def many(texts: Sequence[str]) -> list[bytes]:
+        out: list = [b""] * len(texts)
+        at_once, alone = [], []
+        for i, t in enumerate(texts):
+            if t.isascii() and t.isalpha() and t.islower():
+                out[i] = b"".join([packed[x.id] for x in tokenize(t)])
+            elif t:
+                (alone if mark in t else at_once).append(i)
+        joined = whole(between.join(texts[i] for i in part) for part in (at_once[k:k + 1000] for k in range(0, len(at_once), 1000)))
+        n = 0
+        for ids in joined:
+            ids = np.array(ids, dtype)
+            cuts = np.flatnonzero(ids == mark_ids[0]).tolist()
+            raw, width, start = ids.tobytes(), ids.itemsize, 0
+            for cut in [*cuts, len(ids)]:
+                out[at_once[n]] = raw[start * width:cut * width]
+                n, start = n + 1, cut + 1
+        assert n == len(at_once)
+        for i, ids in zip(alone, whole(texts[i] for i in alone)):
+            out[i] = np.array(ids, dtype).tobytes()
+        return out
+
+    return many
