@@ -36,7 +36,8 @@ NULL_KEY = -(1 << 63)
 
 
 def raw_blocks(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Rows (shard, block, first, n_tokens, keys, sizes, ids): tokenised documents in doc_id order."""
+    """Rows (shard, block, first, n_tokens, keys, sizes, ids, counts): tokenised documents
+    in doc_id order; a shard's last block has the counts of all its ids."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
 
@@ -44,14 +45,24 @@ def raw_blocks(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int = BL
         encode = library_encoder(tokenizer, dtype="<u2")  # 49,408 entries fit
         end = np.array([end_id], "<u2").tobytes()
         shard, keys, sizes, parts = TaskContext.get().partitionId(), [], [], []
-        at = {"block": 0, "first": 0, "n": 0}
+        at, ready, counts = {"block": 0, "first": 0, "n": 0}, [], np.zeros(1 << 16, np.int64)
 
         def close():
+            """The block before this one, which may be the last."""
             if keys:
-                yield (shard, at["block"], at["first"], at["n"], np.array(keys, "<i8").tobytes(), np.array(sizes, "<u8").tobytes(), b"".join(parts))
+                ids = b"".join(parts)
+                counts[:] += np.bincount(np.frombuffer(ids, "<u2"), minlength=1 << 16)
+                ready.append((shard, at["block"], at["first"], at["n"], np.array(keys, "<i8").tobytes(), np.array(sizes, "<u8").tobytes(), ids))
                 at.update(block=at["block"] + 1, first=at["first"] + at["n"], n=0)
                 for x in (keys, sizes, parts):
                     x.clear()
+                if len(ready) > 1:
+                    yield (*ready.pop(0), None)
+
+        def end_of_shard():
+            yield from close()
+            if ready:
+                yield (*ready.pop(), counts.tobytes())
 
         def row(doc_id, text):
             ids = encode(text or "") + end
@@ -62,26 +73,23 @@ def raw_blocks(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int = BL
             if at["n"] >= block_ids:
                 yield from close()
 
-        row.end = close
+        row.end = end_of_shard
         return row
 
-    return per_row(ordered, "shard int, block int, first long, n_tokens long, keys binary, sizes binary, ids binary", make, 8)
+    return per_row(ordered, "shard int, block int, first long, n_tokens long, keys binary, sizes binary, ids binary, counts binary", make, 8)
 
 
 def id_counts(raw: DataFrame) -> DataFrame:
-    """(id, n) over all blocks."""
+    """(id, n) over all blocks, from the shards' counts."""
 
     def make():
-        total = np.zeros(1 << 16, np.int64)
-
-        def row(ids):
-            total[:] += np.bincount(np.frombuffer(ids, "<u2"), minlength=1 << 16)
-            return ()
+        def row(counts):
+            n = np.frombuffer(counts, np.int64)
+            return ((int(i), int(n[i])) for i in np.flatnonzero(n))
 
-        row.end = lambda: ((int(i), int(total[i])) for i in np.flatnonzero(total))
         return row
 
-    return per_row(raw.select("ids"), "id int, n long", make, 1 << 16).groupBy("id").agg(F.sum("n").alias("n"))
+    return per_row(raw.filter("counts is not null").select("counts"), "id int, n long", make, 1 << 16).groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str = TOKENIZER_FILE, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
@@ -102,7 +110,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = TOKENIZER_FILE, end_i
 
         return row
 
-    coded = per_row(raw, "shard int, block int, first long, n_tokens long, payload binary", make, 8)
+    coded = per_row(raw.drop("counts"), "shard int, block int, first long, n_tokens long, payload binary", make, 8)
     coded.write.option("compression", "none").parquet(f"{path}/blocks")
 
 

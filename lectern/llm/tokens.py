@@ -189,9 +189,10 @@ def library_encoder(file: str, ranks: str | None = None, dtype: str = "<u4") ->
     ``ranks``: the same vocabulary's rank file; ids are then of four bytes.
 
     Without it, words are learned many at a time, joined by a separator that is
-    a pre-token of its own and whose ids no word can produce; plain lower-case
-    words of ASCII letters are one pre-token that the normalizer leaves as it
-    is, so the model takes them directly.
+    a pre-token of its own and whose ids no word can produce; lower-case words
+    of Latin letters (below U+0180, where every letter is its own normal form)
+    are one pre-token that the normalizer leaves as it is, so the model takes
+    them directly, as characters that stand for their bytes.
     """
     key = (file, ranks, dtype)
     if key not in _WORKER:
@@ -208,6 +209,10 @@ def library_encoder(file: str, ranks: str | None = None, dtype: str = "<u4") ->
     return _WORKER[key]
 
 
+#: The characters above U+00FF that stand for bytes that are no printable Latin-1 characters, in order.
+_BYTE_CHARS = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173])}
+
+
 def _word_encoder(tokenize: Callable, whole: Callable[[Sequence[str]], list[list[int]]], size: int, dtype: str) -> Callable[[Sequence[str]], list[bytes]]:
     mark, between = "\x01", " \x01 "
     mark_ids = whole([mark])[0]
@@ -218,8 +223,8 @@ def _word_encoder(tokenize: Callable, whole: Callable[[Sequence[str]], list[list
         out: list = [b""] * len(texts)
         at_once, alone = [], []
         for i, t in enumerate(texts):
-            if t.isascii() and t.isalpha() and t.islower():
-                out[i] = b"".join([packed[x.id] for x in tokenize(t)])
+            if t.isalpha() and t == t.lower() and (t.isascii() or max(t) < "\u0180"):
+                out[i] = b"".join([packed[x.id] for x in tokenize(t if t.isascii() else t.encode().decode("latin-1").translate(_BYTE_CHARS))])
             elif t:
                 (alone if mark in t else at_once).append(i)
         joined = whole(between.join(texts[i] for i in part) for part in (at_once[k:k + 1000] for k in range(0, len(at_once), 1000)))
@@ -232,8 +237,8 @@ def _word_encoder(tokenize: Callable, whole: Callable[[Sequence[str]], list[list
                 out[at_once[n]] = raw[start * width:cut * width]
                 n, start = n + 1, cut + 1
         assert n == len(at_once)
-        for i, ids in zip(alone, whole(texts[i] for i in alone)):
-            out[i] = np.array(ids, dtype).tobytes()
+        for i in alone:
+            out[i] = np.array(whole([texts[i]])[0], dtype).tobytes()
         return out
 
     return many

@@ -17,6 +17,8 @@ def texts():
     pieces = ["the", "Idiot", " ", "  ", "\n", "\t", "\u00a0", "'s", "'S", "don't", "é", "É", "ß", "e\u0301", "ﬁ", "😀", "👩‍👩‍👧", "123", "½", "x1", "_", "$$", "...", ")", "中文字", "\r\n", "\x01", "\x00",
               "<|endoftext|>", "<|startoftext|>", "\u2003", "İ", "lowei", "ſ", "K", "\u200b"]
     out = ["".join(r.choices(pieces, k=r.randint(0, 40))) for _ in range(600)]
+    latin = "abcz" + "".join(chr(c) for c in range(0xAA, 0x180))
+    out += [" ".join("".join(r.choices(latin, k=r.randint(1, 9))) for _ in range(30)) for _ in range(300)]
     out += ["", " ", "\n", "a" * 5000, " " * 3000, "\n" * 2500, "x y " * 2000, "ab" * 600 + " end", "\u2003" * 1200 + "z", "!" * 1500, "word " + "é" * 1100]
     return out
 
