@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import op9_simhash
-from lectern.llm.op9_simhash import compare, fingerprints, within
+from lectern.llm.op9_simhash import classes, compare, fingerprints, links, parts_of, with_next, within
 
 SCHEMA = "part int, doc_id long, text string, fingerprint long"
 
@@ -64,3 +64,25 @@ def test_empty_and_single(spark):
     assert compare(spark.createDataFrame([], SCHEMA)).collect() == []
     (one,) = compare(spark.createDataFrame([(1, 4, "ab cd", 0)], SCHEMA)).collect()
     assert one.edited_sha256 == hashlib.sha256(b"ab ab").hexdigest() and one.near_next == 1.0
+
+
+def test_links_name_classes(spark):
+    rows = [(1, 0b0), (2, 0b111), (3, 0b0), (4, 0b1111), (None, 0b111), (6, -1)]
+    all_ = spark.createDataFrame(rows, "doc_id long, fingerprint long")
+    got = {(r.doc_id, r.class_id): (r.n, r.distance) for r in links(all_.filter("doc_id in (3, 4)"), all_).collect()}
+    assert got == {(3, 1): (2, 0), (3, 2): (2, 3), (4, 4): (1, 0), (4, 2): (2, 1)}
+    assert {(r.fingerprint, r.class_id, r.n) for r in classes(all_).collect()} == {(0, 1, 2), (7, 2, 2), (15, 4, 1), (-1, 6, 1)}
+
+
+@pytest.mark.parametrize("hot", [None, 7])
+def test_one_id_of_most_rows_fills_several_parts(spark, hot):
+    r = random.Random(9)
+    rows = [(hot, "".join(r.choice("abcdefgh") for _ in range(12))) for _ in range(3000)] + [(k, f"text {k}") for k in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = docs.withColumn("part", parts_of(docs, 100))
+    sizes = [x["count"] for x in dealt.groupBy("part").count().collect()]
+    assert len(sizes) > 30 and max(sizes) < 300
+    got = [(x.doc_id, x.text, x.next_text) for x in with_next(dealt, ["text"], ["doc_id", "text"]).collect()]
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    want = [(*a, b[1]) for a, b in zip(order, order[1:] + order[:1])]
+    assert sorted(got, key=str) == sorted(want, key=str)
