@@ -12,9 +12,13 @@ dealt. Steps start from coordinate medians and MADs; the estimates (one row a
 group) are solved in Arrow-batched tasks and joined back, so no group is ever
 in one task: sums and exact percentiles over bounded integers combine per task.
 
+Every group has an estimate of its own, and small ones have little to go by:
+location and scatter are means of the group's own, weighted by its rows, and
+its language's, weighted by ``PRIOR_ROWS``; a language's likewise of its own
+and that of all rows. No size decides between estimates.
+
 Null and empty texts have no words: zero statistics, base-failed, not in any
-estimate. Null lang or source is a group of its own. Groups of fewer than
-``MIN_GROUP`` rows take the estimate of all rows. Rows with equal ids are
+estimate. Null lang or source is a group of its own. Rows with equal ids are
 judged each for itself; an empty table gives no rows; further columns are not
 read by ``quality`` and are kept by ``keep_clean``.
 """
@@ -35,8 +39,8 @@ MAX_REPEAT_PERCENT = 50
 #: copies or junk may hold a third of a group and more and must all stay outside.
 SUPPORT = 0.5
 STEPS = 4
-#: Smaller groups are judged by the estimate of all rows.
-MIN_GROUP = 60
+#: Rows that the wider group's estimate counts for in a group's.
+PRIOR_ROWS = 60
 #: Squared distance beyond which a row is rejected. Far above the chi-square
 #: quantiles of 5 dimensions (20.5 at 0.999): the statistics have long tails.
 MAX_DISTANCE = 64.0
@@ -171,18 +175,39 @@ def estimates(rows: DataFrame, group: list[str], support: float = SUPPORT, steps
     return written(at, "op5-estimates")
 
 
-def quality(docs: DataFrame, max_distance: float = MAX_DISTANCE, min_group: int = MIN_GROUP) -> DataFrame:
+def shrunk(own: DataFrame, wider: DataFrame, group: list[str], on: list[str], prior_rows: int = PRIOR_ROWS) -> DataFrame:
+    """``own`` estimates drawn to those of the ``wider`` groups they are part of."""
+    kinds = "".join(f"{g} string, " for g in group)
+    both = _onto(own, wider.select(*on, F.col("m").alias("wide_m"), F.col("p").alias("wide_p")), on)
+
+    def make():
+        def row(*v):
+            rows, m, p, wide_m, wide_p = v[len(group):]
+            w = rows / (rows + prior_rows)
+            mean = w * np.array(m) + (1 - w) * np.array(wide_m)
+            scatter = w * _inverse(p) + (1 - w) * _inverse(wide_p)
+            yield (*v[:len(group)], rows, mean.tolist(), np.linalg.inv(scatter).ravel().tolist())
+
+        return row
+
+    return per_row(both.select(*group, "rows", "m", "p", "wide_m", "wide_p"), f"{kinds}rows long, m array<double>, p array<double>", make)
+
+
+def _inverse(p: list[float]) -> np.ndarray:
+    return np.linalg.inv(np.array(p).reshape(DIMS, DIMS))
+
+
+def quality(docs: DataFrame, max_distance: float = MAX_DISTANCE, prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """Statistics, base verdict, squared distance and verdict of every document."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     stats = written(statistics(docs), "op5-statistics")
     rows = stats.select("*", failed.alias("base_failed"), F.lit("").alias("every"), *transformed())
     sound = rows.filter(~F.col("base_failed"))
-    own = estimates(sound, ["lang", "source"]).filter(F.col("rows") >= min_group)
-    pooled = estimates(sound, ["every"])
-    judged = rows.join(own.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), F.col("m").alias("m1"), F.col("p").alias("p1")),
-                       F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
-    judged = judged.join(pooled.select("every", F.col("m").alias("m2"), F.col("p").alias("p2")), "every", "left")  # one row at most
-    judged = judged.withColumn("m", F.coalesce("m1", "m2")).withColumn("p", F.coalesce("p1", "p2")).withColumn("distance", _distance())
+    of_all = estimates(sound, ["every"])
+    of_lang = shrunk(estimates(sound, ["lang"]).withColumn("every", F.lit("")), of_all, ["lang"], ["every"], prior_rows)
+    own = shrunk(estimates(sound, ["lang", "source"]), of_lang, ["lang", "source"], ["lang"], prior_rows)
+    own = written(own, "op5-groups").select(F.col("lang").alias("_l"), F.col("source").alias("_s"), "m", "p")
+    judged = rows.join(own, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("distance", _distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= max_distance, F.lit(True))
     return judged.select("doc_id", "lang", "source", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
 

@@ -3,9 +3,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from lectern.llm.op5_quality import keep_clean, quality, text_statistics
+from lectern.llm.op5_quality import DIMS, FLOORS, MAX_DISTANCE, PRIOR_ROWS, SCALE, STEPS, SUPPORT, _consistency, keep_clean, quality, text_statistics
 
 SCHEMA = "p double, doc_id long, text string, lang string, source string, rows int"
 
@@ -72,3 +73,54 @@ def test_empty_table_and_only_failing_rows(spark):
     assert quality(spark.createDataFrame([], SCHEMA)).collect() == []
     only = spark.createDataFrame([(1.0, 1, "short", "en", "a", 1)], SCHEMA)
     assert [(r.base_failed, r.kept) for r in quality(only).collect()] == [(True, False)]
+
+
+def direct_estimate(x):
+    """Location and scatter of the rows ``x`` by concentration, all in one array."""
+    median = np.percentile(x, 50, axis=0)
+    mad = np.percentile(np.abs(x - median.astype(int)), 50, axis=0)
+    mean, scatter = median / SCALE, np.diag(np.maximum(1.4826 * mad / SCALE, FLOORS) ** 2)
+    for _ in range(STEPS):
+        d = x / SCALE - mean
+        step = np.floor(np.log(np.einsum("ni,ij,nj->n", d, np.linalg.inv(scatter), d) + 1e-3) * 50)
+        near = x[step <= np.ceil(np.percentile(step, 100 * SUPPORT))]
+        mean = near.mean(0) / SCALE
+        scatter = np.cov(near.T / SCALE, bias=True) * _consistency(len(near) / len(x)) + np.diag(np.square(FLOORS))
+    return mean, scatter
+
+
+def test_distances_equal_a_direct_estimate(spark):
+    r = random.Random(12)
+    rows = [(prose(r, r.randint(60, 200)) + r.choice(["", " #", " $$ %", "\nsame line\nsame line"]), lang, source)
+            for lang, source, n in (("en", "a", 150), ("en", "b", 8), ("de", "a", 40), (None, "c", 1), ("de", None, 3)) for _ in range(n)]
+    got = {x.doc_id: x for x in quality(spark.createDataFrame([(1.0, i, *t, 3) for i, t in enumerate(rows)], SCHEMA)).collect()}
+
+    def statistics(text):
+        n_words, chars, symbols, dups, repeats, distinct = text_statistics(text)
+        v = [np.log(chars / n_words), symbols / chars, repeats / n_words, np.log1p(dups), np.log(distinct / n_words) + 0.15 * np.log(n_words)]
+        return [int(np.sign(y) * np.floor(abs(y) * SCALE + 0.5)) for y in v]
+
+    x = np.array([statistics(t) for t, *_ in rows])
+    assert x.shape[1] == DIMS
+
+    def drawn(part, wider):
+        w = len(part) / (len(part) + PRIOR_ROWS)
+        return [w * a + (1 - w) * b for a, b in zip(direct_estimate(part), wider)]
+
+    of_all = direct_estimate(x)
+    for lang, source in {(la, so) for _, la, so in rows}:
+        of_lang = drawn(x[[k for k, t in enumerate(rows) if t[1] == lang]], of_all)
+        members = [k for k, t in enumerate(rows) if t[1:] == (lang, source)]
+        mean, scatter = drawn(x[members], of_lang)
+        for k in members:
+            d = x[k] / SCALE - mean
+            want = d @ np.linalg.inv(scatter) @ d
+            assert got[k].distance == pytest.approx(want, rel=1e-6, abs=1e-9)
+            assert got[k].kept == (want <= MAX_DISTANCE)
+
+
+def test_a_very_long_text(spark):
+    r = random.Random(2)
+    texts = [prose(r, 100) for _ in range(20)] + [prose(r, 200_000)]
+    got = {x.doc_id: x for x in quality(spark.createDataFrame([(1.0, i, t, "en", "a", 3) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert got[20].n_words == 200_000 and got[20].distance is not None
