@@ -26,6 +26,7 @@ read by ``quality`` and are kept by ``keep_clean``.
 from __future__ import annotations
 
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -203,9 +204,11 @@ def quality(docs: DataFrame, max_distance: float = MAX_DISTANCE, prior_rows: int
     stats = written(statistics(docs), "op5-statistics")
     rows = stats.select("*", failed.alias("base_failed"), F.lit("").alias("every"), *transformed())
     sound = rows.filter(~F.col("base_failed"))
-    of_all = estimates(sound, ["every"])
-    of_lang = shrunk(estimates(sound, ["lang"]).withColumn("every", F.lit("")), of_all, ["lang"], ["every"], prior_rows)
-    own = shrunk(estimates(sound, ["lang", "source"]), of_lang, ["lang", "source"], ["lang"], prior_rows)
+    # three chains of short jobs that don't depend on each other, side by side
+    with ThreadPoolExecutor(3) as pool:
+        of_all, of_lang, own = pool.map(lambda group: estimates(sound, group), (["every"], ["lang"], ["lang", "source"]))
+    of_lang = shrunk(of_lang.withColumn("every", F.lit("")), of_all, ["lang"], ["every"], prior_rows)
+    own = shrunk(own, of_lang, ["lang", "source"], ["lang"], prior_rows)
     own = written(own, "op5-groups").select(F.col("lang").alias("_l"), F.col("source").alias("_s"), "m", "p")
     judged = rows.join(own, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("distance", _distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= max_distance, F.lit(True))
