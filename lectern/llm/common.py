@@ -52,6 +52,12 @@ def discard(*stages: DataFrame) -> None:
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def renamed_apart(docs: DataFrame) -> DataFrame:
+    """``docs`` with all columns but doc_id and text named by their place, so that
+    no name clashes with a helper column; undone by ``toDF(*docs.columns)``."""
+    return docs.toDF(*[c if c in ("doc_id", "text") else f"given{i}" for i, c in enumerate(docs.columns)])
+
+
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` written with ``_row``, a number of its own for every row."""
     return written(docs.select("*", F.monotonically_increasing_id().alias("_row")), name)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered, per_row, table, written
+from .common import numbered, per_row, renamed_apart, table, written
 from .esa import repeats
 
 LEAST = 100
@@ -280,10 +280,11 @@ def digests(docs: DataFrame, least: int = LEAST) -> DataFrame:
 def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The documents with their texts cut; all columns and rows are kept, and a
     text that loses everything is empty."""
-    rows = numbered(docs, "op6-rows")
+    given = renamed_apart(docs)
+    rows = numbered(given, "op6-rows")
     found = removals(rows, least).withColumnRenamed("spans", "_spans")
-    joined = rows.join(found, "_row", "left").select(*docs.columns, "_spans")
-    schema, at = docs.schema, docs.columns.index("text")
+    joined = rows.join(found, "_row", "left").select(*given.columns, "_spans")
+    schema, at = given.schema, given.columns.index("text")
 
     def make():
         def row(*values):
@@ -294,7 +295,7 @@ def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
         return row
 
-    return per_row(joined, schema, make, 512)
+    return per_row(joined, schema, make, 512).toDF(*docs.columns)
 
 
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

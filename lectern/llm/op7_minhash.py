@@ -37,7 +37,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..operators.membership import likely_members
-from .common import discard, numbered, per_row, table, to_batch, written
+from .common import discard, numbered, per_row, renamed_apart, table, to_batch, written
 from .components import components
 
 SHINGLE_WORDS = 5
@@ -357,11 +357,12 @@ def keep_one(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = SIMILAR
     """One row of each group of near copies: of the smallest doc_id (null after
     all others), the first. Rows are linked by their own numbers, so those that
     repeat or lack a doc_id are in the groups too."""
-    rows = numbered(docs, "op7-rows")
+    given = renamed_apart(docs)
+    rows = numbered(given, "op7-rows")
     groups = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), width, percent)
     named = rows.select("doc_id", "_row").join(groups.select(F.col("doc_id").alias("_row"), "component_id"), "_row")
     kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    return rows.join(kept, "_row", "left_semi").select(*given.columns).toDF(*docs.columns)
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
