@@ -22,7 +22,7 @@ from ..functions.dates import on_or_after
 from ..functions.numbers import EXACT, exact_sum, round6
 from ..functions.scoring import clean_publication_date, first_non_blank, minmax_score, nullif_blank
 from ..session import reliable_checkpoint
-from .joins import bounded_broadcast
+from .joins import bounded_broadcast, spread, spread_tasks
 from .rank import global_rank
 
 MAX_MARKETS = 10_000
@@ -94,11 +94,12 @@ def readership(reading: DataFrame, users_by_market: DataFrame, as_of: dt.date,
     Bayesian average ``(C*m + minutes) / (C + readers)`` with C the mean
     readers per book and m the mean minutes per reader of a book."""
     recent = reading.filter(on_or_after(reading, "read_date", months_back(as_of, READING_LOOKBACK_MONTHS)))
-    # (user, book) first: bounds a hot user to one row per book it read
-    # only members of the markets, before anything is moved by (user, book)
-    per_pair = (recent.join(users_by_market.select("user_id"), "user_id", "left_semi")
+    # (user, book) first: bounds a hot user to one row per book it read; then by
+    # user, each over tasks in proportion to the tables, so that none grows with them
+    tasks = spread_tasks(recent)
+    per_pair = (spread(recent, tasks, "user_id", "book_id")
                 .groupBy("user_id", "book_id").agg(F.sum(F.col("reading_minutes").cast(EXACT)).alias("_mins")))
-    per_book = (per_pair.join(users_by_market, "user_id")
+    per_book = (spread(per_pair, tasks, "user_id").join(spread(users_by_market, tasks, "user_id"), "user_id")
                 .groupBy("market", "book_id")
                 .agg(F.count(F.lit(1)).alias("users"), exact_sum("_mins").alias("total_reading_mins")))
     # read three times below (averages, scores, extremes): written once

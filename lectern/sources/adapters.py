@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import spread, spread_tasks
+
 Reader = Callable[[str], DataFrame]
 
 
@@ -36,6 +38,8 @@ def _event_day_offset(step: int) -> Column:
 def reading_activity(read: Reader) -> DataFrame:
     li = read("lineitem").select("l_orderkey", "l_partkey", "l_shipdate", "l_quantity")
     o = read("orders").select("o_orderkey", "o_custkey")
+    tasks = spread_tasks(li, o)
+    li, o = spread(li, tasks, "l_orderkey"), spread(o, tasks, "o_orderkey")
     return (li.join(o, li.l_orderkey == o.o_orderkey)
             .select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("book_id"),
                     F.to_date("l_shipdate").alias("read_date"),

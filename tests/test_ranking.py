@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.config import Market
 from lectern.functions.scoring import clean_publication_date, minmax_score
+from lectern.operators import joins
 from lectern.operators import ranking as R
 
 
@@ -73,3 +74,22 @@ def test_months_back():
     assert R.months_back(dt.date(1996, 3, 15), 12) == dt.date(1995, 3, 1)
     assert R.months_back(dt.date(1996, 3, 15), 6) == dt.date(1995, 9, 1)
     assert R.months_back(dt.date(2024, 1, 31), 1) == dt.date(2023, 12, 1)
+
+
+def test_readership_tasks_grow_with_the_tables(spark, tmp_path, monkeypatch):
+    """Tasks of the large shuffles go by the stored size, and the rows stay the same."""
+    rows = [(k % 40 if k % 3 else 0, k % 7, dt.date(2024, 3, 1), 0.1 * (k % 9)) for k in range(4000)] + [(None, 1, dt.date(2024, 3, 1), 1.0), (5, None, None, None)]
+    spark.createDataFrame(rows, "user_id long, book_id long, read_date date, reading_minutes double").write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    one.union(one).union(one).write.parquet(str(tmp_path / "three"))
+    three = spark.read.parquet(str(tmp_path / "three"))
+    users = spark.createDataFrame([(u, m) for u in range(30) for m in ("a", "b")[:1 + u % 2]], "user_id long, market string")
+    plain = sorted(map(tuple, R.readership(one, users, dt.date(2024, 3, 15)).collect()))
+    monkeypatch.setattr(joins, "SPREAD_BYTES", 100)
+    assert joins.spread_tasks(three) > joins.spread_tasks(one) > 4
+    seen = []
+    monkeypatch.setattr(R, "spread", lambda df, tasks, *keys: seen.append((tasks, keys)) or joins.spread(df, tasks, *keys))
+    assert sorted(map(tuple, R.readership(one, users, dt.date(2024, 3, 15)).collect())) == plain
+    assert seen == [(joins.spread_tasks(one), k) for k in (("user_id", "book_id"), ("user_id",), ("user_id",))]
+    assert joins.spread(one, 50, "user_id").rdd.getNumPartitions() == 50
+    assert joins.spread(one, 3, "user_id").rdd.getNumPartitions() == one.rdd.getNumPartitions()
