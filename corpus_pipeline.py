@@ -3,7 +3,8 @@
 Every stage is a function (spark, docs, sf_dir) -> DataFrame; its result is
 written as Parquet and read again as the next one's docs. All but the last
 return the columns of documents; texts that a stage changes get their length
-in ``n_chars``. Nulls, empty texts, repeated rows and empty tables are handled
+in ``n_chars``. A stage begins by letting go of the shuffles of those before.
+Nulls, empty texts, repeated rows and empty tables are handled
 as the operators say.
 """
 
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import table, written
+from lectern.llm.common import free_shuffles, table, written
 from lectern.llm.op1_secrets import redact
 from lectern.llm.op5_quality import keep_clean
 from lectern.llm.op6_suffix import without_repeats
@@ -33,21 +34,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: one document of each group of near copies stays."""
+    free_shuffles(spark)
     return keep_one(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: passages that start earlier elsewhere are cut from texts."""
+    free_shuffles(spark)
     return _counted(without_repeats(docs))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: secrets in texts are replaced by a mark."""
+    free_shuffles(spark)
     return _counted(redact(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: tokenised documents packed into sequences."""
+    free_shuffles(spark)
     return pack(docs)
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered, per_row, renamed_apart, table, written
+from .common import free_shuffles, numbered, per_row, renamed_apart, table, written
 from .esa import repeats
 
 LEAST = 100
@@ -238,9 +238,11 @@ def removals(docs: DataFrame, least: int = LEAST) -> DataFrame:
     keyed = docs.select(F.coalesce("doc_id", F.lit(NULL_KEY)).alias("doc"), F.col("_row").alias("row"), F.col("text").cast("binary").alias("text"))
     anchors = keyed.mapInArrow(lambda b: _anchors(b, least), _ANCHORS_DDL)
     found = written(anchors.repartition(n, "gram").mapInArrow(lambda b: _settle(b, least), _FOUND_DDL), "op6-found")
+    free_shuffles(docs.sparkSession)
     open_ = found.filter("anchor >= 0").groupBy("row").agg(F.collect_list(F.struct("gram", "lo", "hi", "hot")).alias("open"))
     pieces = per_row(keyed.join(open_, "row").select("doc", "row", "text", "open"), "key long, doc long, row long, at long, data binary", lambda: _cut_out(least))
     late = written(pieces.repartition(n, "key").mapInArrow(lambda b: _repeated(b, least), _FOUND_DDL), "op6-repeats")
+    free_shuffles(docs.sparkSession)
     spans = found.filter("anchor < 0").select("row", "lo", "hi").union(late.select("row", "lo", "hi"))
     return spans.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 

@@ -37,7 +37,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..operators.membership import likely_members
-from .common import discard, numbered, per_row, renamed_apart, table, to_batch, written
+from .common import discard, free_shuffles, numbered, per_row, renamed_apart, table, to_batch, written
 from .components import components
 
 SHINGLE_WORDS = 5
@@ -319,6 +319,11 @@ def _linked_in(dealt: DataFrame, minima: DataFrame, sets: DataFrame, least: floa
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
+    return _near(docs, width, percent, block)[0]
+
+
+def _near(docs: DataFrame, width: int, percent: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """``near_duplicates``, and the written stage that it reads."""
     if percent < min(BANDS):
         raise ValueError(f"bands are laid out for {min(BANDS)} percent and more")
     bands = BANDS[max(b for b in BANDS if b <= percent)]
@@ -350,7 +355,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
     by_class = classes.join(found.withColumnRenamed("component", "least"), "node", "left").select("set_id", F.coalesce("least", "node").alias("component_id"))
     out = seen.select("doc_id", "n_shingles", "set_id").join(by_class, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")), seen
 
 
 def keep_one(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT) -> DataFrame:
@@ -359,9 +364,12 @@ def keep_one(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = SIMILAR
     repeat or lack a doc_id are in the groups too."""
     given = renamed_apart(docs)
     rows = numbered(given, "op7-rows")
-    groups = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), width, percent)
+    groups, sketched = _near(rows.select(F.col("_row").alias("doc_id"), "text"), width, percent)
     named = rows.select("doc_id", "_row").join(groups.select(F.col("doc_id").alias("_row"), "component_id"), "_row")
     kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
+    kept = written(kept.select("_row"), "op7-kept")
+    discard(sketched)
+    free_shuffles(docs.sparkSession)
     return rows.join(kept, "_row", "left_semi").select(*given.columns).toDF(*docs.columns)
 
 

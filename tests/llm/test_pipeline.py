@@ -46,3 +46,26 @@ def test_whole_run(spark):
     ids = {x.doc_id for x in table(spark, SMALL, "documents").select("doc_id").collect()}
     assert {x.doc_id for x in rows} <= ids
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
+
+
+def test_near_dedup_leaves_no_sketches_and_shuffles_are_freed(spark):
+    import glob
+    import time
+
+    from lectern.llm.common import free_shuffles
+    from lectern.session import ensure_checkpoint_dir
+
+    at = ensure_checkpoint_dir(spark).removeprefix("file:").rstrip("/") + "/tables/op7-sketches-*"
+    before = set(glob.glob(at))
+    r = random.Random(4)
+    texts = [prose(r, 40) for _ in range(6)]
+    docs = spark.createDataFrame([(k, t, len(t)) for k, t in enumerate([*texts, texts[0]])], "doc_id long, text string, n_chars long")
+    assert {x.doc_id for x in p.near_dedup(spark, docs, "").collect()} == set(range(6))
+    assert set(glob.glob(at)) == before
+    stored = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    spark.range(1000).repartition(5).write.format("noop").mode("overwrite").save()
+    held, end = stored(), time.time() + 20
+    free_shuffles(spark)
+    while stored() >= held and time.time() < end:
+        time.sleep(0.2)
+    assert stored() < held
