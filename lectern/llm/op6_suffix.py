@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,8 +109,7 @@ def _merged(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
     return row[start], lo[start], np.maximum.reduceat(hi, start)
 
 
-_ANCHORS = pa.schema([("gram", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("anchor", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
-_ANCHORS_DDL = "gram long, content long, doc long, row long, anchor long, lo long, hi long"
+_ANCHORS = pa.schema([("part", pa.int32()), ("packet", pa.binary())])
 _FOUND = pa.schema([("row", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("gram", pa.int64()), ("anchor", pa.int64()), ("hot", pa.bool_())])
 _FOUND_DDL = "row long, lo long, hi long, gram long, anchor long, hot boolean"
 
@@ -119,22 +119,46 @@ def _batches(schema: pa.Schema, *columns: np.ndarray, rows: int = 100_000) -> It
         yield pa.RecordBatch.from_arrays([pa.array(c[at:at + rows], f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def _anchors(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Earliest of equal fragments of a task; the others as spans to go (anchor -1)."""
+def _packed(gram: np.ndarray, content: np.ndarray, doc: np.ndarray, row: np.ndarray, anchor: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> bytes:
+    """Fragments in order of their texts: steps from each to the next, byte by byte, compressed."""
+    columns = np.stack([gram, content, *(np.diff(c, prepend=0) for c in (doc, row, anchor)), anchor - lo, hi - lo])
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(columns.view(np.uint8).reshape(7, -1, 8).transpose(0, 2, 1)))
+
+
+def _unpacked(packet: bytes) -> list[np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packet), np.uint8).reshape(7, 8, -1)
+    gram, content, doc, row, anchor, before, width = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int64)[:, :, 0]
+    doc, row, anchor = (np.cumsum(c) for c in (doc, row, anchor))
+    lo = anchor - before
+    return [gram, content, doc, row, anchor, lo, lo + width]
+
+
+def _anchors(batches: Iterator[pa.RecordBatch], least: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Earliest of equal fragments of a task; the others as spans to go (anchor -1).
+    Packets of them, with the part of their gram (of spans: of their row)."""
     held, n = [], 0
 
+    def part_of(x: np.ndarray) -> np.ndarray:
+        return (_mixed(x.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
     def flush():
-        gram, content, doc, row, anchor, lo, hi = (np.concatenate(c) for c in zip(*held))
+        columns = [np.concatenate(c) for c in zip(*held)]
+        gram, content, doc, row, _, lo, hi = columns
         if not len(gram):
             return
         order = np.lexsort((lo, row, doc, content, gram))
-        gram, content, doc, row, anchor, lo, hi = (c[order] for c in (gram, content, doc, row, anchor, lo, hi))
-        again = np.r_[False, (gram[1:] == gram[:-1]) & (content[1:] == content[:-1])]
-        first = ~again
-        yield from _batches(_ANCHORS, *(c[first] for c in (gram, content, doc, row, anchor, lo, hi)))
-        d, a, b = _merged(row[again], lo[again], hi[again] + least)
-        spread = _mixed(d.view(np.uint64)).view(np.int64)
-        yield from _batches(_ANCHORS, spread, spread, d, d, np.full(len(d), -1), a, b)
+        again = np.r_[False, (np.diff(gram[order]) == 0) & (np.diff(content[order]) == 0)]
+        first = np.sort(order[~again])
+        d, a, b = _merged(row[order[again]], lo[order[again]], hi[order[again]] + least)
+        none = np.zeros(len(d), np.int64)
+        part = np.concatenate([part_of(gram[first]), part_of(d)])
+        columns = [np.concatenate([c[first], s]) for c, s in zip(columns, (none, none, none, d, none - 1, a, b))]
+        order = np.argsort(part, kind="stable")
+        bounds = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1)).tolist()
+        for x, y in zip(bounds, bounds[1:]):
+            at = order[x:y]
+            packet = _packed(*(c[at] for c in columns))
+            yield pa.RecordBatch.from_arrays([pa.array([part[at[0]]], pa.int32()), pa.array([packet], pa.binary())], schema=_ANCHORS)
 
     for batch in batches:
         for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -152,7 +176,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
 
 def _settle(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Of the fragments dealt to a task: spans to go (no gram), and open fragments."""
-    parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+    parts = [_unpacked(packet) for b in batches for packet in b.column(0).to_pylist()]
     if not parts:
         return
     gram, content, doc, row, anchor, lo, hi = (np.concatenate(c) for c in zip(*parts))
@@ -236,8 +260,8 @@ def removals(docs: DataFrame, least: int = LEAST) -> DataFrame:
         raise ValueError(f"strings of {2 * GRAM} bytes and more are looked for")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(F.coalesce("doc_id", F.lit(NULL_KEY)).alias("doc"), F.col("_row").alias("row"), F.col("text").cast("binary").alias("text"))
-    anchors = keyed.mapInArrow(lambda b: _anchors(b, least), _ANCHORS_DDL)
-    found = written(anchors.repartition(n, "gram").mapInArrow(lambda b: _settle(b, least), _FOUND_DDL), "op6-found")
+    anchors = keyed.mapInArrow(lambda b: _anchors(b, least, n), "part int, packet binary")
+    found = written(anchors.repartitionById(n, "part").select("packet").mapInArrow(lambda b: _settle(b, least), _FOUND_DDL), "op6-found")
     free_shuffles(docs.sparkSession)
     open_ = found.filter("anchor >= 0").groupBy("row").agg(F.collect_list(F.struct("gram", "lo", "hi", "hot")).alias("open"))
     pieces = per_row(keyed.join(open_, "row").select("doc", "row", "text", "open"), "key long, doc long, row long, at long, data binary", lambda: _cut_out(least))

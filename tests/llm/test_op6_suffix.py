@@ -99,3 +99,32 @@ def test_maximal_repeats_of_small_fragments():
             if len(o) > 1 and len(left) > 1 and len(right) > 1:
                 want[s] = o
         assert got == want
+
+
+def test_packets_of_fragments_are_exact_and_small():
+    """Two numbers of hash, 16 bytes, and little more a fragment go through the shuffle."""
+    r = random.Random(8)
+    texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(r.randint(0, 900))) for _ in range(200)] + ["", "x" * 99]
+    texts += texts[3:9]  # fragments that are there twice leave as spans
+    ids = [op6_suffix.NULL_KEY, *range(5, 4 + len(texts))]
+    batch = op6_suffix.pa.RecordBatch.from_arrays([op6_suffix.pa.array(ids), op6_suffix.pa.array([k + (7 << 33) for k in range(len(texts))]),
+                                                   op6_suffix.pa.array([t.encode() for t in texts])], names=["doc", "row", "text"])
+    got, size, parts = set(), 0, {}
+    for b in op6_suffix._anchors(iter([batch]), 100, 5):
+        for part, packet in zip(*(c.to_pylist() for c in b.columns)):
+            size += len(packet)
+            for gram, content, doc, row, anchor, lo, hi in zip(*(c.tolist() for c in op6_suffix._unpacked(packet))):
+                got.add((doc, row, anchor, lo, hi) if anchor >= 0 else (row, lo, hi))
+                if anchor >= 0:
+                    assert parts.setdefault(gram, part) == part and 0 <= part < 5
+    whole, seen, want = 0, set(), set()
+    for k, (doc, text) in enumerate(zip(ids, texts)):
+        data = op6_suffix.np.frombuffer(text.encode(), op6_suffix.np.uint8)
+        for gram, content, anchor, lo, hi in zip(*(c.tolist() for c in op6_suffix.fragments(data))):
+            whole += 1
+            if (gram, content) not in seen:
+                want.add((doc, k + (7 << 33), anchor, lo, hi))
+            seen.add((gram, content))
+    assert {x for x in got if len(x) == 5} == want
+    assert {x for x in got if len(x) == 3} == {(k + (7 << 33), 0, len(texts[k])) for k in range(len(texts) - 6, len(texts)) if len(texts[k]) >= 100}
+    assert len(got) < whole and size < 24 * len(want)
