@@ -6,6 +6,8 @@ import re
 import numpy as np
 import pytest
 
+from lectern.llm import op5_quality
+from lectern.llm.common import written
 from lectern.llm.op5_quality import DIMS, FLOORS, MAX_DISTANCE, PRIOR_ROWS, SCALE, STEPS, SUPPORT, _consistency, keep_clean, quality, text_statistics
 
 SCHEMA = "p double, doc_id long, text string, lang string, source string, rows int"
@@ -124,3 +126,13 @@ def test_a_very_long_text(spark):
     texts = [prose(r, 100) for _ in range(20)] + [prose(r, 200_000)]
     got = {x.doc_id: x for x in quality(spark.createDataFrame([(1.0, i, t, "en", "a", 3) for i, t in enumerate(texts)], SCHEMA)).collect()}
     assert got[20].n_words == 200_000 and got[20].distance is not None
+
+
+def test_all_kinds_of_groups_share_their_jobs(spark, monkeypatch):
+    """Each written stage is some jobs that the driver plans and keeps: three a step would be too many."""
+    stages = []
+    monkeypatch.setattr(op5_quality, "written", lambda df, name: stages.append(name) or written(df, name))
+    r = random.Random(5)
+    rows = [(1.0, i, prose(r, 60), r.choice(["en", "de", None]), r.choice("ab"), 3) for i in range(60)]
+    assert sum(x.kept for x in quality(spark.createDataFrame(rows, SCHEMA)).collect()) == 60
+    assert len(stages) <= 2 * STEPS + 6
